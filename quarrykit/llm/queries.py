@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarrykit.llm.minhash_odd import near_duplicates
 from quarrykit.llm.rlz_dedup import remove_repeated_phrases
 from quarrykit.llm.suffix_dedup import remove_repeated_bytes
 
@@ -25,9 +26,14 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op10_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_rlz_dedup": op2_rlz_dedup,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op10_minhash_odd": op10_minhash_odd,
 }
 
 ORACLES: dict[str, str] = {}
