@@ -216,9 +216,13 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return pa.Table.from_batches([X.sent(X.block_of(docs_), bucket, [code, stretch, twice.view(np.uint8)])])
 
     def answer_stretches(table: pa.Table) -> pa.Table:
-        """Does the stretch recur; must its windows be compared one by one."""
-        (code, stretch, twice), _, _, offs = X.received(table, [np.uint64, np.uint64, np.uint8])
-        order = np.lexsort((stretch, code))
+        """Does the stretch recur; must its windows be compared one by one.
+
+        Of the blocks that have a recurring stretch the least one compares it,
+        so that a second run of this task answers alike.
+        """
+        (code, stretch, twice), row, of_block, offs = X.received(table, [np.uint64, np.uint64, np.uint8])
+        order = np.lexsort((of_block[row], stretch, code))
         c, s = code[order], stretch[order]
         new = np.concatenate([[True], (c[1:] != c[:-1]) | (s[1:] != s[:-1])]) if len(c) else np.zeros(0, bool)
         first = np.flatnonzero(new)
