@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import quality_rules
+from quarrykit.llm import pii_feistel, quality_rules, url_reputation
 from quarrykit.llm.minhash_odd import near_duplicates
 from quarrykit.llm.rlz_dedup import remove_repeated_phrases
 from quarrykit.llm.suffix_dedup import remove_repeated_bytes
@@ -17,6 +17,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_reputation.judge(_table(spark, sf_dir, "pages"), _table(spark, sf_dir, "labels"))
+
+
 def op2_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_phrases(_table(spark, sf_dir, "documents"))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
@@ -31,17 +35,24 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op8_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii_feistel.report(_table(spark, sf_dir, "documents"))
+
+
 def op10_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_url_reputation": op1_url_reputation,
     "op2_rlz_dedup": op2_rlz_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
+    "op8_pii_feistel": op8_pii_feistel,
     "op10_minhash_odd": op10_minhash_odd,
 }
 
 ORACLES: dict[str, str] = {
+    "op1_url_reputation": url_reputation.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
 }
