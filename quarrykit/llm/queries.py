@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import pii_feistel, quality_rules, url_reputation
+from quarrykit.llm import decontaminate, pii_feistel, quality_rules, url_reputation
 from quarrykit.llm.minhash_odd import near_duplicates
 from quarrykit.llm.rlz_dedup import remove_repeated_phrases
 from quarrykit.llm.suffix_dedup import remove_repeated_bytes
@@ -26,6 +26,10 @@ def op2_rlz_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"), F.size("factors").cast("long").alias("n_factors"))
 
 
+def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(_table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ def op10_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_reputation": op1_url_reputation,
     "op2_rlz_dedup": op2_rlz_dedup,
+    "op3_decontaminate": op3_decontaminate,
     "op4_quality_rules": op4_quality_rules,
     "op5_suffix_dedup": op5_suffix_dedup,
     "op8_pii_feistel": op8_pii_feistel,

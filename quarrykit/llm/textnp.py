@@ -107,6 +107,8 @@ def slices(batch: pa.RecordBatch | pa.Table, text: str, limit: int = SLICE_BYTES
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_PUNCTUATED = _SPACE.copy()
+_PUNCTUATED[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -115,13 +117,13 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def words(data: np.ndarray, offs: np.ndarray, breaks: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of all words, and n+1 word offsets by document."""
     n = len(data)
     if not n:
         z = np.zeros(0, np.int64)
         return z, z, np.zeros(len(offs), np.int64)
-    inside = ~_SPACE[data]
+    inside = ~breaks[data]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     start = inside.copy()
@@ -132,6 +134,15 @@ def words(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, n
     return s, e, np.searchsorted(s, offs)
 
 
+def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Codes of words cut at white space and ASCII punctuation, ASCII and Latin-1 letters lower-cased, and n+1 offsets."""
+    latin = np.zeros(len(data), bool)
+    latin[1:] = (data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)
+    data = np.where(latin, data + np.uint8(32), lower_ascii(data))
+    s, e, toffs = words(data, offs, _PUNCTUATED)
+    return word_codes(data, s, e), toffs
+
+
 def word_codes(data: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
     return Rolling(byte_codes()[data], BASE_BYTE).spans(s, e) if len(s) else np.zeros(0, U64)
 
