@@ -106,7 +106,7 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
     def rows(batches):
         for batch in batches:
-            for part in T.slices(batch, "text", 4 * T.SLICE_BYTES):
+            for part in T.slices(batch, "text"):
                 data, offs = T.raw(part.column("text"))
                 codes, soffs = shingle_sets(data, offs)
                 bands, sketch, sets = signatures(codes, soffs)
@@ -136,24 +136,25 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     def check(batches):
         key, own = None, []
         for batch in batches:
-            data, offs = T.raw(batch.column("text"))
-            codes, soffs = shingle_sets(data, offs)
-            a, t, kind, ids = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "tile", "kind", "id"))
-            out_a, out_b = [], []
-            for i in range(batch.num_rows):
-                mine = codes[soffs[i] : soffs[i + 1]]
-                if key != (a[i], t[i]):
-                    key, own = (a[i], t[i]), []
-                if kind[i] == 0:
-                    own.append(mine.copy())
-                    continue
-                for other in own:
-                    both = _common(other, mine)
-                    if len(mine) and 100 * both >= 75 * (len(mine) + len(other) - both):
-                        out_a.append(a[i])
-                        out_b.append(ids[i])
-                        break
-            yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
+            for part in T.slices(batch, "text"):
+                data, offs = T.raw(part.column("text"))
+                codes, soffs = shingle_sets(data, offs)
+                a, t, kind, ids = (part.column(c).to_numpy(zero_copy_only=False) for c in ("a", "tile", "kind", "id"))
+                out_a, out_b = [], []
+                for i in range(part.num_rows):
+                    mine = codes[soffs[i] : soffs[i + 1]]
+                    if key != (a[i], t[i]):
+                        key, own = (a[i], t[i]), []
+                    if kind[i] == 0:
+                        own.append(mine.copy())
+                        continue
+                    for other in own:
+                        both = _common(other, mine)
+                        if len(mine) and 100 * both >= 75 * (len(mine) + len(other) - both):
+                            out_a.append(a[i])
+                            out_b.append(ids[i])
+                            break
+                yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], names=["a", "b"])
 
     return rows.repartition("a", "tile").sortWithinPartitions("a", "tile", "kind").mapInArrow(check, "a long, b long").distinct()
 
