@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import decontaminate, pii_feistel, quality_rules, sentencepiece_ac, url_reputation
+from quarrykit.llm import decontaminate, pii_feistel, quality_knn, quality_rules, sentencepiece_ac, url_reputation
 from quarrykit.llm.minhash_odd import near_duplicates
 from quarrykit.llm.rlz_dedup import remove_repeated_phrases
 from quarrykit.llm.suffix_dedup import remove_repeated_bytes
@@ -47,6 +47,10 @@ def op8_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii_feistel.report(_table(spark, sf_dir, "documents"))
 
 
+def op9_quality_knn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.score(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op10_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_suffix_dedup": op5_suffix_dedup,
     "op7_sentencepiece": op7_sentencepiece,
     "op8_pii_feistel": op8_pii_feistel,
+    "op9_quality_knn": op9_quality_knn,
     "op10_minhash_odd": op10_minhash_odd,
 }
 
