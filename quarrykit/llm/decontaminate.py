@@ -34,6 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm import textnp as T
+from quarrykit.llm.minhash_odd import saved
 
 THRESHOLD, OVERLAP, SLACK, BLOCK = 0.6, 0.6, 0.25, 16
 K1, B = 1.2, 0.75
@@ -218,5 +219,5 @@ def _scan(shared):
 
 def clean(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the documents that hold a test item (by id); all columns as they were."""
-    bad = leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("__leaked")).where("__leaked is not null").distinct()
+    bad = saved(leaks(docs, items, id_col, text_col).select(F.col("doc_id").alias("__leaked")).where("__leaked is not null").distinct(), "leaked")
     return docs.join(bad, docs[id_col].cast("long") == bad["__leaked"], "left_anti")

@@ -235,6 +235,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
 
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the near duplicates of a kept document (by id); all columns as they were."""
+    gone = saved(near_duplicates(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "dropped")
+    return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
+
+
 def open_pairs(bucket: DataFrame, component: DataFrame, sketch: DataFrame) -> DataFrame:
     """Pairs of one bucket, in different components so far, whose sketches are near."""
     rows = bucket.where("n > 2 and id <> head").join(component, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
