@@ -12,9 +12,10 @@ on their full sets.
 Hot groups: equal sets collapse to their least id first.  In a band's bucket
 every member is compared with the least id only, and the confirmed links are
 joined into components.  Pairs that this leaves open (members of one bucket in
-different components) are then compared by sketch in tiles: a bucket's members
-outside its largest component meet all others, tile by tile, and only pairs
-that pass go on to confirmation.  No bucket is listed as all pairs.
+different components) meet in tiles: buckets with such members join into
+clusters, a cluster's members outside its largest component meet all others,
+tile by tile, and a tile returns no more than a spanning forest of the links
+that it confirmed.  No bucket is listed as all pairs.
 
 Cases: a null or empty text, or one without words, has the empty set, links
 with nothing and is kept; a null id has no component and is kept; rows that
@@ -33,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm import textnp as T
 
-SHINGLE, SAMPLES, BANDS, SKETCH_WORDS, MOST_BITS, TILE = 5, 128, 32, 4, 88, 4096
+SHINGLE, SAMPLES, BANDS, SKETCH_WORDS, MOST_BITS, TILE, TILE_SHINGLES = 5, 128, 32, 4, 84, 4096, 1_500_000
 _ROWS = SAMPLES // BANDS
 _KEYS = (np.random.default_rng(71).integers(1, 1 << 62, SAMPLES, dtype=np.uint64) << T.U64(1)) | T.U64(1)
 
@@ -225,10 +226,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = saved(confirmed(star, texts), "links")
     first = components(links)
 
-    more = saved(open_pairs(bucket, first, sketch), "pairs")
     own = member.where("id <> leader").select(F.col("id").alias("a"), F.col("leader").alias("b"))
-    links = links.unionByName(confirmed(more, texts)) if not more.isEmpty() else links
-    final = components(links.unionByName(own))
+    more = open_links(bucket, first, lead.select("id", "n_shingles", "sketch"), texts)
+    final = components(links.unionByName(more).unionByName(own))
 
     out = sig.join(final.withColumnRenamed("component", "_component"), "id", "left")
     component = F.coalesce(F.col("_component"), F.col("id"))
@@ -241,31 +241,73 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
 
 
-def open_pairs(bucket: DataFrame, component: DataFrame, sketch: DataFrame) -> DataFrame:
-    """Pairs of one bucket, in different components so far, whose sketches are near."""
+def open_links(bucket: DataFrame, component: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+    """Confirmed links between members of one bucket that are in different components so far.
+
+    Buckets with such members join into clusters, so each text is sent once and
+    not once a bucket.  A cluster's members outside its largest component meet
+    all others in tiles of bounded size; a tile finds the near ones by sketch,
+    confirms them on their sets and returns a spanning forest of the links.
+    """
     rows = bucket.where("n > 2 and id <> head").join(component, "id", "left").select("band", "id", F.coalesce("component", "id").alias("component"))
-    split = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.mode("component").alias("main"), F.count("*").alias("n")).where("lo <> hi")
-    rows = rows.join(split.select("band", "main", "n"), "band")
-    tiles = F.greatest(F.lit(1), F.ceil(F.col("n") / F.lit(TILE))).cast("int")
-    own = F.pmod(F.xxhash64("id"), tiles.cast("long")).cast("int")
-    # The largest component is dealt over the tiles, all others go to each.
-    dealt = rows.select("band", "id", "component", (F.col("component") == F.col("main")).alias("major"), F.explode(F.when(F.col("component") == F.col("main"), F.array(own)).otherwise(F.sequence(F.lit(0), tiles - 1))).alias("tile"))
-    dealt = dealt.join(sketch, "id")
-
-    def compare(table: pa.Table) -> pa.Table:
-        ids, comp, major = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "major"))
-        bits = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
-        first_tile = table.column("tile")[0].as_py() == 0
-        minor = np.flatnonzero(~major.astype(bool))
-        out_a, out_b = [], []
-        for i in minor:
-            there = (comp != comp[i]) & (major.astype(bool) | (first_tile & (ids > ids[i])))
-            at = np.flatnonzero(there)
-            if len(at):
-                at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= MOST_BITS]
-                out_a.append(np.minimum(ids[at], ids[i]))
-                out_b.append(np.maximum(ids[at], ids[i]))
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (out_a, out_b))
-        return pa.table({"a": pa.array(a), "b": pa.array(b)})
-
-    return dealt.groupBy("band", "tile").applyInArrow(compare, "a long, b long").distinct()
+    split = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("band", "first")
+    rows = saved(rows.join(split, "band").select("id", "component", "first").distinct(), "open")
+    cluster = components(rows.select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "cluster")
+    rows = rows.select("id", "component").distinct().join(cluster, "id").join(sketch.select("id", "n_shingles", "sketch"), "id")
+    largest = rows.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
+    rows = rows.join(largest, "cluster").withColumn("major", F.col("component") == F.col("main"))
+    tiles = lambda own: F.greatest(F.lit(1), F.ceil(F.count_if(own) / F.lit(TILE)), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n_shingles"))), F.lit(0)) / F.lit(TILE_SHINGLES))).cast("int")
+    sizes = rows.groupBy("cluster").agg(tiles(F.col("major")).alias("majors"), tiles(~F.col("major")).alias("minors"))
+    rows = rows.join(sizes, "cluster")
+    tile = F.pmod(F.xxhash64("id"), F.when(F.col("major"), F.col("majors")).otherwise(F.col("minors")).cast("long")).cast("int")
+    key = lambda x, y, k: F.struct(x.alias("x"), y.alias("y"), F.lit(k).alias("k"))
+    all_of = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    with_minors = F.transform(all_of("minors"), lambda j: key(tile, j, 0))
+    with_all = F.concat(F.transform(all_of("majors"), lambda i: key(i, tile, 0)), F.transform(all_of("minors"), lambda j: key(F.least(tile, j), F.greatest(tile, j), 1)))
+    dealt = rows.select("id", "component", "sketch", "major", "cluster", tile.alias("tile"), F.explode(F.when(F.col("major"), with_minors).otherwise(with_all)).alias("t"))
+    dealt = dealt.select("id", "component", "sketch", "major", "cluster", "tile", "t.*").join(texts, "id")
+    return dealt.groupBy("cluster", "x", "y", "k").applyInArrow(_tile_links, "a long, b long").distinct()
+
+
+def _tile_links(table: pa.Table) -> pa.Table:
+    """Links that join components of a tile, confirmed on full sets."""
+    table = table.sort_by("id")  # one result, however the rows came
+    ids, comp, major, tile = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "major", "tile"))
+    k, x, y = (table.column(c)[0].as_py() for c in ("k", "x", "y"))
+    bits = np.array(table.column("sketch").to_pylist(), np.int64).view(np.uint64)
+    major = major.astype(bool)
+    sets = [shingle_sets(*T.raw(part.column("text"))) for part in T.slices(table, "text")]
+    sizes = np.concatenate([np.diff(o) for _, o in sets])
+    codes = np.concatenate([c for c, _ in sets])
+    offs = np.concatenate([[0], np.cumsum(sizes)])
+    order = np.argsort(codes, kind="stable")
+    codes_sorted, owner = codes[order], np.repeat(np.arange(len(ids)), sizes)[order]
+    parent = {c: c for c in set(comp.tolist())}
+
+    def root(c: int) -> int:
+        while parent[c] != c:
+            parent[c] = parent[parent[c]]
+            c = parent[c]
+        return c
+
+    out: list[tuple[int, int]] = []
+    roots = comp.copy()
+    for i in np.flatnonzero(~major):
+        near = (roots != roots[i]) & (np.minimum(sizes, sizes[i]) * 100 >= 75 * np.maximum(sizes, sizes[i]))
+        near &= major if k == 0 else (~major & ((tile != tile[i]) if x != y else (ids > ids[i])))
+        at = np.flatnonzero(near)
+        at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= MOST_BITS]
+        if not len(at):
+            continue
+        mine = codes[offs[i] : offs[i + 1]]
+        lo, hi = np.searchsorted(codes_sorted, mine, "left"), np.searchsorted(codes_sorted, mine, "right")
+        count = hi - lo
+        first = np.concatenate([[0], np.cumsum(count)])
+        common = np.bincount(owner[np.repeat(lo - first[:-1], count) + np.arange(first[-1])], minlength=len(ids))[at]
+        for j in at[100 * common >= 75 * (sizes[at] + sizes[i] - common)]:
+            p, q = root(int(comp[i])), root(int(comp[j]))
+            if p != q:
+                parent[max(p, q)] = min(p, q)
+                out.append((min(ids[i], ids[j]), max(ids[i], ids[j])))
+                roots[roots == max(p, q)] = min(p, q)
+    return pa.table({"a": pa.array([a for a, _ in out], pa.int64()), "b": pa.array([b for _, b in out], pa.int64())})
