@@ -96,7 +96,8 @@ def merged(claims: DataFrame, groups: DataFrame) -> DataFrame:
     """Claims merged by hand (groups: claim_id, primary_id): ordered union of tags, first variant of each name, summed recurrence."""
     rows = claims.join(groups, "claim_id").withColumn("_first", F.when(F.col("claim_id") == F.col("primary_id"), 0).otherwise(1))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("_first", "claim_id", c))), lambda x: x[c])
-    variants = F.aggregate(ordered("variants"), F.create_map().cast("map<string,string>"), lambda a, m: F.map_concat(a, F.map_filter(F.coalesce(m, F.create_map().cast("map<string,string>")), lambda k, v: ~F.coalesce(F.map_contains_key(a, k), F.lit(False)))))
+    rows = rows.withColumn("_v", F.map_entries(F.coalesce("variants", F.create_map().cast("map<string,string>"))))
+    variants = F.aggregate(F.transform(ordered("_v"), F.map_from_entries), F.create_map().cast("map<string,string>"), lambda a, m: F.map_concat(a, F.map_filter(m, lambda k, v: ~F.coalesce(F.map_contains_key(a, k), F.lit(False)))))
     return rows.groupBy(F.col("primary_id").alias("claim_id")).agg(
         F.array_distinct(F.flatten(ordered("tags"))).alias("tags"), variants.alias("variants"), F.sum("recurrence").alias("recurrence"), F.max("confidence").alias("confidence"),
         F.array_sort(F.collect_set(F.when(F.col("_first") == 1, F.col("claim_id")))).alias("merged_from"),

@@ -115,7 +115,7 @@ def q_greedy_dedup(spark, sf_dir):
 SELECT a.id, EXISTS (SELECT 1 FROM n e WHERE e.id < 10 AND (e.k = replace(lower(a.name), ' ', '') OR contains(replace(lower(a.name), ' ', ''), e.k) OR contains(e.k, replace(lower(a.name), ' ', '')))) AS duplicate FROM a""")
 def q_project_dedup(spark, sf_dir):
     rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("id"), F.concat(F.lit("Supplier no "), F.col("s_suppkey").cast("string")).alias("name"))
-    known = F.array(*[F.lit(f"supplier-no. {i}") for i in range(1, 10)])
+    known = F.array(*[F.lit(f"supplier-no. {i}") for i in range(10)])
     return rows.select("id", claims.known_project(F.col("name"), known).alias("duplicate"))
 
 
@@ -135,7 +135,7 @@ def _proposals(spark):
     return spark.createDataFrame([(1, _PROPOSAL), (2, "목차 없음"), (3, "")], "doc_id long, text string")
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0, 1, 2, 3, 'strict'), (1, 1, 2, 3, 6, 'strict'), (1, 2, 2, 6, 8, 'strict'), (1, 3, 1, 8, 9, 'strict'), (1, 4, 2, 9, 11, 'strict')) t(doc_id, position, level, start, \"end\", mode)")
+@query("SELECT * FROM (VALUES (1::BIGINT, 0, 1, 2, 3, 'strict'), (1, 1, 2, 3, 6, 'strict'), (1, 2, 2, 6, 8, 'strict'), (1, 3, 1, 8, 9, 'strict'), (1, 4, 2, 9, 11, 'strict'), (1, 5, 1, NULL, NULL, 'missed')) t(doc_id, position, level, start, \"end\", mode)")
 def q_toc_align(spark, sf_dir):
     docs = _proposals(spark)
     return documents.aligned(docs, documents.contents(docs))
