@@ -21,4 +21,4 @@ def padded_id(prefix: str, number: Column, width: int) -> Column:
 
 def composite_key(number: Column, order: Column) -> Column:
     """number-order, or the number alone where there is no order."""
-    return F.when(F.coalesce(order, F.lit("")) == "", number).otherwise(F.concat_ws("-", number, order))
+    return F.when(F.coalesce(order, F.lit("")) == "", number).otherwise(F.concat(number, F.lit("-"), order))

@@ -59,7 +59,7 @@ def search_text(*columns: Column | str) -> Column:
 
 def split_list(text: Column, by: str = ",") -> Column:
     """Parts of a delimited text, trimmed, blanks dropped."""
-    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), by), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def list_length(text: Column, by: str = ",") -> Column:

@@ -35,7 +35,7 @@ def vocabulary_tags(values: Column, vocabulary: list[str]) -> Column:
         near = F.filter(vocab, lambda a: F.contains(v, a) | F.contains(a, v))
         return F.when(F.array_contains(vocab, v), v).otherwise(F.get(near, F.lit(0)))
 
-    trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), F.trim), lambda v: v != "")
+    trimmed = F.filter(F.transform(F.coalesce(values, F.array().cast("array<string>")), lambda v: F.trim(v)), lambda v: v != "")
     return F.array_distinct(F.filter(F.transform(trimmed, word), lambda v: v.isNotNull()))
 
 

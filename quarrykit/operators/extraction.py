@@ -19,7 +19,7 @@ from quarrykit.operators import claims, documents, ordered
 
 def answered(rows: DataFrame, prompt: Column, model: Callable[[str], str]) -> DataFrame:
     """rows with answer and error of the model for each prompt."""
-    schema = rows.withColumns({"answer": F.lit("").cast("string"), "error": F.lit("").cast("string")}).schema
+    schema = rows.withColumns({"answer": F.lit(None).cast("string"), "error": F.lit(None).cast("string")}).schema
     ready = rows.withColumn("_prompt", prompt)
 
     def run(parts):
