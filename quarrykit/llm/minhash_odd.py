@@ -176,8 +176,7 @@ def components(links: DataFrame) -> DataFrame:
     and joined, never gathered in a group.
     """
     edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    state = None
-    while True:
+    while not _stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -185,13 +184,16 @@ def components(links: DataFrame) -> DataFrame:
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
         edges = saved(small.where("u <> v").distinct(), "links")
-        now = edges.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.bit_xor(F.xxhash64("u", "v"))).first()
-        if now == state:
-            break
-        state = now
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Each node has one smaller neighbour or is one, never both: components are read off."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return per.agg(F.max(F.col("up") + F.when(F.col("up") > 0, F.col("down")).otherwise(0))).first()[0] in (None, 0, 1)
+
+
 def _sketches_near(x: str, y: str):
     bits = [F.bit_count(F.element_at(x, i + 1).bitwiseXOR(F.element_at(y, i + 1))) for i in range(SKETCH_WORDS)]
     return reduce(lambda p, q: p + q, bits) <= MOST_BITS
