@@ -189,23 +189,6 @@ def sliding(x: np.ndarray, w: int, op) -> np.ndarray:
     return op(have[:n], have[w - size : w - size + n])
 
 
-def anchors(codes: np.ndarray, valid: np.ndarray, w: int) -> np.ndarray:
-    """Starts that are the least code of some run of w valid starts.
-
-    The choice depends on the codes in the run alone, so equal stretches of
-    text choose equal anchors; ties are all taken.
-    """
-    n = len(codes)
-    if n < w:
-        return np.zeros(0, np.int64)
-    least = sliding(codes, w, np.minimum)
-    whole = sliding(valid, w, np.logical_and)
-    least = np.where(whole, least, U64(0))
-    pad = np.zeros(w - 1, U64)
-    most = sliding(np.concatenate([pad, least, pad]), w, np.maximum)
-    return np.flatnonzero((most == codes) & (most > 0))
-
-
 def covered(starts: np.ndarray, k: int, n: int) -> np.ndarray:
     """Mask of n cells that lie in a window of k from one of the starts."""
     delta = np.bincount(starts, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(starts + k, n), minlength=n + 1)[: n + 1]
