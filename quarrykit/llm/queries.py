@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import decontaminate, html_wrapper, pii_feistel, quality_knn, quality_rules, sentencepiece_ac, url_reputation
+from quarrykit.llm import decontaminate, html_wrapper, minhash_odd, pii_feistel, quality_knn, quality_rules, rlz_dedup, sentencepiece_ac, url_reputation
 from quarrykit.llm.minhash_odd import near_duplicates
 from quarrykit.llm.rlz_dedup import remove_repeated_phrases
 from quarrykit.llm.suffix_dedup import remove_repeated_bytes
@@ -74,5 +74,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op1_url_reputation": url_reputation.ORACLE,
+    "op2_rlz_dedup": rlz_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op10_minhash_odd": minhash_odd.ORACLE,
 }

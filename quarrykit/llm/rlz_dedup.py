@@ -249,3 +249,16 @@ def _parsed(p: _Parse, found: np.ndarray, phrase: int) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
         [pa.array(p.ids), pa.array(np.diff(p.woffs)), pa.array(np.diff(removed[p.woffs])), _kept_text(p, ~gone), pa.ListArray.from_arrays(pa.array(list_offs), factor)], schema=_OUT
     )
+
+
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+win AS (SELECT rid, doc_id, i, array_to_string(w[i:i + {PHRASE - 1}], ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {PHRASE - 2})) AS i FROM d WHERE len(w) >= {PHRASE})),
+hit AS (SELECT rid, i, f FROM win JOIN (SELECT g, min(doc_id) AS f FROM win GROUP BY g) USING (g) WHERE f < doc_id),
+fac AS (SELECT rid, count(*) AS n FROM (SELECT *, lag(i) OVER w AS pi, lag(f) OVER w AS pf FROM hit WINDOW w AS (PARTITION BY rid ORDER BY i)) WHERE pi IS NULL OR pi <> i - 1 OR pf <> f GROUP BY rid),
+gone AS (SELECT DISTINCT rid, unnest(range(i, i + {PHRASE})) AS p FROM hit),
+kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (rid, p) GROUP BY rid),
+n AS (SELECT rid, count(*) AS c FROM gone GROUP BY rid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(c, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256, coalesce(fac.n, 0)::BIGINT AS n_factors
+FROM d LEFT JOIN n USING (rid) LEFT JOIN kept USING (rid) LEFT JOIN fac USING (rid)
+"""
