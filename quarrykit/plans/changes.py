@@ -96,7 +96,7 @@ def q_latest_balance(spark, sf_dir):
     return ledger.latest_balance(_entries(spark, sf_dir), "user_id")
 
 
-@query(f"WITH {_LEDGER}, m AS (SELECT max(created_at) AS t FROM events) SELECT coalesce(sum(abs(amount)), 0) AS used, count(*) AS n FROM l, m WHERE type = 'usage' AND created_at >= date_trunc('month', t) AND created_at <= t")
+@query(f"WITH {_LEDGER}, m AS (SELECT max(created_at) AS t FROM l) SELECT coalesce(sum(abs(amount)), 0) AS used, count(*) AS n FROM l, m WHERE type = 'usage' AND created_at >= date_trunc('month', t) AND created_at <= t")
 def q_month_to_date_usage(spark, sf_dir):
     rows = _entries(spark, sf_dir)
     last = rows.agg(F.max("created_at").alias("t"), F.lit(1).alias("one"))
