@@ -49,7 +49,7 @@ def q_json_props(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", jsonx.decoded(F.col("props"), "k long")["k"].alias("k"), jsonx.json_in_text(answer).alias("found"))
 
 
-@query("""SELECT event_id, round(coalesce((event_id * 10 / 1000000 * pi + user_id / 1000000 * po) * 1400, 0), 1) AS cost FROM (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 3.0 END AS pi, CASE event_type WHEN 'click' THEN 5.0 WHEN 'view' THEN 15.0 END AS po FROM events)""")
+@query("""SELECT event_id, round(coalesce((event_id * 10 / 1000000 * pi + user_id / 1000000 * po) * 1400, 0)::VARCHAR::DECIMAL(38, 20), 1)::DOUBLE AS cost FROM (SELECT event_id, user_id, CASE event_type WHEN 'click' THEN 1.0 WHEN 'view' THEN 3.0 END AS pi, CASE event_type WHEN 'click' THEN 5.0 WHEN 'view' THEN 15.0 END AS po FROM events)""")
 def q_token_cost(spark, sf_dir):
     model = F.when(F.col("event_type") == "click", "small").when(F.col("event_type") == "view", "model-large-1").otherwise("other")
     p_in, p_out = cost.prices_of(model)
