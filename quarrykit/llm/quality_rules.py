@@ -88,9 +88,8 @@ def measures(text: Column) -> Column:
         bare = F.replace(bare, F.lit(c), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
     line_counts = let(lines, lambda a: F.struct(_n(a).alias("n_lines"), (_n(a) - _n(F.array_distinct(a))).alias("n_dup_lines")))
-    stop = F.array(*[F.lit(w) for w in dict.fromkeys(STOP_WORDS)])
-    # Distinct words meet the list; only then is the text's own array filtered by what was met.
-    others = lambda w: let(F.array_intersect(w, stop), lambda met: F.when(F.size(met) == 0, _n(w)).otherwise(F.lit(0).cast("long")))
+    stop = list(dict.fromkeys(STOP_WORDS))
+    others = lambda w: _n(F.filter(w, lambda x: ~x.isin(stop)))
     by_words = let(words_of(text), lambda w: F.struct(_n(w).alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words"), others(w).alias("n_other_words")))
     return let(
         F.struct(by_words.alias("w"), line_counts.alias("l")),

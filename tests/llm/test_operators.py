@@ -97,6 +97,15 @@ def test_kept_returns_columns(spark):
     assert [tuple(r) for r in quality_rules.kept(df).collect()] == [(1, good, "m")]
 
 
+def test_words_outside_the_list_are_counted(spark):
+    rare = [f"word{i}" for i in range(1000)]
+    texts = [rare[:999] + ["the"], rare[:990] + ["the"] * 10, rare, rare[:199] + ["the"], []]
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_other_words"], r["fails_no_stop_words"], r["kept"]) for r in quality_rules.judge(df).collect()}
+    assert got == {0: (999, True, False), 1: (990, False, True), 2: (1000, True, False), 3: (199, False, True), 4: (0, False, False)}
+    assert [r["doc_id"] for r in quality_rules.kept(df).orderBy("doc_id").collect()] == [1, 3]
+
+
 # HTML extraction
 
 PAGE = "<html><body class='has-sidebar'><nav>menu</nav><div id='cookie-notice'>we use</div><div class='strap'>Daily news</div><article><h1>T{0} &amp; x</h1><p>one {0}<br>two <b>bold<p>three<ul><li>l1<li>l2</ul><div class='x9'>Follow us</div><script>var t='</p>';</script></article><section class='comments'><p>nice</p></section><footer>f</footer></body></html>"
