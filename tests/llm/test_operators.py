@@ -143,6 +143,36 @@ def test_tree_matching_is_order_preserving():
     assert html_wrapper.size(n("r", *a), n("r", *b)) == 4
 
 
+def _texts(df):
+    return {r["page_id"]: r["text"] for r in html_wrapper.main_text(df).collect()}
+
+
+def test_boxes_after_many_runs_are_template(spark):
+    runs = "".join(f"<h2>h{{0}} {k}</h2><p>p{{0}} {k}</p>" for k in range(20))
+    page = f"<article>{runs}<div class='bio'>Written by us</div></article>"
+    bare = f"<body>{runs}<div class='bottom'>All rights</div></body>"
+    rows = [(i, "http://a/", page.format(i)) for i in range(6)] + [(10 + i, "http://b/", bare.format(i)) for i in range(6)]
+    got = _texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    want = ["\n\n".join(f"h{i} {k}\n\np{i} {k}" for k in range(20)) for i in range(6)]
+    assert got == {i: want[i] for i in range(6)} | {10 + i: want[i] for i in range(6)}
+
+
+def test_deep_boxes_are_template(spark):
+    page = "<body>" + "<div class='in'>" * 20 + "<div class='bottom'>All rights</div><p>text {0}</p>" + "</div>" * 20 + "</body>"
+    df = spark.createDataFrame([(i, "http://h/", page.format(i)) for i in range(6)], "page_id long, url string, html string")
+    assert _texts(df) == {i: f"text {i}" for i in range(6)}
+
+
+def test_template_does_not_depend_on_the_partitions(spark):
+    # Many layouts of one host: each page has boxes of its own around a common one.
+    own = lambda i: "".join(f"<div class='w{chr(97 + (i * 7 + k * k) % 26)}{chr(97 + k)}'>x{i} {k}</div>" for k in range(20))
+    rows = [(i, "http://h/", f"<body>{own(i)}<div class='bottom'>All rights</div>{own(i + 1)}</body>") for i in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = [_texts(df.coalesce(1)), _texts(df.orderBy(F.desc("page_id")).coalesce(1)), _texts(df.repartition(7))]
+    assert got[0] == got[1] == got[2]
+    assert not any("All rights" in t for t in got[0].values())
+
+
 # SentencePiece
 
 
