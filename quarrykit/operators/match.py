@@ -2,7 +2,7 @@
 
 A keyword list is small reference data; it goes into the plan as one array and
 every text is tested against it in place.  A list beyond ``MOST_KEYWORDS`` is
-instead cut into words and joined by its first word.
+instead joined by its keywords' first letters.
 """
 
 from __future__ import annotations
@@ -37,18 +37,15 @@ def matched(rows: DataFrame, text: Column, keywords: DataFrame) -> DataFrame:
 
 
 def _joined(rows: DataFrame, text: Column, keywords: DataFrame, gram: int = 3) -> DataFrame:
-    """Long lists: an equi-join on the keywords' first letters, then the containment test."""
+    """Long lists: an equi-join on the keywords' first letters (all of a shorter one's), then the containment test."""
     lower = F.lower(text)
     rows = rows.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", lower)
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1))), lambda i: F.substring(F.col("_text"), i, F.lit(gram))))
+    at = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
+    of = lambda n: F.transform(at, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
+    grams = F.array_distinct(F.concat(*[of(n) for n in range(1, gram + 1)]))
     words = keywords.select("keyword").where("keyword <> ''").distinct().withColumn("_gram", F.substring(F.lower("keyword"), 1, gram))
-    short = words.where(F.length("keyword") < gram)
-    long = words.where(F.length("keyword") >= gram)
     cells = rows.select("_rid", "_text", F.explode(grams).alias("_gram"))
-    found = cells.join(long, "_gram").where(F.contains("_text", F.lower("keyword"))).select("_rid", "keyword")
-    listed = [r[0] for r in short.select("keyword").limit(MOST_KEYWORDS).collect()]  # there are few texts of one or two letters
-    if listed:
-        found = found.unionByName(rows.select("_rid", F.explode(hits(F.col("_text"), listed)).alias("keyword")))
+    found = cells.join(words, "_gram").where(F.contains("_text", F.lower("keyword"))).select("_rid", "keyword")
     by_row = found.groupBy("_rid").agg(F.array_sort(F.collect_set("keyword")).alias("_hits"))
     return rows.join(by_row, "_rid").withColumns({"keywords": F.array_join("_hits", ","), "n_keywords": F.size("_hits")}).drop("_rid", "_text", "_hits")
 

@@ -32,6 +32,14 @@ def test_long_keyword_lists_match_alike(spark):
     assert rows(match.without_contained(words)) == [("SOL",), ("panel",), ("wi",), ("x",)]
 
 
+def test_long_lists_keep_all_short_keywords(spark):
+    pairs = [chr(0xAC00 + i // 50) + chr(0xB000 + i % 50) for i in range(2500)]
+    docs = spark.createDataFrame([(i, f"x {k} y") for i, k in enumerate(pairs)] + [(3000, "!aQ"), (3001, "-"), (3002, None)], "id int, t string")
+    words = spark.createDataFrame([(k,) for k in [*pairs, "Q", "long word"]], "keyword string")
+    got = rows(match.matched(docs, F.col("t"), words).select("id", "keywords", "n_keywords"))
+    assert got == [(i, k, 1) for i, k in enumerate(pairs)] + [(3000, "Q", 1)]
+
+
 def test_upsert_tag_and_unique(spark):
     base = spark.createDataFrame([(1, "a", 1), (2, "b", 2)], "id int, t string, n int")
     new = spark.createDataFrame([(2, None, 5), (3, "c", 6)], "id int, t string, n int")
