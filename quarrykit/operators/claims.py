@@ -61,27 +61,38 @@ def similar_pairs(claims: DataFrame, threshold: float = THRESHOLD, limit: int =
     return scored.select("category", "a", "b", "similarity").orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 
-def greedy_merge(claims: DataFrame, threshold: float = THRESHOLD, order: str = "id") -> DataFrame:
+def greedy_merge(claims: DataFrame, threshold: float = THRESHOLD, order: str | list[str] = "id") -> DataFrame:
     """Greedy merging within a category, in order.
 
-    A claim joins the first representative it resembles; the representative then
-    takes the longer statement, the union of tags and sections, missing variants
-    and the higher confidence.  Sequential by definition, so a category is one
-    group; equal statements are folded before it.
+    A claim joins the first representative it resembles as that stands by then;
+    the representative takes the longer statement, the union of tags and
+    sections, missing variants and the higher confidence (those of them that the
+    claims have).  All other columns, such as the source, stay those of its first
+    claim.  Sequential by definition, so a category is one group; equal statements
+    are not folded before it, as a representative may change between them.
     """
-    folded = claims.groupBy("category", "statement").agg(
-        F.min(order).alias(order), F.count("*").alias("recurrence"), F.max("confidence").alias("confidence"), F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct(order, "tags"))), lambda x: x["tags"]))).alias("tags")
-    )
+    order = [order] if isinstance(order, str) else order
+    rows = claims if "recurrence" in claims.columns else claims.withColumn("recurrence", F.lit(1).cast("long"))
+    unions = [c for c in ("tags", "sections") if c in rows.columns]
 
     def merge(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[dict] = []
         for row in pdf.sort_values(order).to_dict("records"):
-            row["tags"] = list(row["tags"])
+            row |= {c: [] if row[c] is None else list(row[c]) for c in unions}
+            if "variants" in row:
+                row["variants"] = dict(row["variants"] or {})
+            alike = SequenceMatcher(None, "", row["statement"])
             for have in kept:
-                if SequenceMatcher(None, have["statement"], row["statement"]).ratio() >= threshold:
+                alike.set_seq1(have["statement"])
+                # The quick ratios bound the ratio from above.
+                if alike.real_quick_ratio() >= threshold and alike.quick_ratio() >= threshold and alike.ratio() >= threshold:
                     have["recurrence"] += row["recurrence"]
                     have["confidence"] = max(have["confidence"], row["confidence"])
-                    have["tags"] = list(dict.fromkeys(have["tags"] + row["tags"]))
+                    for c in unions:
+                        have[c] = list(dict.fromkeys(have[c] + row[c]))
+                    for k, v in row.get("variants", {}).items():
+                        if v:
+                            have["variants"].setdefault(k, v)
                     if len(row["statement"]) > len(have["statement"]):
                         have["statement"] = row["statement"]
                     break
@@ -89,7 +100,7 @@ def greedy_merge(claims: DataFrame, threshold: float = THRESHOLD, order: str = "
                 kept.append(row)
         return pd.DataFrame(kept, columns=pdf.columns)
 
-    return folded.groupBy("category").applyInPandas(merge, folded.schema)
+    return rows.groupBy("category").applyInPandas(merge, rows.schema)
 
 
 def merged(claims: DataFrame, groups: DataFrame) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit import schemas
@@ -38,15 +38,24 @@ def answered(rows: DataFrame, prompt: Column, model: Callable[[str], str]) -> Da
 
 
 def extract_claims(docs: DataFrame, template: str, model: Callable[[str], str], vocabulary: list[str], key: str = "doc_id", per_section: int = 12) -> DataFrame:
-    """Claims of all documents: sections, model, valid claims, best of a section, greedy merge, ids."""
-    sections = documents.wanted_sections(documents.sections(docs, key)).select(key, "name", "text")
+    """Claims of all documents: sections, model, valid claims, best of a section, greedy merge, ids.
+
+    key, name and start say where a claim was met first.  Claims are merged by
+    document, section and their order there, which is that of confidence only
+    where a section has more than per_section.
+    """
+    sections = documents.wanted_sections(documents.sections(docs, key)).select(key, "name", "start", "text")
     rows = answered(sections, text.fill_template(F.lit(template), {"section": F.col("name"), "text": F.col("text")}), model)
-    parsed = rows.select(key, "name", F.from_json(jsonx.json_in_text(F.col("answer")), schemas.ANSWER).alias("j"))
-    each = parsed.select(key, "name", F.posexplode("j.claims").alias("n", "c")).select(key, "name", "n", "c.*")
+    parsed = rows.select(key, "name", "start", F.from_json(jsonx.json_in_text(F.col("answer")), schemas.ANSWER).alias("j"))
+    each = parsed.select(key, "name", "start", F.posexplode("j.claims").alias("n", "c")).select(key, "name", "start", "n", "c.*")
+    each = each.withColumnsRenamed({"proposal_sections": "sections", "length_variants": "variants"})
     each = claims.valid_claims(each).withColumn("tags", claims.vocabulary_tags(F.col("tags"), vocabulary))
-    best = ordered.top_k(each, [key, "name"], [F.desc("confidence"), "n"], per_section).drop("rank")
+    section = [key, "name", "start"]
+    sized = each.withColumn("_all", F.count("*").over(Window.partitionBy(*section)))
+    best = ordered.top_k(sized, section, [F.desc("confidence"), "n"], per_section)
+    best = best.withColumn("place", F.when(F.col("_all") > per_section, F.col("rank")).otherwise(F.col("n"))).drop("_all", "rank")
     best = best.withColumn("id", F.xxhash64(key, "name", "n"))
-    return claims.greedy_merge(best).withColumn("claim_id", keys.claim_id(F.col("id").cast("string"), F.col("statement")))
+    return claims.greedy_merge(best, order=[key, "start", "place"]).withColumn("claim_id", keys.claim_id(F.col(key).cast("string"), F.col("statement"))).drop("place")
 
 
 def analyse(notices: DataFrame, balances: DataFrame, files: DataFrame, template: str, model: Callable[[str], str], account: str = "account") -> DataFrame:

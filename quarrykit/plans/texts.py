@@ -107,8 +107,9 @@ def q_near_dup_pairs(spark, sf_dir):
 
 @query()
 def q_greedy_dedup(spark, sf_dir):
-    rows = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("id"), F.concat(F.lit("c"), (F.col("item_id") % 6).cast("string")).alias("category"), F.col("text").alias("statement"), F.array(F.lit("t")).alias("tags"), F.lit(0.9).alias("confidence"))
-    return claims.greedy_merge(rows).select("category", "id", "statement", "recurrence", "confidence")
+    d = table(spark, sf_dir, "documents").withColumns({"category": F.concat_ws("/", "source", "lang"), "statement": F.coalesce(F.substring_index("text", "\n", 1), F.lit(""))})
+    rows = d.select(F.col("doc_id").alias("id"), "source", "category", "statement", F.array("lang").alias("tags"), F.array("source").alias("sections"), F.lit(0.9).alias("confidence"))
+    return claims.greedy_merge(rows).select("category", "id", "source", "statement", "sections", "tags", "recurrence", "confidence")
 
 
 @query("""WITH a AS (SELECT s_suppkey AS id, 'Supplier no ' || s_suppkey AS name FROM supplier), n AS (SELECT id, replace(lower(name), ' ', '') AS k FROM a)

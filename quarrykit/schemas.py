@@ -17,4 +17,4 @@ CLAIM = (
 )
 HINT = "id long, source_id long, type string, name string, year int, organization string, section string, action string"
 FEED_ITEMS = "totalCount long, data array<map<string, string>>"
-ANSWER = "struct<claims: array<struct<category: string, statement: string, tags: array<string>, confidence: double>>, quantitative_hints: array<struct<type: string, name: string, year: int, org: string>>>"
+ANSWER = "struct<claims: array<struct<category: string, statement: string, tags: array<string>, proposal_sections: array<string>, length_variants: map<string, string>, confidence: double>>, quantitative_hints: array<struct<type: string, name: string, year: int, org: string>>>"

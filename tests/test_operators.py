@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import zipfile
@@ -120,6 +121,39 @@ def test_greedy_merge_compares_with_representative(spark):
     assert got == [("k", "abcdefghijk", 2, ["x", "y"], 0.9), ("k", "zzz", 1, ["z"], 0.8), ("l", "abcdefghij", 1, ["w"], 0.6)]
 
 
+def test_greedy_merge_keeps_sections_variants_and_source(spark):
+    data = [
+        (1, 7, "k", "abcdefghij", ["x"], ["s1"], {"short": "a", "long": ""}, 0.7), (2, 8, "k", "abcdefghijk", ["y"], ["s2", "s1"], {"short": "b", "tag": "t", "none": ""}, 0.9),
+        (3, 9, "k", "zzz", ["z"], None, None, 0.8),
+    ]
+    c = spark.createDataFrame(data, "id int, doc int, category string, statement string, tags array<string>, sections array<string>, variants map<string,string>, confidence double")
+    got = rows(claims.greedy_merge(c).select("id", "doc", "statement", "tags", "sections", "variants", "recurrence", "confidence"), "id")
+    assert got == [(1, 7, "abcdefghijk", ["x", "y"], ["s1", "s2"], {"short": "a", "long": "", "tag": "t"}, 2, 0.9), (3, 9, "zzz", ["z"], [], {}, 1, 0.8)]
+
+
+def test_greedy_merge_meets_equal_statements_in_order(spark):
+    # The third claim equals the first, but by then the representative has grown out of its reach.
+    grown = "abcdefghij" + "klm"
+    c = spark.createDataFrame([(1, "k", "abcdefghij", ["x"], 0.7), (2, "k", grown, ["y"], 0.7), (3, "k", grown + "nopq", ["z"], 0.7), (4, "k", "abcdefghij", ["w"], 0.7)], "id int, category string, statement string, tags array<string>, confidence double")
+    got = rows(claims.greedy_merge(c).select("id", "statement", "recurrence", "tags"), "id")
+    assert got == [(1, grown + "nopq", 3, ["x", "y", "z"]), (4, "abcdefghij", 1, ["w"])]
+
+
+def _ordered_model(prompt: str) -> str:
+    name, body = prompt.split(": ", 1)
+    say = lambda s, c: {"category": "USP", "statement": s, "tags": ["mentor"], "proposal_sections": [name], "length_variants": {"at": name}, "confidence": c}
+    return json.dumps({"claims": [say("We ship our goods by sea", 0.7), say(f"Only {name}", 0.9)]})
+
+
+def test_extracted_claims_go_by_document_and_section(spark):
+    docs = spark.createDataFrame([(i, _PROPOSAL) for i in (2, 1)], "doc_id long, text string")
+    names = [r["name"] for r in documents.wanted_sections(documents.sections(docs)).where("doc_id = 1").orderBy("start").collect()]
+    got = {r["statement"]: r for r in extraction.extract_claims(docs, "{section}: {text}", _ordered_model, ["mentor"]).collect()}
+    r = got["We ship our goods by sea"]
+    assert (r["doc_id"], r["name"], r["sections"], r["variants"], r["recurrence"]) == (1, names[0], names, {"at": names[0]}, 2 * len(names))
+    assert r["claim_id"] == "cl_" + hashlib.md5(b"1:We ship our goods by sea").hexdigest()[:8]
+
+
 def test_preview_and_apply(spark):
     h = spark.createDataFrame([(1, 7, "실적", "Harbour project 2024"), (2, 7, "실적", "Tiny"), (3, 7, "인증", "Certificate of venture"), (4, 7, "기타", "else")], "id int, source_id int, type string, name string")
     p = spark.createDataFrame([(7, ["harbour-project"])], "source_id int, names array<string>")
