@@ -7,6 +7,8 @@ row.  A bucket sees at most one entry per block for any code, however hot the
 code is, answers with flags in the order of the request, and the block, which
 can rebuild the same array from its documents, lines the answers up again.
 Spark moves the rows, groups them and replans; numpy does the per-row work.
+There are as many buckets as blocks, but a block sends no empty rows: rows never
+outnumber codes, so traffic grows with the input however many blocks there are.
 """
 
 from __future__ import annotations
@@ -27,17 +29,24 @@ _REQUEST = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("n", pa.in
 _ANSWER = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("body", pa.binary())])
 
 
-def block_count(df: DataFrame, block_bytes: int = BLOCK_BYTES) -> int:
-    """Blocks (and buckets) that keep each at about block_bytes of the input."""
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+def block_count(df: DataFrame, text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> int:
+    """Blocks (and buckets) that keep each at about block_bytes of the input.
+
+    The size is that of the files read; where the plan doesn't know it (rows made by
+    a program) the texts are measured.  Estimates of joins are not trusted.
+    """
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    size = sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
+    if size >= 1 << 55:
+        size = df.agg(F.sum(F.octet_length(F.col(text_col).cast("string")))).first()[0] or 0
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(1, least, math.ceil(min(size, 1 << 62) / block_bytes) if size < 1 << 55 else 1)
+    return max(1, least, math.ceil(size / block_bytes))
 
 
 def in_blocks(docs: DataFrame, id_col: str, text_col: str, n: int) -> DataFrame:
-    """id (null: the largest), text and block."""
+    """id (null: the largest), text and block, by a hash of both: one id, or null, on many rows fills no block."""
     return docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit((1 << 63) - 1)).alias("id"), F.col(text_col).cast("string").alias("text")).select(
-        F.pmod(F.xxhash64("id"), F.lit(n)).cast("int").alias("block"), "id", "text"
+        F.pmod(F.xxhash64("id", "text"), F.lit(n)).cast("int").alias("block"), "id", "text"
     )
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import decontaminate, html_wrapper, minhash_odd, pii_feistel, quality_knn, quality_rules, rlz_dedup, sentencepiece_ac, url_reputation
+from quarrykit.llm import decontaminate, html_wrapper, minhash_odd, pii_feistel, quality_knn, quality_rules, rlz_dedup, sentencepiece_ac, suffix_dedup, url_reputation
 from quarrykit.llm.minhash_odd import near_duplicates
 from quarrykit.llm.rlz_dedup import remove_repeated_phrases
 from quarrykit.llm.suffix_dedup import remove_repeated_bytes
@@ -36,7 +36,7 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = remove_repeated_bytes(_table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "n_shared", F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op6_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,5 +76,6 @@ ORACLES: dict[str, str] = {
     "op1_url_reputation": url_reputation.ORACLE,
     "op2_rlz_dedup": rlz_dedup.ORACLE,
     "op4_quality_rules": quality_rules.ORACLE,
+    "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op10_minhash_odd": minhash_odd.ORACLE,
 }

@@ -135,7 +135,7 @@ def _kept_text(p: _Parse, keep: np.ndarray) -> pa.Array:
 
 def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase: int = PHRASE, seed: int = SEED) -> DataFrame:
     """doc_id, n_words, n_removed, kept_text and factors (start word, words, reference id) per row."""
-    n = X.block_count(docs)
+    n = X.block_count(docs, text_col)
     blocks = X.in_blocks(docs, id_col, text_col, n)
 
     def ask_seeds(table: pa.Table) -> pa.Table:
