@@ -216,11 +216,16 @@ def _distinct_pairs(bucket: np.ndarray, a: np.ndarray, b: np.ndarray):
     return sb[first], sa[first], sc[first], np.diff(np.append(first, len(sb))) > 1, back
 
 
+def _parts(table: pa.Table):
+    """Slices of a block, the same ones in every stage: rows may arrive in another order each time."""
+    return T.slices(table.sort_by([("id", "ascending"), ("text", "ascending")]), "text")
+
+
 def _suffix_requests(table: pa.Table, n: int, sample: int, head: int) -> pa.Table:
     """A block's suffix array to the shards, and its places to itself (bucket n + block)."""
     block = X.block_of(table)
     sizes, start, gap, code, entry = [], [], [], [], []
-    for part in T.slices(table, "text"):
+    for part in _parts(table):
         s = _Slice(part)
         a, p = s.places(sample, head)
         c, e = s.suffixes(p, head)
@@ -259,7 +264,7 @@ def _places(hits: pa.Table, n: int) -> list[tuple[np.ndarray, np.ndarray, np.nda
 
 def _opened(docs: pa.Table, hits: pa.Table, n: int, widths: tuple[int, ...], head: int):
     """Each slice, which of its documents share a symbol with others, and their open windows by width."""
-    for part, (start, place, symbols) in zip(T.slices(docs, "text"), _places(hits, n)):
+    for part, (start, place, symbols) in zip(_parts(docs), _places(hits, n)):
         _, offs = T.raw(part.column("text"))
         owner = np.searchsorted(offs, start, "right") - 1
         some = np.zeros(part.num_rows, bool)
@@ -475,7 +480,7 @@ class Family:
 
         def report(docs_: pa.Table, hits: pa.Table) -> pa.Table:
             out = []
-            for part, (start, _, symbols) in zip(T.slices(docs_, "text"), _places(hits, n) if docs_.num_rows else []):
+            for part, (start, _, symbols) in zip(_parts(docs_), _places(hits, n) if docs_.num_rows else []):
                 _, offs = T.raw(part.column("text"))
                 most = np.zeros(part.num_rows, np.int64)
                 np.maximum.at(most, np.searchsorted(offs, start, "right") - 1, symbols.astype(np.int64) * head)
