@@ -27,9 +27,10 @@ an LCP that reaches the window's end (as far as whole symbols tell, and where it
 place is canonical in the window); others are ruled out.  Of those left, runs of windows with one canonical place are compared
 as one string: where the whole stretch recurs, all its windows do.  Only the
 other windows, near the ends of repeated passages, are compared one by one, by
-128-bit codes; of a stretch that recurs, one copy takes part.  Texts are read
-with equal 64-bit stretch codes under one 64-bit head code, or equal 128-bit
-window codes, as equal bytes.
+64-bit codes and the bits of the bucket, which an independent hash chooses (so
+the code grows with the data); of a stretch that recurs, one copy takes part.
+Equal codes are taken for equal bytes: with w windows to compare, an expected
+w**2 / 2**(65 + log2(buckets)) false pairs, under one for 100 TB like the tables'.
 
 Cases: a null or empty text is zero bytes; texts shorter than ``width`` keep
 every byte; a null id is carried through; equal ids and whole repeated rows are
@@ -374,17 +375,18 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
     def window_requests(opened):
         codes = [o.windows(ask) for o, _, ask in opened if len(ask)]
         a, b = _joined([p[0] for p in codes]), _joined([p[1] for p in codes])
-        return _distinct_pairs(X.bucket_of(b, n), a, b)
+        return _distinct_pairs(X.bucket_of(b, n), a, np.zeros(len(a), np.uint8))
 
     def ask_windows(docs_: pa.Table, both: pa.Table) -> pa.Table:
         if not docs_.num_rows:
             return pa.Table.from_batches([], schema=X._REQUEST)
-        bucket, a, b, twice, _ = window_requests(judged(docs_, *_rounds(both, 2))[1])
-        return pa.Table.from_batches([X.sent(X.block_of(docs_), bucket, [a, b, twice.view(np.uint8)])])
+        bucket, code, _, twice, _ = window_requests(judged(docs_, *_rounds(both, 2))[1])
+        return pa.Table.from_batches([X.sent(X.block_of(docs_), bucket, [code, twice.view(np.uint8)])])
 
     def answer_windows(table: pa.Table) -> pa.Table:
-        (a, b, twice), _, _, offs = X.received(table, [np.uint64, np.uint64, np.uint8])
-        _, _, _, many, back = _distinct_pairs(np.zeros(len(a), np.int32), a, b)
+        (code, twice), _, _, offs = X.received(table, [np.uint64, np.uint8])
+        _, back, count = np.unique(code, return_inverse=True, return_counts=True)
+        many = count > 1
         many |= np.bincount(back, weights=twice, minlength=len(many)) > 0
         return X.answered(table, offs, [many[back]])
 
