@@ -164,6 +164,10 @@ class _Slice:
                 first[at] = code
         return first, np.ascontiguousarray(out).view(_ENTRY).ravel()
 
+    def release(self) -> None:
+        """Eight bytes a byte of text: kept for one slice at a time."""
+        self._roll = None
+
     def second(self) -> T.Rolling:
         return T.Rolling(T.byte_codes(T._SEED + 1)[self.data], T.BASE_BYTE2)
 
@@ -276,7 +280,9 @@ def _opened(docs: pa.Table, hits: pa.Table, n: int, widths: tuple[int, ...], hea
         mine = some[owner]
         shift = np.concatenate([[0], np.cumsum(np.where(some, 0, np.diff(offs)))])[owner[mine]]
         s = _Slice(part.filter(pa.array(some)))
-        yield part, some, [_Open(s, start[mine] - shift, place[mine] - shift, symbols[mine], w, min(widths), head) for w in widths]
+        opened = [_Open(s, start[mine] - shift, place[mine] - shift, symbols[mine], w, min(widths), head) for w in widths]
+        s.release()
+        yield part, some, opened
 
 
 def _scan_batch(table: pa.Table, stored: pa.Table, n: int, batches: int) -> pa.Table:
@@ -373,7 +379,12 @@ def remove_repeated_bytes(docs: DataFrame, id_col: str = "doc_id", text_col: str
         return slices, out
 
     def window_requests(opened):
-        codes = [o.windows(ask) for o, _, ask in opened if len(ask)]
+        codes = []
+        for i, (o, _, ask) in enumerate(opened):
+            if len(ask):
+                codes.append(o.windows(ask))
+            if i + 1 == len(opened) or opened[i + 1][0].s is not o.s:
+                o.s.release()
         a, b = _joined([p[0] for p in codes]), _joined([p[1] for p in codes])
         return _distinct_pairs(X.bucket_of(b, n), a, np.zeros(len(a), np.uint8))
 
