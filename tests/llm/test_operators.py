@@ -97,6 +97,23 @@ def test_kept_returns_columns(spark):
     assert [tuple(r) for r in quality_rules.kept(df).collect()] == [(1, good, "m")]
 
 
+def test_line_and_word_ratios(spark):
+    prose = "The ships of the north come in the spring and leave with the first snow of the year"
+    texts = {1: "\n".join(["- the point is made here"] * 3 + [f"\u2022 and of it {i}" for i in range(9)]), 2: "\n".join(f"{prose} {i}..." for i in range(4)), 3: "\n".join([f"{prose} {i}\u2026 " for i in range(3)] + [f"{prose} {i}" for i in range(10, 18)]),
+             4: "a b c d e f g h i j k l m n of", 5: " ".join(["THE", "Of", "und"] * 4 + [f"w{i}" for i in range(188)]), 6: "pneumonoultramicroscopicsilico " * 2 + prose.replace(" ", "x") * 12}
+    df = spark.createDataFrame([(i, t, "z", 0) for i, t in texts.items()], "doc_id long, text string, m string, n_words int")
+    got = {r["doc_id"]: {c for c in r.asDict() if c.startswith("fails_") and r[c]} for r in quality_rules.judge(df).collect()}
+    assert got == {1: {"fails_bullet_lines"}, 2: {"fails_cut_lines"}, 3: set(), 4: {"fails_short_words"}, 5: set(), 6: {"fails_long_words"}}
+    assert quality_rules.judge(df.limit(0)).count() == 0 and quality_rules.kept(df).columns == df.columns
+
+
+def test_a_very_long_text(spark):
+    words = [f"w{i}" for i in range(300_000)]
+    df = spark.createDataFrame([(1, " ".join(words + words[:50]))], "doc_id long, text string")
+    r = quality_rules.judge(df).first()
+    assert (r["n_words"], r["n_repeat_words"], r["n_other_words"]) == (300_050, 100, 300_050)
+
+
 def test_words_outside_the_list_are_counted(spark):
     rare = [f"word{i}" for i in range(1000)]
     texts = [rare[:999] + ["the"], rare[:990] + ["the"] * 10, rare, rare[:199] + ["the"], []]
