@@ -41,6 +41,35 @@ def test_bad_host_is_blocked_and_small_host_shrunk(spark):
     assert got["new.net"][0] == "allow" and got["new.net"][1] < 1
 
 
+def test_hosts_on_both_sides_of_the_limit(spark):
+    """Two hosts of ten are bad nine times in ten, the others one in ten; one rare host has one bad page."""
+    rows = [(100 * h + i, f"http://h{h}.net/p", 0 if (i % 10 > 0) == (h < 2) else 1) for h in range(10) for i in range(100)] + [(5000, "http://rare.net/", 0)]
+    pages = spark.createDataFrame([(i, u, "x", 1.0) for i, u, _ in rows] * 2, "page_id long, url string, bad string, prior double")
+    labels = spark.createDataFrame([(i, q, 0, 7) for i, _, q in rows] + [(i, 1, 0, 7) for i, _, _ in rows], "doc_id long, quality int, toxic int, n int")
+    rep = {r["host"]: r for r in url_reputation.reputation(pages, labels).collect()}
+    assert all(rep[f"h{h}.net"]["n"] == 100 and rep[f"h{h}.net"]["bad"] == (90 if h < 2 else 10) for h in range(10))
+    assert {h for h, r in rep.items() if r["bound"] > r["limit"]} == {"h0.net", "h1.net"}
+    got = {(r["host"], r["verdict"]) for r in url_reputation.judge(pages, labels).collect()}
+    assert {h for h, v in got if v == "block"} == {"h0.net", "h1.net"} and len(got) == 11
+
+
+def test_quantile_equals_simulation(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    cases = [(0.7, 3.0), (2.0, 2.0), (30.0, 900.0), (5e4, 1e5)]
+    df = spark.createDataFrame(cases, "a double, b double").select("a", "b", url_reputation.beta_quantile(F.col("a"), F.col("b")).alias("q"))
+    for row in df.collect():
+        below = (r.beta(row["a"], row["b"], 400_000) < row["q"]).mean()
+        assert abs(below - 0.05) < 0.004
+
+
+def test_null_ids_and_very_long_urls(spark):
+    pages = spark.createDataFrame([(None, "http://a.net/" + "x" * 1_000_000), (1, None)], "page_id long, url string")
+    labels = spark.createDataFrame([(None, 0, 1), (1, None, None)], "doc_id long, quality int, toxic int")
+    assert sorted((str(r["page_id"]), r["host"], r["verdict"]) for r in url_reputation.judge(pages, labels).collect()) == [("1", "", "allow"), ("None", "a.net", "allow")]
+
+
 def test_no_pages(spark):
     assert url_reputation.judge(spark.createDataFrame([], "page_id long, url string"), spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).collect() == []
 
