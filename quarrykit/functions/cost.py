@@ -25,7 +25,7 @@ def token_cost(price_in: Column, price_out: Column, tokens_in: Column, tokens_ou
 def prices_of(model: Column, prices: dict[str, tuple[float, float]] = PRICES) -> tuple[Column, Column]:
     """Exact model name first, else the family its name contains, else null."""
     exact_in = exact_out = family_in = family_out = F.lit(None).cast("double")
-    for name, (p_in, p_out) in prices.items():
+    for name, (p_in, p_out) in reversed(prices.items()):  # of several families the first counts
         exact_in, exact_out = F.when(model == name, p_in).otherwise(exact_in), F.when(model == name, p_out).otherwise(exact_out)
         family_in, family_out = F.when(model.contains(name), p_in).otherwise(family_in), F.when(model.contains(name), p_out).otherwise(family_out)
     return F.coalesce(exact_in, family_in), F.coalesce(exact_out, family_out)

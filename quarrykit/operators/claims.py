@@ -22,9 +22,42 @@ LABELS = r"등록\s*여부|등록증\s*번호|가능\s*여부|사업자\s*등록
 PROJECT_KINDS, CERTIFICATE_KINDS = ("실적",), ("인증", "등록", "인증/등록", "자격", "특허")
 
 
-@F.pandas_udf(DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x or "", y or "").ratio() for x, y in zip(a, b)])
+def similarity(threshold: float):
+    """UDF: the ratio of two texts where it reaches the threshold, else 0.
+
+    Pairs of a batch are taken by their second text, so that what difflib prepares
+    for it is prepared once; its quick ratios bound the ratio from above.
+    """
+
+    @F.pandas_udf(DoubleType())
+    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+        out, match, of = [0.0] * len(a), SequenceMatcher(None), None
+        left, right = a.fillna("").tolist(), b.fillna("").tolist()
+        for i in sorted(range(len(right)), key=right.__getitem__):
+            if left[i] == right[i]:
+                out[i] = 1.0
+                continue
+            if right[i] != of:
+                match.set_seq2(of := right[i])
+            match.set_seq1(left[i])
+            if match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold:
+                r = match.ratio()
+                out[i] = r if r >= threshold else 0.0
+        return pd.Series(out)
+
+    return ratio
+
+
+def letter_counts(value: Column, bins: int = 32) -> Column:
+    """How often the letters of each of bins classes occur."""
+    codes = F.transform(F.split(value, ""), lambda c: F.pmod(F.ascii(c) * 7 + F.length(c) - 1, F.lit(bins)))
+    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(codes, lambda c: c == k)))
+
+
+def may_resemble(a: Column, b: Column, counts_a: Column, counts_b: Column, threshold: float) -> Column:
+    """False only for pairs whose ratio is below the threshold: letters in common bound it from above."""
+    both = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
+    return both * 2 >= threshold * (F.length(a) + F.length(b))
 
 
 def vocabulary_tags(values: Column, vocabulary: list[str]) -> Column:
@@ -45,20 +78,31 @@ def valid_claims(claims: DataFrame, least: float = 0.6) -> DataFrame:
 
 
 def similar_pairs(claims: DataFrame, threshold: float = THRESHOLD, limit: int = 50) -> DataFrame:
-    """Most similar pairs (a before b by id) of a category.
+    """The limit most similar pairs (a before b by id) of a category, ties by a and b.
 
-    Lengths bound the ratio from above (twice the shorter over both), so b's
-    length is within a factor of a's: an equi-join on category and length step,
-    of which only neighbouring steps can match.
+    Equal statements of a category are one; no statement is listed with more than its
+    first limit + 1 ids, as further ones cannot come first.  Lengths and letters in
+    common bound the ratio from above: an equi-join on category and length step, of
+    which only neighbouring steps can match, then the letters, then difflib.
     """
+    first = Window.partitionBy("category", "statement").orderBy("id")
+    ids = claims.where("statement is not null").select("id", "category", "statement").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + 1)
+    # All pairs of one statement: those of its first ids with all others listed.
+    same = ids.groupBy("category", "statement").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
+    same = same.select("category", F.explode(F.slice(F.transform("ids", lambda x, i: F.struct(x.alias("a"), i.alias("i"))), F.lit(1), F.lit(limit))).alias("x"), "ids")
+    same = same.select("category", F.col("x.a").alias("a"), F.explode(F.slice("ids", F.col("x.i") + 2, F.lit(limit))).alias("b"), F.lit(1.0).alias("similarity")).orderBy("a", "b").limit(limit)
+    # Pairs of two statements.
     step = F.floor(F.log(F.greatest(F.length("statement"), F.lit(1))) / F.log(F.lit((2 - threshold) / threshold))).cast("int")
-    rows = claims.select("id", "category", "statement", step.alias("step"))
-    a = rows.select("category", F.col("id").alias("a"), F.col("statement").alias("left"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    b = rows.select("category", F.col("id").alias("b"), F.col("statement").alias("right"), "step")
-    la, lb = F.length("left"), F.length("right")
-    near = a.join(b, ["category", "step"]).where((F.col("a") < F.col("b")) & (F.least(la, lb) * 2 >= threshold * (la + lb)))
-    scored = near.withColumn("similarity", F.when(F.col("left") == F.col("right"), F.lit(1.0)).otherwise(ratio("left", "right"))).where(F.col("similarity") >= threshold)
-    return scored.select("category", "a", "b", "similarity").orderBy(F.desc("similarity"), "a", "b").limit(limit)
+    rows = ids.groupBy("category", "statement").agg(F.min("id").alias("id"), F.max("id").alias("last")).select("*", step.alias("step"), letter_counts(F.col("statement")).alias("letters"))
+    a = rows.select("category", F.col("id").alias("x"), "last", F.col("statement").alias("left"), F.col("letters").alias("letters_a"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
+    b = rows.select("category", F.col("id").alias("y"), F.col("statement").alias("right"), F.col("letters").alias("letters_b"), "step")
+    near = a.join(b, ["category", "step"]).where((F.col("x") < F.col("y")) & may_resemble(F.col("left"), F.col("right"), F.col("letters_a"), F.col("letters_b"), threshold))
+    # The ratio is of the pair in the order of its ids, so both orders count where the ids interleave.
+    near = near.select("category", "left", "right").union(near.where(F.col("last") > F.col("y")).select("category", "right", "left"))
+    scored = near.withColumn("similarity", similarity(threshold)("left", "right")).where(F.col("similarity") >= threshold)
+    of = lambda k, id_: ids.select("category", F.col("statement").alias(k), F.col("id").alias(id_))
+    pairs = scored.join(of("left", "a"), ["category", "left"]).join(of("right", "b"), ["category", "right"]).where("a < b")
+    return same.unionByName(pairs.select("category", "a", "b", "similarity")).orderBy(F.desc("similarity"), "a", "b").limit(limit)
 
 
 def greedy_merge(claims: DataFrame, threshold: float = THRESHOLD, order: str | list[str] = "id") -> DataFrame:
@@ -137,7 +181,8 @@ def known_lines(lines: DataFrame, existing: DataFrame, key: str, threshold: floa
     new = lines.withColumn("_n", text.norm_key(F.col("line")))
     old = existing.select(key, F.explode(F.split("existing", "\n")).alias("_o")).withColumn("_o", text.norm_key(F.col("_o"))).where("_o <> ''").distinct()
     pairs = new.select(key, "_n").distinct().where("_n <> ''").join(old, key)
-    hit = pairs.where((F.col("_n") == F.col("_o")) | (ratio("_n", "_o") >= threshold)).select(key, "_n").distinct().withColumn("duplicate", F.lit(True))
+    near = may_resemble(F.col("_n"), F.col("_o"), letter_counts(F.col("_n")), letter_counts(F.col("_o")), threshold)
+    hit = pairs.where((F.col("_n") == F.col("_o")) | (near & (similarity(threshold)("_n", "_o") >= threshold))).select(key, "_n").distinct().withColumn("duplicate", F.lit(True))
     return new.join(hit, [key, "_n"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("_n")
 
 
@@ -176,6 +221,29 @@ def numbered(claims: DataFrame, keys: list[str], order: str) -> DataFrame:
     return claims.withColumn("n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
 
 
+def project_item(hint: Column) -> Column:
+    """A hint as an item of the project history."""
+    trimmed = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    return F.struct(trimmed(hint["name"]).alias("name"), trimmed(hint["organization"]).alias("client"), F.lit("").alias("amount"), F.coalesce(hint["year"].cast("string"), F.lit("")).alias("period"), F.lit("").alias("role"))
+
+
+def listed(claims: DataFrame, category: str | None = None, verified: int | None = None, source_id: int | None = None) -> DataFrame:
+    """Claims by optional filters, an edited statement over the original, in report order."""
+    if category is not None and category not in CATEGORIES:
+        raise ValueError(f"unknown category: {category}")
+    rows = claims
+    for column, value in (("category", category), ("user_verified", verified), ("source_id", source_id)):
+        rows = rows if value is None else rows.where(F.col(column) == value)
+    edited = F.coalesce(F.nullif("user_edited_statement", F.lit("")), F.col("statement"))
+    return rows.withColumns({"statement_original": F.col("statement"), "statement": edited}).orderBy("category", F.desc("confidence"), "id")
+
+
+def verdict_counts(claims: DataFrame) -> DataFrame:
+    """Claims of each category: all, pending, approved, hidden."""
+    count = lambda v, name: F.count_if(F.col("user_verified") == v).alias(name)
+    return claims.groupBy("category").agg(F.count("*").alias("total"), count(0, "pending"), count(1, "approved"), count(2, "hidden"))
+
+
 def primary_of(a: Column, b: Column) -> Column:
     """Of a pair of structs the one with the higher confidence; the first where equal."""
     return F.when(a["confidence"] >= b["confidence"], a).otherwise(b)

@@ -23,7 +23,7 @@ ANCHOR = r"목\s*차|차\s*례|CONTENTS|Contents|목\s*록"
 CERTIFICATE_NUMBER = r"(?U)제\s*[\w\d*\-]+\s*호"
 CERTIFICATE_WORDS = ("인증", "등록", "확인서", "Main-Biz", "메인비즈", "벤처기업")
 SKIPPED_SECTIONS = ("사업의 필요성", "사업필요성", "추진배경", "사업목표", "사업목적", "기대효과", "파급효과", "제안개요")
-DECORATION = "▸▶▼▽◇◆◈○●◎◦ㅇ★☆♦♠♣♥〓→←↑↓⇒⇐⇑⇓"
+DECORATION = "▸▶▼▽◇◆◈○●◎◦ㅇ★☆♦♠♣♥〒〓→←↑↓⇒⇐⇑⇓"
 FILE_LINK = r"(?i)\.(?:pdf|hwp|hwpx|docx?|xlsx?|pptx?|zip|rar|7z|alz|egg)(?:\?|$|#|&)"
 DOWNLOAD_LINK = r"(?i)(?:download|fileDown|attachDown|getFile|file_download|dnFile|atchFileDown)"
 IMAGE_LINK = r"(?i)\.(?:jpg|jpeg|png|gif|bmp|svg|ico)(?:\?|$)"
@@ -182,20 +182,82 @@ def aligned(docs: DataFrame, found: DataFrame, key: str = "doc_id", column: str
     return out.select(key, "position", "level", "start", F.when(F.col("start").isNotNull(), F.coalesce("next", "total")).alias("end"), "mode")
 
 
+def section_names(entries: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, position, level and display name of each entry; below the top the name opens with the last roman numeral before it."""
+    rows = entries.select(key, F.explode("entries").alias("e")).select(key, "e.*")
+    rows = ordered.carried(rows.withColumn("_top", F.when(F.col("level") == 1, F.regexp_extract("marker", f"[{ROMAN}]", 0))), [key], "position", "_top", "_roman")
+    marker = F.when(F.col("level") == 2, F.regexp_replace("marker", r"\.+$", "")).otherwise(F.col("marker"))
+    name = F.when(F.col("level") == 1, F.concat_ws(" ", "marker", "title")).otherwise(F.concat(F.coalesce("_roman", F.lit("")), F.lit("."), marker, F.lit(" "), F.col("title")))
+    return rows.select(key, "position", "level", F.trim(name).alias("name"))
+
+
+def diagnosis(files: DataFrame, key: str = "file") -> DataFrame:
+    """A row per parsed file (key, success, text): sizes, sections, wanted ones, contents found, and its status."""
+    docs = files.select(key, "text")
+    found = sections(docs, key)
+    counts = found.groupBy(key).agg(F.count("*").alias("sections")).join(wanted_sections(found).groupBy(key).agg(F.count("*").alias("targets")), key, "left")
+    anchor = contents(docs, key).select(key, F.col("anchor_line").isNotNull().alias("has_contents"))
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    out = files.join(counts, key, "left").join(anchor, key, "left").select(
+        key, F.coalesce("success", F.lit(False)).alias("success"), zero(F.length("text")).alias("text_len"), F.when(F.length("text") > 0, F.size(F.split("text", "\n"))).otherwise(0).alias("line_count"),
+        zero("sections").alias("sections"), zero("targets").alias("targets"), F.coalesce("has_contents", F.lit(False)).alias("has_contents"),
+    )
+    return out.withColumns({"silent_fail": F.col("success") & (F.col("sections") == 0), "status": file_status(F.col("success"), F.col("sections"))})
+
+
+def file_status(success: Column, n_sections: Column) -> Column:
+    return F.when(~success, "PARSE_FAIL").when(n_sections > 0, "ok").otherwise("no_sections")
+
+
+def run_status(success: Column, has_dump: Column, found: Column) -> Column:
+    """How far a contents run came."""
+    return F.when(~success, "parse_fail").when(~has_dump, "no_dump").when(~found, "toc_not_found").otherwise("ok")
+
+
+def diagnosis_summary(rows: DataFrame) -> DataFrame:
+    """One row: files, parsed, silent failures, contents found."""
+    return rows.agg(F.count("*").alias("files"), F.count_if("success").alias("parsed"), F.count_if("silent_fail").alias("silent"), F.count_if("has_contents").alias("with_contents"))
+
+
+def rates_by_mode(matches: DataFrame) -> DataFrame:
+    """Entries by level and mode."""
+    return matches.groupBy("level", "mode").agg(F.count("*").alias("n"))
+
+
+# The two named download calls of notice boards, and where their files lie.
+CALL_TWO = r"fncFileDownload\s*\(\s*'([^']+)'\s*,\s*'([^']+)'\s*\)"
+CALL_ID = r"fileDown\s*\(\s*'(\d+)'\s*\)"
+CALL_FILE = r"(?i)['\"]([^'\"]+\.(?:pdf|hwp|hwpx|docx?|xlsx?|pptx?|zip))['\"]"
+PATH_TWO, PATH_ID, NAME_ID = "/inc/download.asp?cate=", "/home/board/fileDown.do?file_no=", "첨부파일_"
+
+
+def script_link(href: Column, base: Column, page: Column) -> Column:
+    """struct(name, link) of a script call that downloads a file, null for others; the first pattern that fits."""
+    kind, file, number, any_file = (F.regexp_extract(href, p, g) for p, g in ((CALL_TWO, 1), (CALL_TWO, 2), (CALL_ID, 1), (CALL_FILE, 1)))
+    made = lambda name, link: F.struct(name.alias("name"), link.alias("link"))
+    return (
+        F.when(file != "", made(file, F.concat(base, F.lit(PATH_TWO), kind, F.lit("&fname="), file)))
+        .when(number != "", made(F.concat(F.lit(NAME_ID), number), F.concat(base, F.lit(PATH_ID), number)))
+        .when(F.startswith(any_file, F.lit("http")), made(F.substring_index(any_file, "/", -1), any_file))
+        .when(any_file != "", made(any_file, text.absolute_url(page, any_file)))
+    )
+
+
 def match_rates(matches: DataFrame, key: str = "doc_id") -> DataFrame:
     return matches.groupBy(key).agg(F.count("*").alias("entries"), F.count("start").alias("hits"), F.round(F.count("start") / F.count("*"), 3).alias("rate"))
 
 
 def attachments(pages: DataFrame, key: str = "page_id", url: str = "url", html: str = "html") -> DataFrame:
     """key, name, link of the file links of a page, first of each link."""
-    anchors = F.regexp_extract_all(html, F.lit(r"(?is)<a\s[^>]*?href\s*=\s*[\"']([^\"'#][^\"']*)[\"'][^>]*>.*?</a>"), F.lit(0))
+    anchors = F.regexp_extract_all(html, F.lit(r"""(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|'[^']*')[^>]*>.*?</a>"""), F.lit(0))
     rows = pages.select(key, F.col(url).alias("_page"), F.posexplode(anchors).alias("n", "a"))
-    href = text.unescape(F.trim(F.regexp_extract("a", r"(?is)href\s*=\s*[\"']([^\"']*)", 1)))
+    quoted = [F.regexp_extract("a", rf"(?is)^<a\s[^>]*?href\s*=\s*{q}([^{q}]*){q}", 1) for q in ('"', "'")]
+    href = text.unescape(F.trim(F.concat(*quoted)))
     label = F.trim(F.regexp_replace(text.unescape(F.regexp_replace("a", r"(?s)<[^>]+>", "")), r"\s+", " "))
-    rows = rows.withColumns({"_href": href, "_label": label}).where(F.col("_href").rlike(FILE_LINK) | F.col("_href").rlike(DOWNLOAD_LINK))
-    script = F.regexp_extract("_href", r"['\"]([^'\"]+\.(?:pdf|hwp|hwpx|docx?|xlsx?|pptx?|zip))['\"]", 1)
-    target = F.when(F.startswith("_href", F.lit("javascript:")), script).otherwise(F.col("_href"))
-    rows = rows.withColumn("link", text.absolute_url(F.col("_page"), target)).where((target != "") & ~F.col("link").rlike(IMAGE_LINK))
+    rows = rows.withColumns({"_href": href, "_label": label}).where(~F.startswith("_href", F.lit("#")) & (F.col("_href").rlike(FILE_LINK) | F.col("_href").rlike(DOWNLOAD_LINK)))
+    call = F.when(F.startswith("_href", F.lit("javascript:")), F.coalesce(script_link(F.col("_href"), F.regexp_extract("_page", "^[a-z]+://[^/?#]*", 0), F.col("_page"))["link"], F.lit("")))
+    target = F.coalesce(call, F.col("_href"))
+    rows = rows.withColumn("link", F.when(call.isNotNull(), call).otherwise(text.absolute_url(F.col("_page"), target))).where((target != "") & ~F.col("link").rlike(IMAGE_LINK))
     name = F.when((F.col("_label") == "") | (F.length("_label") > 200), text.name_from_url(F.col("link"))).otherwise(F.col("_label"))
     return ordered.first_seen(rows.select(key, "n", text.drop_size_suffix(name).alias("name"), "link"), [key, "link"], ["n"]).select(key, "name", "link")
 

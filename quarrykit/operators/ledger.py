@@ -20,8 +20,8 @@ def with_balance(rows: DataFrame, account: str, order: str) -> DataFrame:
 
 
 def latest_balance(rows: DataFrame, account: str) -> DataFrame:
-    """Balance of an account: the sum of its entries; no order, so partial sums are enough."""
-    return rows.groupBy(account).agg(F.round(F.sum("amount"), 2).alias("balance"), F.max("id").alias("last_id"))
+    """The balance that an account's last entry (by id) stored; partial maxima are enough."""
+    return rows.groupBy(account).agg(F.round(F.max_by("balance", "id"), 2).alias("balance"), F.max("id").alias("last_id"))
 
 
 def month_to_date(rows: DataFrame, at: str, as_of: Column) -> DataFrame:

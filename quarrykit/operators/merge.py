@@ -99,14 +99,29 @@ def evolve(rows: DataFrame, schema) -> DataFrame:
 
 
 def replace_table(rows: DataFrame, path: str) -> None:
-    """Write beside the table, then swap: a reader sees the old state or the new."""
+    """Write beside the table, then swap.
+
+    A rename that fails (some file systems only say false) undoes the swap and raises;
+    the old table is deleted last, once the new one is in place.  Between the two
+    renames a reader finds no table and has to try again; it never finds half of one.
+    """
     spark = rows.sparkSession
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     new, old, live = (jvm.org.apache.hadoop.fs.Path(p) for p in (f"{path}.new", f"{path}.old", path))
-    fs = live.getFileSystem(conf)
     rows.write.mode("overwrite").parquet(f"{path}.new")
+    swap(live.getFileSystem(conf), new, old, live)
+
+
+def swap(fs, new, old, live) -> None:
+    """Put new in the place of live, by way of old; live is back in place if that fails."""
+    if fs.exists(old) and not fs.exists(live):  # an earlier swap broke off here
+        fs.rename(old, live)
     fs.delete(old, True)
-    if fs.exists(live):
-        fs.rename(live, old)
-    fs.rename(new, live)
+    had = fs.exists(live)
+    if had and not fs.rename(live, old):
+        raise OSError(f"cannot move {live} away; it is unchanged")
+    if not fs.rename(new, live):
+        if had and not fs.rename(old, live):
+            raise OSError(f"cannot put the new table in place; the old one is at {old}")
+        raise OSError(f"cannot put the new table in place; {live} is unchanged")
     fs.delete(old, True)

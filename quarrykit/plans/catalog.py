@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quarrykit.plans import changes, records, search, sequences, texts
+from quarrykit.plans import changes, records, runs, search, sequences, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-for _module in (search, changes, sequences, texts, records):
+for _module in (search, changes, sequences, texts, records, runs):
     QUERIES |= _module.REGISTRY.queries
     ORACLES |= _module.REGISTRY.oracles

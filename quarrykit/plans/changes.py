@@ -91,9 +91,9 @@ def q_running_balance(spark, sf_dir):
     return ledger.with_balance(_entries(spark, sf_dir), "user_id", "id").select("id", "user_id", "balance")
 
 
-@query(f"WITH {_LEDGER} SELECT user_id, round(sum(amount), 2) AS balance, max(id) AS last_id FROM l GROUP BY user_id")
+@query(f"WITH {_LEDGER}, b AS (SELECT user_id, id, sum(amount) OVER (PARTITION BY user_id ORDER BY id) AS balance FROM l) SELECT user_id, round(arg_max(balance, id), 2) AS balance, max(id) AS last_id FROM b GROUP BY user_id")
 def q_latest_balance(spark, sf_dir):
-    return ledger.latest_balance(_entries(spark, sf_dir), "user_id")
+    return ledger.latest_balance(ledger.with_balance(_entries(spark, sf_dir), "user_id", "id"), "user_id")
 
 
 @query(f"WITH {_LEDGER}, m AS (SELECT max(created_at) AS t FROM l) SELECT coalesce(sum(abs(amount)), 0) AS used, count(*) AS n FROM l, m WHERE type = 'usage' AND created_at >= date_trunc('month', t) AND created_at <= t")

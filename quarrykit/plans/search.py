@@ -17,9 +17,9 @@ _HITS = f"list_filter({_KW}, lambda k: contains(lower(text), k))"
 
 @query(f"""WITH {NOTICES_SQL} SELECT id, source, organization, start_date FROM notices
 WHERE source = 'src0' AND start_date >= '2026-01-01' AND (title ILIKE '%th%' OR organization ILIKE '%th%') AND id NOT IN (SELECT notice_id FROM tags WHERE tag = 'excluded')
-ORDER BY CASE WHEN start_date = '' THEN 1 ELSE 0 END, start_date DESC, n_keywords DESC, id LIMIT 20 OFFSET 20""")
+ORDER BY CASE WHEN start_date = '' THEN 1 ELSE 0 END, start_date DESC, n_keywords DESC, id LIMIT 20""")
 def q_notice_search(spark, sf_dir):
-    rows = notices.search(notice_table(spark, sf_dir), tags(spark, sf_dir), 2, 20, "latest", q="th", source="src0", window_days=90, as_of=F.lit(_DAY).cast("timestamp"), columns=("title", "organization"))
+    rows = notices.search(notice_table(spark, sf_dir), tags(spark, sf_dir), 1, 20, "latest", q="th", source="src0", window_days=90, as_of=F.lit(_DAY).cast("timestamp"), columns=("title", "organization"))
     return rows.select("id", "source", "organization", "start_date")
 
 

@@ -127,21 +127,103 @@ def q_fuzzy_line_dedup(spark, sf_dir):
     return claims.known_lines(new, old, "key")
 
 
-_PROPOSAL = (
-    "표지\n목차 Ⅰ. 제안 개요 1 1. 사업 이해 2 2. 추진 방향 5 Ⅱ. 수행 계획 7 1. 교육 운영 8\nⅠ. 제안 개요\n1 사업 이해\n본문 하나\n| 1 표 | 안 |\n2 추진 방향\n제 2020-34호 벤처기업 확인서 2020 년\nⅡ. 수행 계획\n1 교육 운영\n마지막 줄"
-)
+# A proposal for each document: its last section is headed as in the contents, with a
+# remark, cut short or not at all, by the id.
+_CONTENTS = "목차 Ⅰ. 제안 개요 1 1. 사업 이해 2 2. 추진 방향 5 Ⅱ. 수행 계획 7 1. 교육 운영 세부 안 8"
+_HEADS = ("1 교육 운영 세부 안", "1. 교육 운영 세부 안 (요약)", "1 교육 운영 세부", "기타 내용")
+_BODY = "표지 {0}|" + _CONTENTS + "|Ⅰ. 제안 개요|1 사업 이해|본문 {0}|\u2502 1 표|2 추진 방향|제 2020-{0}호 벤처기업 확인서 2020 년|Ⅱ. 수행 계획|{1}|마지막 {0}|제 3 장|# h|1-2) x"
 
 
-def _proposals(spark):
-    return spark.createDataFrame([(1, _PROPOSAL), (2, "목차 없음"), (3, "")], "doc_id long, text string")
+def _proposals(spark, sf_dir):
+    n, head = F.col("doc_id").cast("string"), F.element_at(F.array(*[F.lit(h) for h in _HEADS]), (F.col("doc_id") % 4 + 1).cast("int"))
+    text_ = F.lit(_BODY.replace("|", "\n").replace("\u2502", "|"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace(F.replace(text_, F.lit("{0}"), n), F.lit("{1}"), head).alias("text"))
 
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 0, 1, 2, 3, 'strict'), (1, 1, 2, 3, 6, 'strict'), (1, 2, 2, 6, 8, 'strict'), (1, 3, 1, 8, 9, 'strict'), (1, 4, 2, 9, 11, 'strict'), (1, 5, 1, NULL, NULL, 'missed')) t(doc_id, position, level, start, \"end\", mode)")
+def _contents(docs):
+    return documents.contents(docs, span=len(_CONTENTS))
+
+
+_ENTRY_ROWS = "(VALUES (0, 1, 2, 3), (1, 2, 3, 6), (2, 2, 6, 8), (3, 1, 8, 9), (4, 2, 9, 14)) e(position, level, a, b)"
+_MATCHES = f"""m AS (SELECT doc_id, position, level, CASE WHEN position = 4 AND doc_id % 4 = 3 THEN NULL ELSE a END AS start,
+CASE WHEN doc_id % 4 = 3 AND position = 4 THEN NULL WHEN doc_id % 4 = 3 AND position = 3 THEN 14 ELSE b END AS "end", CASE WHEN position < 4 THEN 'strict' ELSE ['strict', 'relaxed', 'approx', 'missed'][1 + doc_id % 4] END AS mode FROM documents, {_ENTRY_ROWS})"""
+
+
+@query(f"WITH {_MATCHES} SELECT * FROM m")
 def q_toc_align(spark, sf_dir):
-    docs = _proposals(spark)
-    return documents.aligned(docs, documents.contents(docs))
+    docs = _proposals(spark, sf_dir)
+    return documents.aligned(docs, _contents(docs))
+
+
+@query(f"WITH {_MATCHES} SELECT doc_id, count(*) AS entries, count(start) AS hits, round(count(start) / count(*), 3) AS rate FROM m GROUP BY doc_id")
+def q_toc_match_rates(spark, sf_dir):
+    return documents.match_rates(q_toc_align(spark, sf_dir))
+
 
+@query(f"WITH {_MATCHES} SELECT level, mode, count(*) AS n FROM m GROUP BY level, mode")
+def q_toc_modes(spark, sf_dir):
+    return documents.rates_by_mode(q_toc_align(spark, sf_dir))
 
-@query("SELECT * FROM (VALUES (1::BIGINT, 'Ⅰ.1 사업 이해', 3, 6, '본문 하나' || chr(10) || '| 1 표 | 안 |'), (1, 'Ⅰ.2 추진 방향', 6, 9, '제 2020-34호 벤처기업 확인서 2020 년'), (1, 'Ⅱ.1 교육 운영', 9, 11, '마지막 줄')) t(doc_id, name, start, \"end\", text)")
+
+@query("SELECT doc_id, position, level, name FROM documents, (VALUES (0, 1, 'Ⅰ. 제안 개요'), (1, 2, 'Ⅰ.1 사업 이해'), (2, 2, 'Ⅰ.2 추진 방향'), (3, 1, 'Ⅱ. 수행 계획'), (4, 2, 'Ⅱ.1 교육 운영 세부 안')) e(position, level, name)")
+def q_section_names(spark, sf_dir):
+    return documents.section_names(_contents(_proposals(spark, sf_dir)))
+
+
+_TAIL = "|| chr(10) || '제 3 장' || chr(10) || '# h' || chr(10) || '1-2) x'"
+
+
+@query(f"""SELECT doc_id, 'Ⅰ.1 사업 이해' AS name, 3 AS start, 6 AS "end", '본문 ' || doc_id || chr(10) || '| 1 표' AS text FROM documents
+UNION ALL SELECT doc_id, 'Ⅰ.2 추진 방향', 6, CASE WHEN doc_id % 2 = 0 THEN 9 ELSE 14 END, '제 2020-' || doc_id || '호 벤처기업 확인서 2020 년' FROM documents
+UNION ALL SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN 'Ⅱ.1 교육 운영 세부 안' ELSE 'Ⅱ.1 교육 운영 세부' END, 9, 14, '마지막 ' || doc_id {_TAIL} FROM documents WHERE doc_id % 2 = 0""")
 def q_proposal_sections(spark, sf_dir):
-    return documents.wanted_sections(documents.sections(_proposals(spark)))
+    return documents.wanted_sections(documents.sections(_proposals(spark, sf_dir)))
+
+
+@query("SELECT doc_id, 7 AS line, '제 2020-' || doc_id || '호 벤처기업 확인서 2020 년' AS name, 2020 AS year FROM documents")
+def q_certificate_hints(spark, sf_dir):
+    return documents.hints(_proposals(spark, sf_dir))
+
+
+@query("""WITH d AS (SELECT doc_id, unnest(['roman_top', 'num_space', 'table', 'num_space', 'roman_top', ['num_space', 'num_dot', 'num_space', NULL][1 + doc_id % 4], 'chapter', 'hash', 'num_nested', NULL, NULL, NULL, NULL, NULL]) AS class FROM documents)
+SELECT class, count(*) AS n FROM d GROUP BY class""")
+def q_line_classes(spark, sf_dir):
+    return documents.lines(_proposals(spark, sf_dir)).groupBy(documents.line_classes(F.col("stripped")).alias("class")).agg(F.count("*").alias("n"))
+
+
+def _files(spark, sf_dir):
+    d = F.col("doc_id")
+    return _proposals(spark, sf_dir).select(d.alias("file"), (d % 5 != 0).alias("success"), F.when(d % 7 == 0, "").otherwise(F.col("text")).alias("text"))
+
+
+_DIAGNOSED = """g AS (SELECT doc_id AS file, doc_id % 5 <> 0 AS success, CASE WHEN doc_id % 7 = 0 THEN 0 WHEN doc_id % 2 = 0 THEN 3 ELSE 2 END AS sections, CASE WHEN doc_id % 7 = 0 THEN 0 ELSE 14 END AS line_count, doc_id % 7 <> 0 AS has_contents FROM documents),
+f AS (SELECT *, success AND sections = 0 AS silent_fail FROM g)"""
+
+
+@query(f"WITH {_DIAGNOSED} SELECT file, success, line_count, sections, sections AS targets, has_contents, silent_fail, CASE WHEN NOT success THEN 'PARSE_FAIL' WHEN sections > 0 THEN 'ok' ELSE 'no_sections' END AS status FROM f")
+def q_file_diagnosis(spark, sf_dir):
+    return documents.diagnosis(_files(spark, sf_dir)).drop("text_len")
+
+
+@query(f"WITH {_DIAGNOSED} SELECT count(*) AS files, count(*) FILTER (success) AS parsed, count(*) FILTER (silent_fail) AS silent, count(*) FILTER (has_contents) AS with_contents FROM f")
+def q_diagnosis_summary(spark, sf_dir):
+    return documents.diagnosis_summary(documents.diagnosis(_files(spark, sf_dir)))
+
+
+@query("""SELECT page_id, 'File ' || page_id AS name, 'http://h.kr/files/' || page_id || '.pdf' AS link FROM pages UNION ALL SELECT page_id, 'plan.hwp', 'http://h.kr/inc/download.asp?cate=bbs&fname=plan.hwp' FROM pages WHERE page_id % 2 = 0
+UNION ALL SELECT page_id, 'get', 'http://h.kr/download?id=' || page_id FROM pages""")
+def q_page_attachments(spark, sf_dir):
+    """File links of a page made for each id: a relative one, the same again, a script call, a download path, an image, a plain link."""
+    n = F.col("page_id").cast("string")
+    anchors = ["<a href='/files/%s.pdf'>File <b>%s</b> (69KB)</a>", "<a class=x href=\"http://h.kr/files/%s.pdf\">again %s</a>", "<a href='/download?id=%s'>get</a>", "<a href='/download/i%s.png'>i</a>", "<a href='/view?n=%s'>v</a>"]
+    parts = [F.replace(F.lit(a), F.lit("%s"), n) for a in anchors]
+    call = F.when(F.col("page_id") % 2 == 0, "<a href=\"javascript:fncFileDownload('bbs','plan.hwp')\">plan.hwp</a>").otherwise("")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.lit("http://h.kr/board/1").alias("url"), F.concat(*parts[:2], call, *parts[2:]).alias("html"))
+    return documents.attachments(pages)
+
+
+@query("""SELECT o_orderkey AS id, CASE WHEN o_orderkey % 5 = 3 THEN year(o_orderdate) || '년 ' || month(o_orderdate) || '월 ' || day(o_orderdate) || '일' ELSE strftime(o_orderdate, '%Y-%m-%d') END AS normal, strftime(o_orderdate, '%Y-%m-%d') AS found FROM orders""")
+def q_format_order_dates(spark, sf_dir):
+    made = [F.when(F.col("o_orderkey") % 5 == i, F.date_format("o_orderdate", f)) for i, f in enumerate(("yyyyMMdd", "yyyy.MM.dd", "yyyy-MM-dd' 09:00'", "yyyy'년 'M'월 'd'일'", "yyyyMMdd'1400'"))]
+    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.coalesce(*made).alias("raw"))
+    return rows.select("id", dates.normalise_date(F.col("raw")).alias("normal"), dates.find_date(F.col("raw")).alias("found"))

@@ -5,13 +5,17 @@ import io
 import json
 import zipfile
 
+import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.operators import claims, documents, extraction, ledger, match, merge, notices, ordered
-from quarrykit.plans.texts import _PROPOSAL
 from quarrykit.sources import feeds, paged
 from quarrykit.streaming import feeds as streams
 
+_PROPOSAL = (
+    "표지\n목차 Ⅰ. 제안 개요 1 1. 사업 이해 2 2. 추진 방향 5 Ⅱ. 수행 계획 7 1. 교육 운영 8\nⅠ. 제안 개요\n1 사업 이해\n본문 하나\n| 1 표 | 안 |\n2 추진 방향\n제 2020-34호 벤처기업 확인서 2020 년\nⅡ. 수행 계획\n1 교육 운영\n마지막 줄"
+)
+
 
 def rows(df, *order):
     return [tuple(r) for r in df.orderBy(*(order or df.columns)).collect()]
@@ -212,3 +216,39 @@ def test_stream_upsert(spark, tmp_path):
         stream = spark.readStream.schema("id int, t string, at int").parquet(src)
         streams.upsert_stream(stream, out, ["id"], "at", str(tmp_path / "cp")).awaitTermination()
     assert rows(spark.read.parquet(out).select("id", "t")) == [(1, "b"), (2, "c")]
+
+
+def test_constant_proposal_aligns(spark):
+    docs = spark.createDataFrame([(1, _PROPOSAL), (2, "목차 없음"), (3, "")], "doc_id long, text string")
+    got = [tuple(r)[1:] for r in documents.aligned(docs, documents.contents(docs)).orderBy("position").collect()]
+    assert got == [(0, 1, 2, 3, "strict"), (1, 2, 3, 6, "strict"), (2, 2, 6, 8, "strict"), (3, 1, 8, 9, "strict"), (4, 2, 9, 11, "strict"), (5, 1, None, None, "missed")]
+
+
+class FakeFs:
+    """A file system whose renames may say false."""
+
+    def __init__(self, paths, refused):
+        self.paths, self.refused = dict(paths), refused
+
+    def exists(self, p):
+        return p in self.paths
+
+    def delete(self, p, _):
+        self.paths.pop(p, None)
+
+    def rename(self, a, b):
+        if (a, b) in self.refused or a not in self.paths:
+            return False
+        self.paths[b] = self.paths.pop(a)
+        return True
+
+
+@pytest.mark.parametrize("refused", [[("live", "old")], [("new", "live")], [("new", "live"), ("old", "live")]])
+def test_a_failed_rename_loses_nothing(refused):
+    fs = FakeFs({"live": 1, "new": 2}, refused)
+    with pytest.raises(OSError):
+        merge.swap(fs, "new", "old", "live")
+    assert fs.paths["old" if len(refused) == 2 else "live"] == 1 and fs.paths["new"] == 2
+    fs.refused = []
+    merge.swap(fs, "new", "old", "live")
+    assert fs.paths == {"live": 2}
