@@ -43,11 +43,8 @@ _SIG = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.i
 
 
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share (set here only where unset)."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints"
-        spark.conf.set("spark.checkpoint.dir", root)
+    """A new path in the folder that all executors share: spark.checkpoint.dir or, where unset, below the warehouse."""
+    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
     return f"{root}/{name}-{uuid.uuid4().hex}"
 
 
@@ -55,7 +52,17 @@ def saved(df: DataFrame, name: str) -> DataFrame:
     """df written to the shared folder and read again: later stages don't recompute it."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes saved tables that no later result reads."""
+    for df in frames:
+        spark = df.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -183,7 +190,8 @@ def components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u")
         small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        edges = saved(small.where("u <> v").distinct(), "links")
+        before, edges = edges, saved(small.where("u <> v").distinct(), "links")
+        discard(before)
     return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
 
 
@@ -232,6 +240,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     more = open_links(bucket, first, lead.select("id", "n_shingles", "sketch"), texts)
     final = components(links.unionByName(more).unionByName(own))
 
+    discard(member, bucket, star, texts, links)
     out = sig.join(final.withColumnRenamed("component", "_component"), "id", "left")
     component = F.coalesce(F.col("_component"), F.col("id"))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))

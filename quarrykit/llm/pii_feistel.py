@@ -15,13 +15,17 @@ ip       four octets up to 255                       32 bits
 date     y-m-d, d.m.y, m/d/y; a day of 1800-2199     the 146,097 days of 400 years
 =======  ==========================================  =================================
 
-E-mail names and quoted ``token = "hex"`` secrets have no number format; they
-get letters (hex digits) of a keyed hash, as long as they were.  Candidates
+E-mail names keep their marks; their letters and digits are permuted likewise, as
+numbers to the base 36, so different names stay different (in lower case).  Names
+with other letters, and quoted ``token = "hex"`` secrets, get hex digits of a keyed
+hash, as long as they were; of those, short ones may become equal.  Candidates
 that fail validation (a number without a valid check digit, 2024-13-45) stay.
 
 A network over (a, b) adds to a, modulo its range, a keyed hash of b, then to b
 one of a, eight rounds; both ranges are exact, so no value needs a second walk.
 
+The key is the caller's secret: an argument without a default.
+
 Cases: a null text stays null, an empty one empty; rows are independent, so
 repeats, ties and null ids change nothing; other columns pass through.
 """
@@ -33,7 +37,6 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm.quality_rules import let
 
-KEY = "change-me"
 ROUNDS = 8
 DAYS_A, DAYS_B = 189, 773  # 146,097 days: 400 Gregorian years
 FIRST_DAY = "1800-01-01"
@@ -85,14 +88,17 @@ def digits_of(text: Column) -> Column:
     return F.regexp_replace(text, "[^0-9]", "")
 
 
-def refill(shape: Column, digits: Column) -> Column:
-    """shape with its digits replaced, in order, by digits."""
+def refill(shape: Column, digits: Column, like: str = "[0-9]") -> Column:
+    """shape with its digits (characters like) replaced, in order, by digits."""
+
+    def fill(d: Column) -> Column:
+        def step(s: Column, c: Column) -> Column:
+            fits = c.rlike(f"^{like}$")
+            return F.struct(F.concat(s["out"], F.when(fits, F.substring(d, s["at"], F.lit(1))).otherwise(c)).alias("out"), F.when(fits, s["at"] + 1).otherwise(s["at"]).alias("at"))
 
-    def step(s: Column, c: Column) -> Column:
-        is_digit = c.between("0", "9")
-        return F.struct(F.concat(s["out"], F.when(is_digit, F.substring(digits, s["at"], F.lit(1))).otherwise(c)).alias("out"), F.when(is_digit, s["at"] + 1).otherwise(s["at"]).alias("at"))
+        return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
 
-    return F.aggregate(F.split(shape, ""), F.struct(F.lit("").alias("out"), F.lit(1).alias("at")), step, lambda s: s["out"])
+    return let(digits, fill)
 
 
 def _luhn_sum(payload: Column) -> Column:
@@ -117,9 +123,11 @@ def _card(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
+    """Null unless the number has the 7 to 15 digits of a telephone number."""
     country = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])", 0)
     rest = F.substring(m, F.length(country) + 1, F.length(m))
-    return F.concat(country, let(rest, lambda r: refill(r, permute_digits(digits_of(r), "phone", key))))
+    new = F.concat(country, let(rest, lambda r: refill(r, permute_digits(digits_of(r), "phone", key))))
+    return F.when(F.length(digits_of(m)).between(7, 15), new)
 
 
 def _ssn(m: Column, key: str) -> Column:
@@ -152,14 +160,48 @@ def _date(m: Column, key: str) -> Column:
 
 
 def _letters(text: Column, key: str, tag: str) -> Column:
-    """As many hex digits of a keyed hash (64 at most at a time)."""
-    one = lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), F.lower(text), F.lit(str(i))), 256)
-    return F.substring(F.concat(one(0), one(1)), F.lit(1), F.length(text))
+    """As many hex digits of a keyed hash, however long the text."""
+
+    def run(t: Column) -> Column:
+        block = lambda i: F.sha2(F.concat_ws("|", F.lit(key), F.lit(tag), t, i.cast("string")), 256)
+        blocks = F.transform(F.sequence(F.lit(0), F.floor(F.length(t) / 64).cast("int")), block)
+        return F.substring(F.array_join(blocks, ""), F.lit(1), F.length(t))
+
+    return let(F.lower(text), run)
+
+
+def permute_name(name: Column, key: str) -> Column:
+    """Another string of as many of a-z and 0-9 (lower case); different ones stay different.
+
+    Pieces of up to 22 characters are pairs of numbers to the base 36, permuted; a
+    piece's place is part of its key.
+    """
+    powers = F.array(*[F.lit(36**i) for i in range(12)])
+
+    def piece(p: Column, at: Column) -> Column:
+        n = F.length(p)
+        left = (n / 2).cast("int")
+        number = lambda t: F.coalesce(F.conv(F.nullif(t, F.lit("")), 36, 10), F.lit("0")).cast("long")
+        out = feistel(number(F.substring(p, F.lit(1), left)), number(F.substring(p, left + 1, n - left)), F.get(powers, left), F.get(powers, n - left), F.concat(F.lit("name"), n.cast("string"), F.lit("."), at.cast("string")), key)
+        half = lambda x, size: F.lpad(F.lower(F.conv(x.cast("string"), 10, 36)), size, F.lit("0"))
+        return let(out, lambda s: F.concat(F.when(left > 0, half(s["a"], left)).otherwise(""), half(s["b"], n - left)))
+
+    def run(t: Column) -> Column:
+        pieces = F.transform(F.sequence(F.lit(0), F.floor((F.length(t) - 1) / 22).cast("int")), lambda i: F.substring(t, i * 22 + 1, F.lit(22)))
+        return F.when(t == "", t).otherwise(F.array_join(F.transform(pieces, piece), ""))
+
+    return let(F.lower(name), run)
 
 
 def _email(m: Column, key: str) -> Column:
-    name, domain = F.substring_index(m, "@", 1), F.substring_index(m, "@", -1)
-    return F.concat(F.translate(let(name, lambda n: _letters(n, key, "email")), "0123456789", "ghijklmnop"), F.lit("@"), domain)
+    """The name's letters and digits permuted, its marks in place; hashed where it has letters beyond a-z."""
+    domain = F.substring_index(m, "@", -1)
+
+    def run(n: Column) -> Column:
+        plain = lambda x: refill(n, permute_name(x, key), "[a-z0-9]")
+        return F.when(n.rlike("^[a-z0-9._%+-]+$"), let(F.regexp_replace(n, "[^a-z0-9]", ""), plain)).otherwise(_letters(n, key, "email"))
+
+    return F.concat(let(F.lower(F.substring_index(m, "@", 1)), run), F.lit("@"), domain)
 
 
 def pseudonym(m: Column, key: str) -> Column:
@@ -177,7 +219,7 @@ def pseudonym(m: Column, key: str) -> Column:
     )
 
 
-def masked(text: Column, key: str = KEY) -> Column:
+def masked(text: Column, key: str) -> Column:
     """struct(text, kinds found) of a text."""
     found = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     parts = F.split(text, ANY, -1)
@@ -191,12 +233,12 @@ def masked(text: Column, key: str = KEY) -> Column:
     return F.when(text.rlike("[0-9@]"), let(F.transform(found, lambda m: pseudonym(m, key)), put)).otherwise(none)
 
 
-def pseudonymise(docs: DataFrame, text_col: str = "text", key: str = KEY) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text") -> DataFrame:
     """docs with its text column masked; all other columns as they are."""
     return docs.withColumn(text_col, masked(F.col(text_col).cast("string"), key)["text"])
 
 
-def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: str = KEY) -> DataFrame:
+def report(docs: DataFrame, key: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, masked text and the number of values replaced, by kind."""
     out = docs.select(F.col(id_col).alias("doc_id"), masked(F.col(text_col).cast("string"), key).alias("m")).select("doc_id", "m.*")
     count = lambda k: F.coalesce(F.size(F.filter("kinds", lambda x: x == k)), F.lit(0)).cast("long")
