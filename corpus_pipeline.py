@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.llm import decontaminate, minhash_odd, pii_feistel, quality_rules, sentencepiece_ac
+from quarrykit.llm.queries import pseudonym_key
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,7 +30,7 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pseudonyms(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, personal data replaced and the length counted anew."""
-    return pii_feistel.pseudonymise(docs).withColumn("n_chars", F.length("text").cast("long"))
+    return pii_feistel.pseudonymise(docs, pseudonym_key(spark)).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def encoding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
