@@ -16,8 +16,11 @@ A passage is two neighbouring segments, each as long as the longest item, so any
 occurrence lies whole in one passage.  Documents are never shuffled.
 
 The index is broadcast.  The items' size is summed first; beyond ``INDEX_BYTES``
-they are dealt into shards below it and the documents are scanned once a shard
-(term statistics are then the shard's).
+they are dealt into shards below it and the documents are scanned once a shard.
+Statistics (document frequencies, mean and greatest length) are those of all items,
+aggregated by Spark, so an item's score does not depend on the shards.
+
+Of equal passages the first counts as an item's best one.
 
 Cases: a null or empty text has no passage; null, empty or wordless items match
 nothing; items under three words use their whole sequence as the one gram;
@@ -27,6 +30,7 @@ repeated rows give repeated hits; null ids are carried.
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -67,25 +71,38 @@ def _grams(codes: np.ndarray, k: int = 3) -> np.ndarray:
     return np.unique(roll.windows(k) if len(codes) >= k else roll.spans(np.array([0]), np.array([len(codes)])))
 
 
+@dataclass(frozen=True)
+class Statistics:
+    """Items, their mean and greatest number of words and, for the terms of a shard, how many items hold each."""
+
+    n: int
+    mean: float
+    longest: int
+    df: dict[int, int] | None = None
+
+
 class Index:
     """Postings, block maxima and essential terms of the test items."""
 
-    def __init__(self, items: list[tuple[int, str]]):
+    def __init__(self, items: list[tuple[int, str]], of_all: Statistics | None = None):
+        """of_all: statistics of all items where these are a shard of them."""
         coded = [(i, t, _coded(t)) for i, t in items if t and len(_coded(t))]
         self.ids = np.array([i for i, _, _ in coded], np.int64)
         n = len(coded)
-        self.segment = max([len(c) for _, _, c in coded], default=1)
         self.terms = np.unique(np.concatenate([c for _, _, c in coded])) if n else np.zeros(0, T.U64)
         counts = [np.unique(np.searchsorted(self.terms, c), return_counts=True) for _, _, c in coded]
         df = np.bincount(np.concatenate([t for t, _ in counts]), minlength=len(self.terms)) if n else np.zeros(0, np.int64)
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
-        mean = sum(len(c) for _, _, c in coded) / max(1, n)
+        of_all = of_all or Statistics(n, sum(len(c) for _, _, c in coded) / max(1, n), max([len(c) for _, _, c in coded], default=1))
+        if of_all.df is not None:
+            df = np.array([of_all.df[int(t)] for t in self.terms.view(np.int64)], np.int64)
+        total, mean, self.segment = of_all.n, of_all.mean, max(1, of_all.longest)
+        idf = np.log1p((total - df + 0.5) / (df + 0.5))
         weights = []
         for (t, tf), (_, _, c) in zip(counts, coded):
             w = idf[t] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(c) / mean))
             weights.append(w / w.sum())
         # Essential: all terms of few items, then the heaviest of items with too much left.
-        essential = df <= max(1, n // 20)
+        essential = df <= max(1, total // 20)
         for (t, _), w in zip(counts, weights):
             for j in np.argsort(-w):
                 if w[~essential[t]].sum() <= SLACK:
@@ -199,15 +216,34 @@ def leaks(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: s
     size = items.agg(F.coalesce(F.sum(F.octet_length("text") + 16), F.lit(0))).first()[0]
     shards = max(1, math.ceil(size / index_bytes))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
+    items = items.withColumn("shard", F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)))
+    terms, of_all = _terms(items, shards) if shards > 1 else (None, None)
     out = None
     for shard in range(shards):
-        mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard).orderBy("item_id", "text").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in mine]))
+        mine = items.where(F.col("shard") == shard).orderBy("item_id", "text").select("item_id", "text").collect()
+        if of_all:
+            of_all = replace(of_all, df={r["term"]: r["n"] for r in terms.where(F.array_contains("shards", shard)).select("term", "n").collect()})
+        shared = docs.sparkSession.sparkContext.broadcast(Index([tuple(r) for r in mine], of_all))
         found = rows.mapInArrow(_scan(shared), _OUT_DDL)
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _terms(items: DataFrame, shards: int) -> tuple[DataFrame, Statistics]:
+    """Items that hold each term, with the shards they are in (collected by shard only), and the rest of the statistics."""
+
+    def code(batches):
+        for batch in batches:
+            coded = [_coded(t) for t in batch.column("text").to_pylist()]
+            terms = [np.unique(c).view(np.int64) for c in coded]
+            yield pa.RecordBatch.from_arrays([batch.column("shard").cast(pa.int64()), pa.array([len(c) for c in coded], pa.int64()), pa.array(terms, pa.list_(pa.int64()))], names=["shard", "words", "terms"])
+
+    coded = saved(items.select("text", "shard").mapInArrow(code, "shard long, words long, terms array<long>").where("words > 0"), "items")
+    r = coded.agg(F.count("*").alias("n"), F.avg("words").alias("mean"), F.max("words").alias("longest")).first()
+    terms = coded.select("shard", F.explode("terms").alias("term")).groupBy("term", "shard").agg(F.count("*").alias("n")).groupBy("term").agg(F.sum("n").alias("n"), F.collect_set("shard").alias("shards"))
+    return saved(terms, "terms"), Statistics(r["n"], r["mean"] or 0.0, r["longest"] or 1)
+
+
 def _scan(shared):
     def scan(batches):
         for batch in batches:

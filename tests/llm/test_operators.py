@@ -91,6 +91,23 @@ def test_leaks(spark):
     assert decontaminate.leaks(df, items.limit(0)).collect() == []
 
 
+def test_shards_score_alike(spark, sf):
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    whole, dealt = (sorted(tuple(round(x, 9) if isinstance(x, float) else x for x in r) for r in decontaminate.leaks(docs, items, index_bytes=b).collect()) for b in (1 << 25, 16_000))
+    assert whole and whole == dealt
+
+
+def test_repeated_items_and_a_very_long_one(spark):
+    long = " ".join(f"long{i}" for i in range(5000))
+    items = spark.createDataFrame([(1, ITEMS[0][1]), (1, ITEMS[0][1]), (7, long)], "item_id long, text string")
+    filler = " ".join(f"f{i}" for i in range(3000))
+    docs = spark.createDataFrame([(1, f"{filler} {ITEMS[0][1]} {filler}", 2.0), (2, f"{filler} {long}", 2.0), (3, filler, 2.0)], "doc_id long, text string, score double")
+    for size in (1 << 25, 30_000):
+        got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.leaks(docs, items, index_bytes=size).collect())
+        assert set(got) == {(1, 1), (2, 7)}
+
+
 def test_retrieval_equals_exhaustive_scores():
     texts = [f"q{i} " + " ".join(f"t{(i * j) % 40}" for j in range(1, 30)) for i in range(60)]
     index = decontaminate.Index(list(enumerate(texts)))
