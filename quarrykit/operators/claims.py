@@ -48,10 +48,10 @@ def similarity(threshold: float):
     return ratio
 
 
-def letter_counts(value: Column, bins: int = 32) -> Column:
-    """How often the letters of each of bins classes occur."""
-    codes = F.transform(F.split(value, ""), lambda c: F.pmod(F.ascii(c) * 7 + F.length(c) - 1, F.lit(bins)))
-    return F.transform(F.sequence(F.lit(0), F.lit(bins - 1)), lambda k: F.size(F.filter(codes, lambda c: c == k)))
+def letter_counts(value: Column, letters: str = "abcdefghijklmnopqrstuvwxyz ") -> Column:
+    """How often each of letters occurs, and all other characters together."""
+    rest = F.length(F.translate(value, letters, ""))
+    return F.array(*[F.length(value) - F.length(F.replace(value, F.lit(c), F.lit(""))) for c in letters], rest)
 
 
 def may_resemble(a: Column, b: Column, counts_a: Column, counts_b: Column, threshold: float) -> Column:
