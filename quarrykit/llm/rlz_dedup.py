@@ -2,13 +2,15 @@
 
 Every document is parsed against the reference blocks (all documents with a
 smaller id).  The blocks' phrase index holds, for each phrase of ``phrase``
-words, the smallest document in which it starts.  The parse is greedy: where
-the phrase at a word is indexed under a smaller id a factor opens and is
-extended while the following phrases are found in the *same* reference
-document; where the reference changes a new factor opens, and the phrases that
-straddle that boundary are looked up like all others, so no phrase is lost
-between two factors.  Words in factors of at least ``phrase`` words are
-removed.
+words, its first occurrence: the smallest document in which it starts and the
+first word at which it does.  The parse is greedy: where the phrase at a word
+is indexed under a smaller id a factor opens at that occurrence, and it is
+extended for as long as the next phrase is indexed at the next word of the same
+document, so a factor is one contiguous copy of words of its reference.  Where
+the occurrence jumps a new factor opens, and the phrases that straddle that
+boundary are looked up like all others, so no phrase is lost between two
+factors (neighbours overlap there).  Words in factors of at least ``phrase``
+words are removed.
 
 Two exchanges keep the index small.  A phrase has one canonical inner
 ``seed``-gram (the least code among its ``phrase - seed + 1``), equal phrases
@@ -20,8 +22,8 @@ second hash chooses.
 
 Cases: a null or empty text has no words, nothing is removed and the kept text
 is empty; a null id counts as larger than all others; rows that repeat an id
-are parsed each for itself and never count as smaller than one another; texts
-under ``phrase`` words keep every word.
+are parsed each for itself and never count as smaller than one another (an
+occurrence in them is the first in any of them); texts under ``phrase`` words keep every word.
 """
 
 from __future__ import annotations
@@ -58,6 +60,10 @@ class _Parse:
         grams = T.Rolling(self.codes, T.BASE_WORD).windows(self.seed)
         return T.sliding(grams, self.phrase - self.seed + 1, np.minimum)[:n]
 
+    def within(self, at: np.ndarray) -> np.ndarray:
+        """Places in their documents of words of the slice."""
+        return (at - self.woffs[self.owner[at]]).astype(np.uint32)
+
     def phrases(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         a = T.Rolling(self.codes, T.BASE_WORD).spans(at, at + self.phrase)
         b = T.Rolling(self.codes, T.BASE_WORD2).spans(at, at + self.phrase)
@@ -93,16 +99,17 @@ def _key_bucket(key: np.ndarray) -> np.ndarray:
     return (key >> T.U64(32)).astype(np.int32)
 
 
-def _phrase_requests(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]], n: int):
-    """Distinct phrases of the block by bucket and code, with the least id of each."""
+def _phrase_requests(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]], n: int):
+    """Distinct phrases of the block by bucket and code, with the first occurrence (id, word) of each."""
     a = np.concatenate([p[0] for p in parts]) if parts else np.zeros(0, T.U64)
     b = np.concatenate([p[1] for p in parts]) if parts else np.zeros(0, T.U64)
     ids = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, np.int64)
+    word = np.concatenate([p[3] for p in parts]) if parts else np.zeros(0, np.uint32)
     bucket = X.bucket_of(b, n)
-    order = np.lexsort((ids, a, bucket))
-    a, bucket, ids = a[order], bucket[order], ids[order]
+    order = np.lexsort((word, ids, a, bucket))
+    a, bucket, ids, word = a[order], bucket[order], ids[order], word[order]
     first = np.concatenate([[True], (a[1:] != a[:-1]) | (bucket[1:] != bucket[:-1])]) if len(a) else np.zeros(0, bool)
-    return bucket[first], a[first], ids[first]
+    return bucket[first], a[first], ids[first], word[first]
 
 
 def _candidates(part, phrase: int, seed: int, keys: np.ndarray, hit: np.ndarray, n: int):
@@ -134,7 +141,7 @@ def _kept_text(p: _Parse, keep: np.ndarray) -> pa.Array:
 
 
 def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", phrase: int = PHRASE, seed: int = SEED) -> DataFrame:
-    """doc_id, n_words, n_removed, kept_text and factors (start word, words, reference id) per row."""
+    """doc_id, n_words, n_removed, kept_text and factors (start word, words, reference id and its start word) per row."""
     n = X.block_count(docs, text_col)
     blocks = X.in_blocks(docs, id_col, text_col, n)
 
@@ -153,45 +160,47 @@ def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: s
             return pa.Table.from_batches([], schema=X._REQUEST)
         keys, _ = _distinct_seeds(_seed_parts(docs_, phrase, seed), n)
         (hit,) = X.lined_up(hits, _key_bucket(keys), 1)
-        bucket, code, ids = _phrase_requests(_asked(docs_, keys, hit), n)
-        return pa.Table.from_batches([X.sent(X.block_of(docs_), bucket, [code, ids])])
+        bucket, code, ids, word = _phrase_requests(_asked(docs_, keys, hit), n)
+        return pa.Table.from_batches([X.sent(X.block_of(docs_), bucket, [code, ids, word])])
 
     def _asked(docs_: pa.Table, keys, hit):
         parts = []
         for part in T.slices(docs_, "text"):
             p, at = _candidates(part, phrase, seed, keys, hit, n)
             if len(at):
-                parts.append((*p.phrases(at), p.ids[p.owner[at]]))
+                parts.append((*p.phrases(at), p.ids[p.owner[at]], p.within(at)))
         return parts
 
     def answer_phrases(table: pa.Table) -> pa.Table:
-        (code, ids), _, _, offs = X.received(table, [np.uint64, np.int64])
-        order = np.lexsort((ids, code))
+        (code, ids, word), _, _, offs = X.received(table, [np.uint64, np.int64, np.uint32])
+        order = np.lexsort((word, ids, code))
         sorted_code = code[order]
         first = np.flatnonzero(np.concatenate([[True], sorted_code[1:] != sorted_code[:-1]])) if len(code) else np.zeros(0, np.int64)
         group = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(code))))
-        least = np.empty(len(code), np.int64)
-        least[order] = ids[order][first][group] if len(code) else ids
-        return X.answered(table, offs, [least])
+        chosen = np.empty(len(code), np.int64)
+        chosen[order] = order[first][group] if len(code) else order
+        return X.answered(table, offs, [ids[chosen], word[chosen]])
 
     def parse(docs_: pa.Table, hits: pa.Table, least: pa.Table) -> pa.Table:
         keys, _ = _distinct_seeds(_seed_parts(docs_, phrase, seed), n)
         (hit,) = X.lined_up(hits, _key_bucket(keys), 1)
-        bucket, code, _ = _phrase_requests(_asked(docs_, keys, hit), n)
-        ref = np.full(len(code), _NONE, np.int64)
+        bucket, code, _, _ = _phrase_requests(_asked(docs_, keys, hit), n)
+        ref, ref_word = np.full(len(code), _NONE, np.int64), np.zeros(len(code), np.int64)
         for b, body in zip(least.column("bucket").to_pylist(), least.column("body").to_pylist()):
             i, j = np.searchsorted(bucket, [b, b + 1])
-            ref[i:j] = np.frombuffer(body, np.int64)
+            ref[i:j] = np.frombuffer(body, np.int64, j - i)
+            ref_word[i:j] = np.frombuffer(body, np.uint32, j - i, 8 * (j - i))
         starts = np.searchsorted(bucket, np.arange(n + 1))
         out = []
         for part in T.slices(docs_, "text"):
             p, at = _candidates(part, phrase, seed, keys, hit, n)
-            found = np.full(len(p.s), _NONE, np.int64)
+            found, word = np.full(len(p.s), _NONE, np.int64), np.zeros(len(p.s), np.int64)
             if len(at):
                 a, b = p.phrases(at)
-                found[at] = ref[_place(bucket, code, starts, X.bucket_of(b, n), a)]
+                place = _place(bucket, code, starts, X.bucket_of(b, n), a)
+                found[at], word[at] = ref[place], ref_word[place]
                 found[at] = np.where(found[at] < p.ids[p.owner[at]], found[at], _NONE)
-            out.append(_parsed(p, found, phrase))
+            out.append(_parsed(p, found, word, phrase))
         return pa.concat_tables([pa.Table.from_batches([b]) for b in out]) if out else pa.Table.from_batches([], schema=_OUT)
 
     hits = blocks.groupBy("block").applyInArrow(ask_seeds, X.REQUEST).groupBy("bucket").applyInArrow(answer_seeds, X.ANSWER)
@@ -209,9 +218,9 @@ def remove_repeated_phrases(docs: DataFrame, id_col: str = "doc_id", text_col: s
     return out.select(F.when(F.col("id") != _NONE, F.col("id")).alias("doc_id"), "n_words", "n_removed", "kept_text", "factors")
 
 
-_FACTOR = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("reference", pa.int64())]))
+_FACTOR = pa.list_(pa.struct([("start", pa.int64()), ("words", pa.int64()), ("reference", pa.int64()), ("reference_start", pa.int64())]))
 _OUT = pa.schema([("id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string()), ("factors", _FACTOR)])
-_OUT_DDL = "id long, n_words long, n_removed long, kept_text string, factors array<struct<start: long, words: long, reference: long>>"
+_OUT_DDL = "id long, n_words long, n_removed long, kept_text string, factors array<struct<start: long, words: long, reference: long, reference_start: long>>"
 
 
 def _place(bucket, code, starts, want_bucket, want_code) -> np.ndarray:
@@ -231,20 +240,21 @@ def _place(bucket, code, starts, want_bucket, want_code) -> np.ndarray:
     return out
 
 
-def _parsed(p: _Parse, found: np.ndarray, phrase: int) -> pa.RecordBatch:
+def _parsed(p: _Parse, found: np.ndarray, word: np.ndarray, phrase: int) -> pa.RecordBatch:
     """Greedy factors of each document of the slice, and what is left of it."""
     hit = np.flatnonzero(found != _NONE)
     n = len(p.s)
     delta = np.bincount(hit, minlength=n + 1)[: n + 1] - np.bincount(np.minimum(hit + phrase, n), minlength=n + 1)[: n + 1]
     gone = np.cumsum(delta[:n]) > 0
-    new = np.concatenate([[True], (hit[1:] != hit[:-1] + 1) | (found[hit[1:]] != found[hit[:-1]])]) if len(hit) else np.zeros(0, bool)
+    jump = (hit[1:] != hit[:-1] + 1) | (found[hit[1:]] != found[hit[:-1]]) | (word[hit[1:]] != word[hit[:-1]] + 1) | (p.owner[hit[1:]] != p.owner[hit[:-1]])
+    new = np.concatenate([[True], jump]) if len(hit) else np.zeros(0, bool)
     first = np.flatnonzero(new)
     last = np.append(first[1:], len(hit)) - 1
     f_start, f_words = hit[first], hit[last] - hit[first] + phrase if len(hit) else hit[:0]
     owner = p.owner[f_start]
     docs = len(p.offs) - 1
     list_offs = np.searchsorted(owner, np.arange(docs + 1)).astype(np.int32)
-    factor = pa.StructArray.from_arrays([pa.array(f_start - p.woffs[owner]), pa.array(f_words), pa.array(found[f_start])], ["start", "words", "reference"])
+    factor = pa.StructArray.from_arrays([pa.array(f_start - p.woffs[owner]), pa.array(f_words), pa.array(found[f_start]), pa.array(word[f_start])], ["start", "words", "reference", "reference_start"])
     removed = np.concatenate([[0], np.cumsum(gone)])
     return pa.RecordBatch.from_arrays(
         [pa.array(p.ids), pa.array(np.diff(p.woffs)), pa.array(np.diff(removed[p.woffs])), _kept_text(p, ~gone), pa.ListArray.from_arrays(pa.array(list_offs), factor)], schema=_OUT
@@ -254,8 +264,9 @@ def _parsed(p: _Parse, found: np.ndarray, phrase: int) -> pa.RecordBatch:
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
 win AS (SELECT rid, doc_id, i, array_to_string(w[i:i + {PHRASE - 1}], ' ') AS g FROM (SELECT rid, doc_id, w, unnest(range(1, len(w) - {PHRASE - 2})) AS i FROM d WHERE len(w) >= {PHRASE})),
-hit AS (SELECT rid, i, f FROM win JOIN (SELECT g, min(doc_id) AS f FROM win GROUP BY g) USING (g) WHERE f < doc_id),
-fac AS (SELECT rid, count(*) AS n FROM (SELECT *, lag(i) OVER w AS pi, lag(f) OVER w AS pf FROM hit WINDOW w AS (PARTITION BY rid ORDER BY i)) WHERE pi IS NULL OR pi <> i - 1 OR pf <> f GROUP BY rid),
+occ AS (SELECT g, doc_id AS f, min(i) AS fi FROM win GROUP BY g, doc_id QUALIFY row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS LAST) = 1),
+hit AS (SELECT rid, i, f, fi FROM win JOIN occ USING (g) WHERE f < doc_id),
+fac AS (SELECT rid, count(*) AS n FROM (SELECT *, lag(i) OVER w AS pi, lag(f) OVER w AS pf, lag(fi) OVER w AS pfi FROM hit WINDOW w AS (PARTITION BY rid ORDER BY i)) WHERE pi IS NULL OR pi <> i - 1 OR pf <> f OR pfi <> fi - 1 GROUP BY rid),
 gone AS (SELECT DISTINCT rid, unnest(range(i, i + {PHRASE})) AS p FROM hit),
 kept AS (SELECT rid, string_agg(x, ' ' ORDER BY p) AS t FROM (SELECT rid, unnest(w) AS x, unnest(range(1, len(w) + 1)) AS p FROM d) ANTI JOIN gone USING (rid, p) GROUP BY rid),
 n AS (SELECT rid, count(*) AS c FROM gone GROUP BY rid)

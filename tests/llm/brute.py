@@ -31,6 +31,28 @@ def phrases(docs: list[tuple[int, str | None]], k: int = 13) -> dict[int, tuple]
     return out
 
 
+def factors(docs: list[tuple[int, str | None]], k: int = 13) -> dict[int, list[tuple]]:
+    """Greedy factors (start, words, reference, its start), each extended while the copy in the reference goes on."""
+    words = {d: WORD.findall(t or "") for d, t in docs}
+    first: dict[tuple, tuple[int, int]] = {}
+    for d in sorted(words):
+        for i in range(len(words[d]) - k + 1):
+            first.setdefault(tuple(words[d][i : i + k]), (d, i))
+    out: dict[int, list[tuple]] = {}
+    for d, w in words.items():
+        found = [first[tuple(w[i : i + k])] for i in range(len(w) - k + 1)]
+        out[d], i = [], 0
+        while i < len(found):
+            ref, at = found[i]
+            n = 1
+            while ref < d and i + n < len(found) and found[i + n] == (ref, at + n):
+                n += 1
+            if ref < d:
+                out[d].append((i, n + k - 1, ref, at))
+            i += n
+    return out
+
+
 def repeated_bytes(docs: list[tuple[int, str | None]], width: int = 400) -> dict[int, tuple]:
     raw = [(d, (t or "").encode()) for d, t in docs]
     seen = Counter(b[i : i + width] for _, b in raw for i in range(len(b) - width + 1))

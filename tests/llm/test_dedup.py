@@ -54,6 +54,25 @@ def test_factors_cover_what_is_removed(spark):
         assert all(f["reference"] < r["doc_id"] and f["words"] >= 13 for f in r["factors"])
 
 
+def test_factors_equal_a_parse_against_first_occurrences(spark):
+    docs = corpus(6)
+    words = {d: brute.WORD.findall(t or "") for d, t in docs}
+    want = brute.factors(docs)
+    assert any(want.values())
+    for r in remove_repeated_phrases(frame(spark, docs)).collect():
+        got = [(f["start"], f["words"], f["reference"], f["reference_start"]) for f in r["factors"]]
+        assert got == want[r["doc_id"]]
+        for start, n, ref, at in got:
+            assert words[r["doc_id"]][start : start + n] == words[ref][at : at + n]
+
+
+def test_factor_ends_where_its_place_in_the_reference_jumps(spark):
+    a, b = ([f"{c}{i}" for i in range(20)] for c in "ab")
+    docs = [(1, " ".join([*a, "gap", *b])), (2, " ".join([*b, *a])), (3, " ".join([*a[:15], "gap"])), (4, " ".join([*a, "gap", *b]))]
+    got = {r["doc_id"]: [(f["start"], f["words"], f["reference"], f["reference_start"]) for f in r["factors"]] for r in remove_repeated_phrases(frame(spark, docs)).collect()}
+    assert got == {1: [], 2: [(0, 20, 1, 21), (20, 20, 1, 0)], 3: [(0, 15, 1, 0)], 4: [(0, 41, 1, 0)]}
+
+
 def test_phrases_with_repeated_and_null_ids(spark):
     t = " ".join(f"x{i}" for i in range(20))
     got = sorted(((r["doc_id"], r["n_removed"]) for r in remove_repeated_phrases(frame(spark, [(1, t), (1, t), (None, t), (None, t), (2, t)])).collect()), key=str)
