@@ -1,13 +1,14 @@
 """Quality classifier: similarity-weighted nearest-neighbour vote in a latent space.
 
-Terms of a document are the shapes of its words (runs of capitals, letters,
-digits collapse; other characters stand for themselves) and what repeats in it
-(levels of the share of words equal to the one before, and of words that lie in
-five-word windows found again).  Log frequencies times inverse document frequency of the labelled sample
-are reduced to ``RANK`` latent dimensions by its singular vectors and set to
+Terms of a document are its words (A-Z lower-cased), their shapes (runs of
+capitals, letters, digits collapse; other characters stand for themselves), both
+hashed into bins, and what repeats in it (levels of the share of words equal to
+the one before, and of words that lie in five-word windows found again).  Log
+frequencies times inverse document frequency of the labelled sample are reduced to ``RANK`` latent dimensions by its singular vectors and set to
 length one.  The labelled vectors are broadcast, every document's cosines with
 all of them are computed exactly, block by block, and the ``NEIGHBOURS`` nearest
-vote with their similarity to the ``SHARPNESS``.
+vote with their similarity to the ``SHARPNESS``; all that tie with the last of
+them vote too, so a score does not depend on the order of the sample.
 
 Labels are learnt only from rows whose crc32 of the id is not 2 modulo 4, from a
 sample of at most ``SAMPLE`` of them (the least by hash of the id); that bound
@@ -28,9 +29,10 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm import textnp as T
 
-SAMPLE, FEATURES, RANK, NEIGHBOURS, SHARPNESS, BLOCK = 4096, 1024, 48, 24, 8, 256
+SAMPLE, FEATURES, WORDS, RANK, NEIGHBOURS, SHARPNESS, BLOCK = 4096, 2048, 1024, 96, 24, 8, 256
 PREDICT_FROM = 0.7
-#: A repeated share of words above each level is a term; shapes take the other terms.
+TIE = 1e-6  # cosines this close are equal: a product's last bits depend on the shape of its block
+#: A repeated share of words above each level is a term; words take the last WORDS terms, shapes those between.
 SAME_LEVELS, AGAIN_LEVELS = (0.1, 0.3, 0.5), (0.02, 0.05, 0.1, 0.15, 0.2, 0.25, 0.3, 0.4, 0.6)
 _OWN = len(SAME_LEVELS) + len(AGAIN_LEVELS)
 _CLASS = np.arange(256, dtype=np.uint8)
@@ -51,7 +53,9 @@ def term_counts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     keep[s] = True
     at = np.concatenate([[0], np.cumsum(keep)])
     shapes = T.Rolling(T.byte_codes()[kinds[keep]], T.BASE_BYTE).spans(at[s], at[e])
-    term = (shapes % T.U64(FEATURES - _OWN)).astype(np.int64) + _OWN
+    term = (shapes % T.U64(FEATURES - WORDS - _OWN)).astype(np.int64) + _OWN
+    word = (T.mix(T.word_codes(T.lower_ascii(data), s, e)) >> T.U64(20)) % T.U64(WORDS)
+    both = np.concatenate([owner * FEATURES + term, owner * FEATURES + (FEATURES - WORDS) + word.astype(np.int64)])
     codes = T.word_codes(data, s, e)
     same = np.zeros(len(codes), bool)
     same[1:] = (codes[1:] == codes[:-1]) & (owner[1:] == owner[:-1])
@@ -66,7 +70,7 @@ def term_counts(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         hit[order[1:][eq]] = hit[order[:-1][eq]] = True
         again = valid[hit]
     n = np.diff(woffs)
-    out = np.bincount(owner * FEATURES + term, minlength=docs * FEATURES).reshape(docs, FEATURES).astype(np.float32)
+    out = np.bincount(both, minlength=docs * FEATURES).reshape(docs, FEATURES).astype(np.float32)
     for i, (mask, level) in enumerate([*((same, x) for x in SAME_LEVELS), *((T.covered(again, 5, len(s)), x) for x in AGAIN_LEVELS)]):
         out[:, i] = np.where(np.bincount(owner[mask], minlength=docs) > level * n, n, 0)
     return out, n
@@ -99,14 +103,22 @@ class Model:
         k = min(NEIGHBOURS, len(self.labels))
         for i in range(0, len(z), BLOCK):
             cos = z[i : i + BLOCK] @ self.vectors.T
-            top = np.argpartition(-cos, k - 1, axis=1)[:, :k]
-            w = np.maximum(np.take_along_axis(cos, top, axis=1), 0).astype(np.float64) ** SHARPNESS
-            total = w.sum(axis=1)
-            vote = (w * self.labels[top]).sum(axis=1) / np.maximum(total, 1e-12)
+            last = -np.partition(-cos, k - 1, axis=1)[:, k - 1]
+            row, near = np.nonzero(cos >= last[:, None] - TIE)
+            w = np.maximum(cos[row, near], 0).astype(np.float64) ** SHARPNESS
+            total = np.bincount(row, w, len(cos))
+            vote = np.bincount(row, w * self.labels[near], len(cos)) / np.maximum(total, 1e-12)
             out[i : i + BLOCK] = np.where((total > 1e-9) & (n[i : i + BLOCK] > 0), vote, self.prior)
         return np.clip(out, 0.0, 1.0)
 
 
+def _parts(batch):
+    """Slices of bounded bytes and of at most BLOCK rows: their term counts are dense."""
+    for part in T.slices(batch, "text"):
+        for i in range(0, part.num_rows, BLOCK):
+            yield part.slice(i, BLOCK)
+
+
 def _crc(id_col: str):
     return F.crc32(F.col(id_col).cast("string").cast("binary")) % 4
 
@@ -119,7 +131,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
 
     def count(batches):
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in _parts(batch):
                 c, n = term_counts(*T.raw(part.column("text")))
                 row, term = np.nonzero(c)
                 offs = np.searchsorted(row, np.arange(len(n) + 1)).astype(np.int32)
@@ -140,7 +152,7 @@ def score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 
     def run(batches):
         for batch in batches:
-            for part in T.slices(batch, "text"):
+            for part in _parts(batch):
                 yield pa.RecordBatch.from_arrays([part.column("id"), pa.array(shared.value.scores(*term_counts(*T.raw(part.column("text")))))], names=["id", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, "id long, score double")

@@ -1,13 +1,17 @@
 from __future__ import annotations
 
 import itertools
+import random
 import zlib
 from datetime import date
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.llm import decontaminate, html_wrapper, pii_feistel, quality_knn, quality_rules, queries, sentencepiece_ac, url_reputation
+from quarrykit.llm import textnp as T
 from tests.compare import assert_same
 from tests.llm import brute
 
@@ -386,6 +390,37 @@ def test_held_out_accuracy(spark, sf):
     assert sum(tested) >= 0.85 * len(tested)
 
 
+def test_vocabulary_decides_between_texts_of_one_shape(spark):
+    r = random.Random(8)
+    good, bad = (["".join(r.choice("abcdefghij") for _ in range(5)) for _ in range(30)] for _ in range(2))
+    rows = [(i, " ".join(r.sample(good if i % 2 else bad, 20)), i % 2) for i in range(200)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, q) for i, _, q in rows], "doc_id long, quality int")
+    out = [x for x in quality_knn.score(docs, labels).collect() if x["held_out"]]
+    assert len(out) > 20
+    assert all(x["predicted"] == x["doc_id"] % 2 for x in out)
+
+
+def test_all_ties_at_the_last_neighbour_vote():
+    texts = pa.array(["same words here again"] * 40 + ["12 34 ?"] * 10, pa.string())
+    counts, n = quality_knn.term_counts(*T.raw(texts))
+    labels = np.array([1] * 10 + [0] * 30 + [1] * 10)
+    turned = np.arange(len(n))[::-1]
+    for order in (np.arange(len(n)), turned):
+        model = quality_knn.Model(counts[order], n[order], labels[order])
+        assert np.allclose(model.scores(counts[:1], n[:1]), 0.25, atol=1e-6)
+        assert np.allclose(model.scores(counts, n)[0], model.scores(counts[:1], n[:1])[0], atol=1e-6)
+
+
+def test_repeated_rows_and_labels_and_a_long_text_score(spark):
+    docs = spark.createDataFrame([(1, "a b c"), (1, "a b c"), (3, "word " * 50000), (4, "x y z")], "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (1, 0), (4, 1), (4, 1)], "doc_id long, quality int")
+    out = quality_knn.score(docs, labels).collect()
+    assert sorted(r["doc_id"] for r in out) == [1, 1, 3, 4]
+    assert len({r["score"] for r in out if r["doc_id"] == 1}) == 1
+    assert all(0 <= r["score"] <= 1 for r in out)
+
+
 def test_scores_of_odd_inputs(spark):
     docs = spark.createDataFrame([(1, None, 0.1), (2, "", 0.1), (None, "a word", 0.1), (4, "*** !!! ***", 0.1)], "doc_id long, text string, score double")
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
