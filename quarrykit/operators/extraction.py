@@ -58,6 +58,13 @@ def extract_claims(docs: DataFrame, template: str, model: Callable[[str], str],
     return claims.greedy_merge(best, order=[key, "start", "place"]).withColumn("claim_id", keys.claim_id(F.col(key).cast("string"), F.col("statement"))).drop("place")
 
 
+def input_route(text: Column, kind: Column, size: Column, most: int = 30_000_000) -> Column:
+    """How a notice is analysed: simple without text, binary for PDF files below most bytes, else text."""
+    blank = F.trim(F.coalesce(text, F.lit(""))) == ""
+    binary = F.coalesce((F.lower(kind) == "pdf") & (size < most), F.lit(False))
+    return F.when(blank, "simple").when(binary, "binary").otherwise("text")
+
+
 def analyse(notices: DataFrame, balances: DataFrame, files: DataFrame, template: str, model: Callable[[str], str], account: str = "account") -> DataFrame:
     """Answers for the notices whose account can pay: full where a parsed file has text, simple elsewhere."""
     from quarrykit.operators import ledger

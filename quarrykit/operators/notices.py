@@ -135,5 +135,6 @@ def fetch_wanted(notices: DataFrame, tags: DataFrame, wanted: tuple[str, ...]) -
     return rows.where(has_none & (F.coalesce("url", F.lit("")) != ""))
 
 
-def page_numbers(current: int, last: int, around: int = 4) -> Column:
-    return F.sequence(F.lit(max(1, current - around)), F.lit(min(last, current + around)))
+def page_numbers(current: int | Column, last: int | Column, around: int = 4) -> Column:
+    current, last = F.lit(current), F.lit(last)
+    return F.sequence(F.greatest(F.lit(1), current - around), F.least(last, current + around))

@@ -50,6 +50,23 @@ def zipped_files(names: Column, urls: Column) -> Column:
     return F.filter(named, lambda p: F.coalesce(p["url"], F.lit("")) != "")
 
 
+SITE = """name string, source_key string, list_url string, pagination string, max_pages int, encoding string, row_pattern string,
+title_pattern string, link_pattern string, date_pattern string, link_base string, require_date boolean"""
+
+
+def site_configs(spark: SparkSession, path: str) -> DataFrame:
+    """Site configurations from one JSON array, absent keys as defaults."""
+    rows = spark.read.schema(SITE).option("multiLine", True).json(path)
+    return rows.fillna({"pagination": "", "max_pages": 1, "encoding": "utf-8", "link_base": "", "require_date": False}).where("source_key is not null")
+
+
+def list_pages(sites: DataFrame) -> DataFrame:
+    """source_key, page and url of every list page: {page} in pagination is its number; without it there is one page."""
+    last = F.when(F.contains("pagination", F.lit("{page}")), F.greatest("max_pages", F.lit(1))).otherwise(F.lit(1))
+    rows = sites.select("*", F.explode(F.sequence(F.lit(1), last)).alias("page"))
+    return rows.select("source_key", "page", F.concat("list_url", F.replace("pagination", F.lit("{page}"), F.col("page").cast("string"))).alias("url"))
+
+
 def html_list(pages: DataFrame, sites: DataFrame, as_of: Column) -> DataFrame:
     """List rows of landed HTML by site configuration.
 

@@ -2,7 +2,9 @@
 
 ``fetch(keyword, lo, hi, page, size)`` is any importable callable that returns
 (items, total); it is named as ``module:function`` in the options, so that
-executors import it.  Failures are tried again with growing waits.
+executors import it.  Failures are tried again with growing waits; a page that
+still fails ends its own loop with a row that holds the error, and what was read
+before it, like all other loops, stays.
 """
 
 from __future__ import annotations
@@ -12,7 +14,7 @@ import json
 import time
 from datetime import date, timedelta
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
 
 class Request(InputPartition):
@@ -22,17 +24,22 @@ class Request(InputPartition):
 
 
 class PagedSource(DataSource):
-    """Options: fetch, keywords (JSON list), start, end (yyyy-MM-dd), days (7), size (100)."""
+    """Options: fetch, keywords (JSON list), start, end (yyyy-MM-dd), days (7), size (100), push (false).
+
+    With push, filters on keyword decide what is asked for at all; Spark wants
+    spark.sql.python.filterPushdown.enabled for that.
+    """
 
     @classmethod
     def name(cls) -> str:
         return "paged_api"
 
     def schema(self) -> str:
-        return "keyword string, page int, item string"
+        return "keyword string, page int, item string, error string"
 
     def reader(self, schema) -> PagedReader:
-        return PagedReader(dict(self.options))
+        options = dict(self.options)
+        return PushedReader(options) if options.get("push", "false").lower() == "true" else PagedReader(options)
 
 
 class PagedReader(DataSourceReader):
@@ -40,6 +47,7 @@ class PagedReader(DataSourceReader):
 
     def __init__(self, options: dict):
         self.options = options
+        self.keywords = json.loads(options["keywords"])
 
     def partitions(self) -> list[Request]:
         lo, end = (date.fromisoformat(self.options[k]) for k in ("start", "end"))
@@ -48,16 +56,20 @@ class PagedReader(DataSourceReader):
         while lo <= end:
             spans.append((lo.isoformat(), min(lo + step - timedelta(days=1), end).isoformat()))
             lo += step
-        return [Request(k, a, b) for k in json.loads(self.options["keywords"]) for a, b in spans]
+        return [Request(k, a, b) for k in self.keywords for a, b in spans]
 
     def read(self, partition: Request):
         module, _, name = self.options["fetch"].partition(":")
         fetch = getattr(importlib.import_module(module), name)
         size, page = int(self.options.get("size", 100)), 1
         while True:
-            items, total = self._again(fetch, partition.keyword, partition.lo, partition.hi, page, size)
+            try:
+                items, total = self._again(fetch, partition.keyword, partition.lo, partition.hi, page, size)
+            except OSError as error:
+                yield partition.keyword, page, None, f"{type(error).__name__}: {error}"[:500]
+                return
             for item in items:
-                yield partition.keyword, page, json.dumps(item, ensure_ascii=False)
+                yield partition.keyword, page, json.dumps(item, ensure_ascii=False), None
             if page * size >= total or not items:
                 return
             page += 1
@@ -70,3 +82,14 @@ class PagedReader(DataSourceReader):
                 if attempt + 1 == self.TRIES:
                     raise
                 time.sleep(float(self.options.get("wait", self.WAIT)) * (attempt + 1))
+
+
+class PushedReader(PagedReader):
+    def pushFilters(self, filters):
+        """Takes equality and lists of keywords, and leaves the rest to Spark."""
+        for f in filters:
+            if isinstance(f, (EqualTo, In)) and f.attribute == ("keyword",):
+                wanted = {f.value} if isinstance(f, EqualTo) else set(f.value)
+                self.keywords = [k for k in self.keywords if k in wanted]
+            else:
+                yield f

@@ -7,6 +7,7 @@ import zipfile
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import EqualTo, In
 
 from quarrykit.operators import claims, documents, extraction, ledger, match, merge, notices, ordered
 from quarrykit.sources import feeds, paged
@@ -192,6 +193,41 @@ def test_paged_source(spark):
     assert df.agg(F.max("page")).first()[0] == 3
 
 
+def fetch_failing(keyword, lo, hi, page, size):
+    """The second page of keyword b always fails."""
+    if keyword == "b" and page == 2:
+        raise OSError("no answer")
+    return fetch(keyword, lo, hi, page, size)
+
+
+def test_paged_source_keeps_what_a_failing_loop_read(spark):
+    spark.dataSource.register(paged.PagedSource)
+    df = spark.read.format("paged_api").options(fetch="tests.test_operators:fetch_failing", keywords='["a", "b"]', start="2026-01-01", end="2026-01-10", size="2", wait="0").load()
+    got = df.groupBy("keyword").agg(F.count("item"), F.count("error"), F.max("error")).orderBy("keyword")
+    assert [tuple(r) for r in got.collect()] == [("a", 10, 0, None), ("b", 4, 2, "OSError: no answer")]
+
+
+def test_paged_source_asks_only_for_wanted_keywords(spark):
+    reader = paged.PushedReader({"keywords": '["a", "b", "c"]', "start": "2026-01-01", "end": "2026-01-03"})
+    other = EqualTo(("page",), 1)
+    assert list(reader.pushFilters([In(("keyword",), ("a", "c")), other, EqualTo(("keyword",), "c")])) == [other]
+    assert [p.keyword for p in reader.partitions()] == ["c"]
+    spark.dataSource.register(paged.PagedSource)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    try:
+        df = spark.read.format("paged_api").options(fetch="tests.test_operators:fetch", keywords='["a", "b"]', start="2026-01-01", end="2026-01-10", size="2", push="true").load()
+        assert df.where("keyword = 'a' and page = 1").count() == 4
+    finally:
+        spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_site_configs_and_list_pages(spark, tmp_path):
+    (tmp_path / "sites.json").write_text(json.dumps([{"source_key": "a", "list_url": "http://a/list", "pagination": "?p={page}", "max_pages": 2}, {"source_key": "b", "list_url": "http://b/", "max_pages": 5}, {"name": "no key"}]))
+    sites = feeds.site_configs(spark, str(tmp_path / "sites.json"))
+    assert {r["encoding"] for r in sites.collect()} == {"utf-8"}
+    assert rows(feeds.list_pages(sites).orderBy("source_key", "page")) == [("a", 1, "http://a/list?p=1"), ("a", 2, "http://a/list?p=2"), ("b", 1, "http://b/")]
+
+
 def test_landed_json_and_xml(spark, tmp_path):
     (tmp_path / "a.json").write_text(json.dumps({"response": {"body": {"items": [{"no": "1", "nm": "T", "dt": "20260301"}, {"no": "2", "nm": "", "dt": ""}, {"no": "3", "nm": "U", "dt": "20200101"}]}}}))
     items = feeds.json_items(spark, str(tmp_path / "a.json"), "response.body.items", "no: string, nm: string, dt: string")
