@@ -37,17 +37,20 @@ def matched(rows: DataFrame, text: Column, keywords: DataFrame) -> DataFrame:
 
 
 def _joined(rows: DataFrame, text: Column, keywords: DataFrame, gram: int = 3) -> DataFrame:
-    """Long lists: an equi-join on the keywords' first letters (all of a shorter one's), then the containment test."""
-    lower = F.lower(text)
-    rows = rows.withColumn("_rid", F.monotonically_increasing_id()).withColumn("_text", lower)
+    """Long lists: an equi-join on the keywords' first letters (all of a shorter one's), then the containment test.
+
+    Only a hash of the text travels with its grams; rows of one text share their candidates.
+    """
+    rows = rows.withColumn("_text", F.lower(text)).withColumn("_key", F.sha2("_text", 256))
     at = F.sequence(F.lit(1), F.greatest(F.length("_text"), F.lit(1)))
     of = lambda n: F.transform(at, lambda i: F.substring(F.col("_text"), i, F.lit(n)))
     grams = F.array_distinct(F.concat(*[of(n) for n in range(1, gram + 1)]))
     words = keywords.select("keyword").where("keyword <> ''").distinct().withColumn("_gram", F.substring(F.lower("keyword"), 1, gram))
-    cells = rows.select("_rid", "_text", F.explode(grams).alias("_gram"))
-    found = cells.join(words, "_gram").where(F.contains("_text", F.lower("keyword"))).select("_rid", "keyword")
-    by_row = found.groupBy("_rid").agg(F.array_sort(F.collect_set("keyword")).alias("_hits"))
-    return rows.join(by_row, "_rid").withColumns({"keywords": F.array_join("_hits", ","), "n_keywords": F.size("_hits")}).drop("_rid", "_text", "_hits")
+    cells = rows.select("_key", F.explode(grams).alias("_gram"))
+    candidates = cells.join(words, "_gram").select("_key", "keyword").distinct().groupBy("_key").agg(F.collect_list("keyword").alias("_words"))
+    hit = F.array_sort(F.filter("_words", lambda k: F.contains(F.col("_text"), F.lower(k))))
+    found = rows.join(candidates, "_key").withColumn("_hits", hit).where(F.size("_hits") > 0)
+    return found.withColumns({"keywords": F.array_join("_hits", ","), "n_keywords": F.size("_hits")}).drop("_key", "_text", "_words", "_hits")
 
 
 def pairs(rows: DataFrame, key: str, text: Column, keywords: list[str]) -> DataFrame:
