@@ -24,7 +24,7 @@ Of equal passages the first counts as an item's best one.
 
 Cases: a null or empty text has no passage; null, empty or wordless items match
 nothing; items under three words use their whole sequence as the one gram;
-repeated rows give repeated hits; null ids are carried.
+repeated rows give repeated hits; null ids of documents and items are carried.
 """
 
 from __future__ import annotations
@@ -84,10 +84,10 @@ class Statistics:
 class Index:
     """Postings, block maxima and essential terms of the test items."""
 
-    def __init__(self, items: list[tuple[int, str]], of_all: Statistics | None = None):
+    def __init__(self, items: list[tuple[int | None, str]], of_all: Statistics | None = None):
         """of_all: statistics of all items where these are a shard of them."""
         coded = [(i, t, _coded(t)) for i, t in items if t and len(_coded(t))]
-        self.ids = np.array([i for i, _, _ in coded], np.int64)
+        self.ids = [i for i, _, _ in coded]
         n = len(coded)
         self.terms = np.unique(np.concatenate([c for _, _, c in coded])) if n else np.zeros(0, T.U64)
         counts = [np.unique(np.searchsorted(self.terms, c), return_counts=True) for _, _, c in coded]
@@ -203,7 +203,7 @@ def _search(index: Index, batch) -> pa.RecordBatch:
                     hits[d, item] = (score, q, a, int(s - seg_offs[d]))
     keys = sorted(hits)
     cols = [[hits[k][c] for k in keys] for c in range(4)]
-    return pa.RecordBatch.from_arrays([ids.take(pa.array([d for d, _ in keys], pa.int64())), pa.array([int(index.ids[i]) for _, i in keys], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[:3]], pa.array(cols[3], pa.int64())], schema=_OUT)
+    return pa.RecordBatch.from_arrays([ids.take(pa.array([d for d, _ in keys], pa.int64())), pa.array([index.ids[i] for _, i in keys], pa.int64()), *[pa.array(c, pa.float64()) for c in cols[:3]], pa.array(cols[3], pa.int64())], schema=_OUT)
 
 
 def _share(want: np.ndarray, grams: dict[int, np.ndarray]) -> float:
