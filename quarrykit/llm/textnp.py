@@ -109,6 +109,8 @@ _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _PUNCTUATED = _SPACE.copy()
 _PUNCTUATED[[b for b in range(0x21, 0x7F) if not chr(b).isalnum()]] = True
+NO_TERM = np.zeros(256, bool)  # ASCII bytes that are neither digits nor letters
+NO_TERM[[b for b in range(128) if not chr(b).isalnum()]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
