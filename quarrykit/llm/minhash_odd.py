@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm import textnp as T
 
-SHINGLE, SAMPLES, BANDS, SKETCH_WORDS, MOST_BITS, TILE, TILE_SHINGLES = 5, 128, 32, 4, 84, 4096, 1_500_000
+SHINGLE, PERCENT, SAMPLES, BANDS, SKETCH_WORDS, MOST_BITS, TILE, TILE_SHINGLES = 5, 75, 128, 32, 4, 84, 4096, 1_500_000
 _ROWS = SAMPLES // BANDS
 _KEYS = (np.random.default_rng(71).integers(1, 1 << 62, SAMPLES, dtype=np.uint64) << T.U64(1)) | T.U64(1)
 
@@ -127,8 +127,8 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).mapInArrow(rows, _SIG_DDL)
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * common >= 75 * all.
+def confirmed(pairs: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b) whose full sets have 100 * common >= percent * all.
 
     Each text is dealt once by id, then to the pairs that need it: to the
     tiles of a, where a's own text comes first and the texts of its partners
@@ -158,7 +158,7 @@ def confirmed(pairs: DataFrame, texts: DataFrame) -> DataFrame:
                         continue
                     for other in own:
                         both = _common(other, mine)
-                        if len(mine) and 100 * both >= 75 * (len(mine) + len(other) - both):
+                        if len(mine) and 100 * both >= percent * (len(mine) + len(other) - both):
                             out_a.append(a[i])
                             out_b.append(ids[i])
                             break
@@ -177,7 +177,7 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """id and component (least id reachable) of every id in links (a, b).
+    """id and component (least id reachable) of every id in links (a, b) that is not its own component.
 
     Alternating large-star and small-star rounds; a hub's links are aggregated
     and joined, never gathered in a group.
@@ -252,7 +252,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.join(gone, docs[id_col].cast("long") == gone["__gone"], "left_anti")
 
 
-def open_links(bucket: DataFrame, component: DataFrame, sketch: DataFrame, texts: DataFrame) -> DataFrame:
+def open_links(bucket: DataFrame, component: DataFrame, sketch: DataFrame, texts: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Confirmed links between members of one bucket that are in different components so far.
 
     Buckets with such members join into clusters, so each text is sent once and
@@ -264,7 +264,8 @@ def open_links(bucket: DataFrame, component: DataFrame, sketch: DataFrame, texts
     split = rows.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("id").alias("first")).where("lo <> hi").select("band", "first")
     rows = saved(rows.join(split, "band").select("id", "component", "first").distinct(), "open")
     cluster = components(rows.select(F.col("id").alias("a"), F.col("first").alias("b"))).withColumnRenamed("component", "cluster")
-    rows = rows.select("id", "component").distinct().join(cluster, "id").join(sketch.select("id", "n_shingles", "sketch"), "id")
+    # A cluster's least id is no row of components().
+    rows = rows.select("id", "component").distinct().join(cluster, "id", "left").withColumn("cluster", F.coalesce("cluster", "id")).join(sketch.select("id", "n_shingles", "sketch"), "id")
     largest = rows.groupBy("cluster", "component").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("component", F.struct("n", "component")).alias("main"))
     rows = rows.join(largest, "cluster").withColumn("major", F.col("component") == F.col("main"))
     tiles = lambda own: F.greatest(F.lit(1), F.ceil(F.count_if(own) / F.lit(TILE)), F.ceil(F.coalesce(F.sum(F.when(own, F.col("n_shingles"))), F.lit(0)) / F.lit(TILE_SHINGLES))).cast("int")
@@ -277,10 +278,10 @@ def open_links(bucket: DataFrame, component: DataFrame, sketch: DataFrame, texts
     with_all = F.concat(F.transform(all_of("majors"), lambda i: key(i, tile, 0)), F.transform(all_of("minors"), lambda j: key(F.least(tile, j), F.greatest(tile, j), 1)))
     dealt = rows.select("id", "component", "sketch", "major", "cluster", tile.alias("tile"), F.explode(F.when(F.col("major"), with_minors).otherwise(with_all)).alias("t"))
     dealt = dealt.select("id", "component", "sketch", "major", "cluster", "tile", "t.*").join(texts, "id")
-    return dealt.groupBy("cluster", "x", "y", "k").applyInArrow(_tile_links, "a long, b long").distinct()
+    return dealt.groupBy("cluster", "x", "y", "k").applyInArrow(lambda table: _tile_links(table, percent), "a long, b long").distinct()
 
 
-def _tile_links(table: pa.Table) -> pa.Table:
+def _tile_links(table: pa.Table, percent: int) -> pa.Table:
     """Links that join components of a tile, confirmed on full sets."""
     table = table.sort_by("id")  # one result, however the rows came
     ids, comp, major, tile = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "major", "tile"))
@@ -304,7 +305,7 @@ def _tile_links(table: pa.Table) -> pa.Table:
     out: list[tuple[int, int]] = []
     roots = comp.copy()
     for i in np.flatnonzero(~major):
-        near = (roots != roots[i]) & (np.minimum(sizes, sizes[i]) * 100 >= 75 * np.maximum(sizes, sizes[i]))
+        near = (roots != roots[i]) & (np.minimum(sizes, sizes[i]) * 100 >= percent * np.maximum(sizes, sizes[i]))
         near &= major if k == 0 else (~major & ((tile != tile[i]) if x != y else (ids > ids[i])))
         at = np.flatnonzero(near)
         at = at[np.bitwise_count(bits[at] ^ bits[i]).sum(axis=1) <= MOST_BITS]
@@ -315,7 +316,7 @@ def _tile_links(table: pa.Table) -> pa.Table:
         count = hi - lo
         first = np.concatenate([[0], np.cumsum(count)])
         common = np.bincount(owner[np.repeat(lo - first[:-1], count) + np.arange(first[-1])], minlength=len(ids))[at]
-        for j in at[100 * common >= 75 * (sizes[at] + sizes[i] - common)]:
+        for j in at[100 * common >= percent * (sizes[at] + sizes[i] - common)]:
             p, q = root(int(comp[i])), root(int(comp[j]))
             if p != q:
                 parent[max(p, q)] = min(p, q)
