@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarrykit.llm import decontaminate, html_wrapper, impact_search, importance, minhash_odd, pii_feistel, quality_knn, quality_rules, rlz_dedup, sentencepiece_ac, suffix_dedup, url_reputation
+from quarrykit.llm import decontaminate, group_join, html_wrapper, impact_search, importance, minhash_odd, pii_feistel, quality_knn, quality_rules, rlz_dedup, sentencepiece_ac, suffix_dedup, url_reputation
 from quarrykit.llm.minhash_odd import near_duplicates
 from quarrykit.llm.rlz_dedup import remove_repeated_phrases
 from quarrykit.llm.suffix_dedup import remove_repeated_bytes
@@ -64,6 +64,10 @@ def op10_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_group_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return group_join.linked(_table(spark, sf_dir, "documents"))
+
+
 def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     weighed = importance.weigh(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
     return importance.draw(weighed).select("doc_id", "n_features", "weight", "score", "rank")
@@ -84,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pii_feistel": op8_pii_feistel,
     "op9_quality_knn": op9_quality_knn,
     "op10_minhash_odd": op10_minhash_odd,
+    "op11_group_join": op11_group_join,
     "op12_importance": op12_importance,
     "op13_impact_search": op13_impact_search,
 }
@@ -94,6 +99,7 @@ ORACLES: dict[str, str] = {
     "op4_quality_rules": quality_rules.ORACLE,
     "op5_suffix_dedup": suffix_dedup.ORACLE,
     "op10_minhash_odd": minhash_odd.ORACLE,
+    "op11_group_join": group_join.ORACLE,
     "op12_importance": importance.ORACLE,
     "op13_impact_search": impact_search.ORACLE,
 }

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
 from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -72,7 +74,7 @@ def shingles(t: str | None) -> frozenset:
     return frozenset(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else frozenset([tuple(w)] if w else [])
 
 
-def components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]:
+def components(docs: list[tuple[int, str | None]], percent: int = 75) -> dict[int, tuple[int, int]]:
     sets = {d: shingles(t) for d, t in docs}
     up = {d: d for d in sets}
 
@@ -85,7 +87,53 @@ def components(docs: list[tuple[int, str | None]]) -> dict[int, tuple[int, int]]
     for i, a in enumerate(ids):
         for b in ids[i + 1 :]:
             both = len(sets[a] & sets[b])
-            if both and 100 * both >= 75 * (len(sets[a]) + len(sets[b]) - both):
+            if both and 100 * both >= percent * (len(sets[a]) + len(sets[b]) - both):
                 p, q = root(a), root(b)
                 up[max(p, q)] = min(p, q)
     return {d: (len(sets[d]), root(d)) for d in ids}
+
+
+TERM = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
+
+def terms(t: str | None) -> list[str]:
+    return [w.translate(LOWER) for w in TERM.findall(t or "")]
+
+
+def ranked(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], top: int = 10) -> list[tuple]:
+    """(item, rank, document, score); items that repeat id and text once."""
+    bags = [(d, Counter(terms(t))) for d, t in docs if terms(t)]
+    n, total = len(bags), sum(sum(b.values()) for _, b in bags)
+    df = Counter(x for _, b in bags for x in b)
+    out = []
+    for item, text in {i for i in items if i[1] is not None}:
+        scores = []
+        for d, b in bags:
+            m = 10 + 90 * sum(b.values()) * n // total
+            s = sum(math.floor(1000 * math.log((2 * n + 2) / (2 * df[x] + 1))) * (10**9 * b[x] // (1000 * b[x] + 8 * m)) for x in set(terms(text)) if x in b)
+            if s > 0:
+                scores.append((-s, d))
+        out += [(item, i + 1, d, -s) for i, (s, d) in enumerate(sorted(scores)[:top])]
+    return sorted(out)
+
+
+def bucket_counts(t: str | None) -> tuple[int, Counter]:
+    w = terms(t)
+    runs = [" ".join(w[i : i + k]) for k in (1, 2, 3) for i in range(len(w) - k + 1)]
+    return len(w), Counter(zlib.crc32(r.encode()) % 10_000 for r in runs)
+
+
+def drawn(docs: list[tuple[int, str | None]], target: list[str | None], percent: int = 5) -> dict[int, tuple]:
+    """n_features, weight, score and rank by id (ids are distinct)."""
+    bags = {d: bucket_counts(t) for d, t in docs}
+    s, t = sum((b for _, b in bags.values()), Counter()), sum((bucket_counts(x)[1] for x in target), Counter())
+    all_s, all_t = sum(s.values()), sum(t.values())
+    gain = {x: math.floor(1000 * math.log((t[x] + 1) * (all_s + 10_000) / ((s[x] + 1) * (all_t + 10_000)))) for x in s}
+    out = {}
+    for d, (_, bag) in bags.items():
+        h = int(hashlib.sha256(f"42:{d}".encode()).hexdigest()[:8], 16)
+        weight = sum(gain[x] * c for x, c in bag.items())
+        out[d] = (sum(bag.values()), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))))
+    able = sorted((d for d, (n, _) in bags.items() if n >= 20), key=lambda d: (-out[d][2], d))
+    rank = {d: i + 1 for i, d in enumerate(able[: percent * len(able) // 100])}
+    return {d: (*v, rank.get(d)) for d, v in out.items()}

@@ -8,6 +8,7 @@ import pytest
 
 import corpus_pipeline
 from quarrykit.llm import queries
+from tests.llm import brute
 
 SHAPES = {
     "documents": "doc_id long, text string, lang string, source string, n_chars int",
@@ -56,7 +57,7 @@ def test_empty_tables(spark, empty, name):
     assert ALL[name](spark, empty).collect() == []
 
 
-@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op3_decontaminate"}))
+@pytest.mark.parametrize("name", sorted(set(queries.QUERIES) - {"op3_decontaminate", "op13_impact_search"}))
 def test_odd_rows_keep_their_ids(spark, odd, name):
     key, source = ("page_id", PAGES) if name.split("_")[0] in ("op1", "op6") else ("doc_id", DOCS)
     got = Counter(r[key] for r in queries.QUERIES[name](spark, odd).collect())
@@ -68,6 +69,26 @@ def test_leaks_of_odd_rows(spark, odd):
     assert {(r["doc_id"], r["item_id"]) for r in got.collect()} == {(10, 1), (10, None)}
 
 
+def test_search_over_odd_rows(spark, odd):
+    got = [tuple(r) for r in queries.QUERIES["op13_impact_search"](spark, odd).select("item_id", "rank", "doc_id", "score").collect()]
+    large = (1 << 63) - 1  # a null id of a document is the largest
+    docs = [(large if r[0] is None else r[0], r[1]) for r in DOCS]
+    want = brute.ranked(docs, [(-1 if i is None else i, t) for i, t in BENCHMARK])
+    assert sorted((-1 if i is None else i, k, large if d is None else d, s) for i, k, d, s in got) == want
+
+
+def test_odd_rows_drawn(spark, odd):
+    got = Counter((r["doc_id"], r["n_features"]) for r in queries.QUERIES["op12_importance"](spark, odd).collect())
+    assert got == Counter((r[0], sum(brute.bucket_counts(r[1])[1].values())) for r in DOCS)
+
+
+def test_odd_rows_linked(spark, odd):
+    want = brute.components([(r[0], r[1]) for r in DOCS if r[0] is not None], 80)
+    got = queries.QUERIES["op11_group_join"](spark, odd).collect()
+    assert {(r["doc_id"], r["component_id"]) for r in got if r["doc_id"] is not None} == {(d, c) for d, (_, c) in want.items()}
+    assert {r["component_id"] for r in got if r["doc_id"] is None} == {None}
+
+
 def test_odd_rows_through_the_pipeline(spark, odd):
     got = [r["doc_id"] for r in corpus_pipeline.run(spark, odd).collect()]
     assert set(got) <= {r[0] for r in DOCS}
