@@ -6,14 +6,12 @@ symmetric; the argument order is part of each operator.
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from quarrykit.functions import text
+from quarrykit.operators import greedy, resemblance
+from quarrykit.storage import discard, saved
 
 THRESHOLD = 0.85
 CATEGORIES = ("Identity", "Methodology", "USP", "Philosophy", "Story", "Operational")
@@ -22,44 +20,6 @@ LABELS = r"등록\s*여부|등록증\s*번호|가능\s*여부|사업자\s*등록
 PROJECT_KINDS, CERTIFICATE_KINDS = ("실적",), ("인증", "등록", "인증/등록", "자격", "특허")
 
 
-def similarity(threshold: float):
-    """UDF: the ratio of two texts where it reaches the threshold, else 0.
-
-    Pairs of a batch are taken by their second text, so that what difflib prepares
-    for it is prepared once; its quick ratios bound the ratio from above.
-    """
-
-    @F.pandas_udf(DoubleType())
-    def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-        out, match, of = [0.0] * len(a), SequenceMatcher(None), None
-        left, right = a.fillna("").tolist(), b.fillna("").tolist()
-        for i in sorted(range(len(right)), key=right.__getitem__):
-            if left[i] == right[i]:
-                out[i] = 1.0
-                continue
-            if right[i] != of:
-                match.set_seq2(of := right[i])
-            match.set_seq1(left[i])
-            if match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold:
-                r = match.ratio()
-                out[i] = r if r >= threshold else 0.0
-        return pd.Series(out)
-
-    return ratio
-
-
-def letter_counts(value: Column, letters: str = "abcdefghijklmnopqrstuvwxyz ") -> Column:
-    """How often each of letters occurs, and all other characters together."""
-    rest = F.length(F.translate(value, letters, ""))
-    return F.array(*[F.length(value) - F.length(F.replace(value, F.lit(c), F.lit(""))) for c in letters], rest)
-
-
-def may_resemble(a: Column, b: Column, counts_a: Column, counts_b: Column, threshold: float) -> Column:
-    """False only for pairs whose ratio is below the threshold: letters in common bound it from above."""
-    both = F.aggregate(F.zip_with(counts_a, counts_b, lambda x, y: F.least(x, y)), F.lit(0), lambda t, x: t + x)
-    return both * 2 >= threshold * (F.length(a) + F.length(b))
-
-
 def vocabulary_tags(values: Column, vocabulary: list[str]) -> Column:
     """Each value's word of the vocabulary: equal, else the first that contains it or lies in it; distinct, in order."""
     vocab = F.array(*[F.lit(v) for v in vocabulary])
@@ -81,70 +41,47 @@ def similar_pairs(claims: DataFrame, threshold: float = THRESHOLD, limit: int =
     """The limit most similar pairs (a before b by id) of a category, ties by a and b.
 
     Equal statements of a category are one; no statement is listed with more than its
-    first limit + 1 ids, as further ones cannot come first.  Lengths and letters in
-    common bound the ratio from above: an equi-join on category and length step, of
-    which only neighbouring steps can match, then the letters, then difflib.
+    first limit + 1 ids, as further ones cannot come first.  Pairs of one statement have
+    similarity 1, which no others reach, so where they are enough nothing is compared.
+    Else tiles of bounded size find their best pairs: first those of one chunk each,
+    whose limit-th best is the threshold of all others.
     """
-    first = Window.partitionBy("category", "statement").orderBy("id")
-    ids = claims.where("statement is not null").select("id", "category", "statement").withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + 1)
+    rows = claims.where("statement is not null").select("id", "category", "statement", F.coalesce(F.col("category").cast("string"), F.lit("\x00")).alias("_group"))
+    first = Window.partitionBy("_group", "statement").orderBy("id")
+    ids = saved(rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= limit + 1).drop("_n"), "ids")
     # All pairs of one statement: those of its first ids with all others listed.
-    same = ids.groupBy("category", "statement").agg(F.array_sort(F.collect_list("id")).alias("ids")).where(F.size("ids") > 1)
-    same = same.select("category", F.explode(F.slice(F.transform("ids", lambda x, i: F.struct(x.alias("a"), i.alias("i"))), F.lit(1), F.lit(limit))).alias("x"), "ids")
-    same = same.select("category", F.col("x.a").alias("a"), F.explode(F.slice("ids", F.col("x.i") + 2, F.lit(limit))).alias("b"), F.lit(1.0).alias("similarity")).orderBy("a", "b").limit(limit)
-    # Pairs of two statements.
-    step = F.floor(F.log(F.greatest(F.length("statement"), F.lit(1))) / F.log(F.lit((2 - threshold) / threshold))).cast("int")
-    rows = ids.groupBy("category", "statement").agg(F.min("id").alias("id"), F.max("id").alias("last")).select("*", step.alias("step"), letter_counts(F.col("statement")).alias("letters"))
-    a = rows.select("category", F.col("id").alias("x"), "last", F.col("statement").alias("left"), F.col("letters").alias("letters_a"), F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1)).alias("step"))
-    b = rows.select("category", F.col("id").alias("y"), F.col("statement").alias("right"), F.col("letters").alias("letters_b"), "step")
-    near = a.join(b, ["category", "step"]).where((F.col("x") < F.col("y")) & may_resemble(F.col("left"), F.col("right"), F.col("letters_a"), F.col("letters_b"), threshold))
-    # The ratio is of the pair in the order of its ids, so both orders count where the ids interleave.
-    near = near.select("category", "left", "right").union(near.where(F.col("last") > F.col("y")).select("category", "right", "left"))
-    scored = near.withColumn("similarity", similarity(threshold)("left", "right")).where(F.col("similarity") >= threshold)
-    of = lambda k, id_: ids.select("category", F.col("statement").alias(k), F.col("id").alias(id_))
-    pairs = scored.join(of("left", "a"), ["category", "left"]).join(of("right", "b"), ["category", "right"]).where("a < b")
-    return same.unionByName(pairs.select("category", "a", "b", "similarity")).orderBy(F.desc("similarity"), "a", "b").limit(limit)
+    each = saved(ids.groupBy("_group", "statement").agg(F.array_sort(F.collect_list("id")).alias("ids")), "each")
+    same = each.where(F.size("ids") > 1)
+    same = same.select("_group", F.explode(F.slice(F.transform("ids", lambda x, i: F.struct(x.alias("a"), i.alias("i"))), F.lit(1), F.lit(limit))).alias("x"), "ids", "statement")
+    same = same.select("_group", "statement", F.col("x.a").alias("a"), F.explode(F.slice("ids", F.col("x.i") + 2, F.lit(limit))).alias("b"), F.lit(1.0).alias("similarity"))
+    found = _top(same.join(ids.select("_group", "statement", F.col("id").alias("a"), "category"), ["_group", "statement", "a"]), limit)
+    for rounds in ("one", "two"):
+        if found.count() >= limit and found.agg(F.min("similarity")).first()[0] == 1.0:
+            break
+        least = found.agg(F.min("similarity")).first()[0] if found.count() >= limit else None
+        texts = resemblance.best_pairs(each, "_group", "statement", "ids", threshold, limit, least, rounds)
+        of = lambda k, id_: ids.select("_group", F.col("statement").alias(k), F.col("id").alias(id_))
+        pairs = texts.join(of("left", "a").join(ids.select("_group", F.col("id").alias("a"), "category"), ["_group", "a"]), ["_group", "left"]).join(of("right", "b"), ["_group", "right"]).where("a < b")
+        found = _top(found.unionByName(pairs.select(*found.columns)), limit)
+    discard(ids, each)
+    return found.select("category", "a", "b", "similarity").orderBy(F.desc("similarity"), "a", "b")
+
+
+def _top(pairs: DataFrame, limit: int) -> DataFrame:
+    return saved(pairs.select("category", "a", "b", "similarity").orderBy(F.desc("similarity"), "a", "b").limit(limit), "pairs")
 
 
 def greedy_merge(claims: DataFrame, threshold: float = THRESHOLD, order: str | list[str] = "id") -> DataFrame:
-    """Greedy merging within a category, in order.
+    """Greedy merging within a category, in order (which tells a category's claims apart).
 
     A claim joins the first representative it resembles as that stands by then;
     the representative takes the longer statement, the union of tags and
     sections, missing variants and the higher confidence (those of them that the
-    claims have).  All other columns, such as the source, stay those of its first
-    claim.  Sequential by definition, so a category is one group; equal statements
-    are not folded before it, as a representative may change between them.
+    claims have).  tags are an array, or a struct of arrays (domain, audience, method),
+    each of which is united.  All other columns, such as the source, stay those of its
+    first claim.  A null statement counts as empty.
     """
-    order = [order] if isinstance(order, str) else order
-    rows = claims if "recurrence" in claims.columns else claims.withColumn("recurrence", F.lit(1).cast("long"))
-    unions = [c for c in ("tags", "sections") if c in rows.columns]
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        kept: list[dict] = []
-        for row in pdf.sort_values(order).to_dict("records"):
-            row |= {c: [] if row[c] is None else list(row[c]) for c in unions}
-            if "variants" in row:
-                row["variants"] = dict(row["variants"] or {})
-            alike = SequenceMatcher(None, "", row["statement"])
-            for have in kept:
-                alike.set_seq1(have["statement"])
-                # The quick ratios bound the ratio from above.
-                if alike.real_quick_ratio() >= threshold and alike.quick_ratio() >= threshold and alike.ratio() >= threshold:
-                    have["recurrence"] += row["recurrence"]
-                    have["confidence"] = max(have["confidence"], row["confidence"])
-                    for c in unions:
-                        have[c] = list(dict.fromkeys(have[c] + row[c]))
-                    for k, v in row.get("variants", {}).items():
-                        if v:
-                            have["variants"].setdefault(k, v)
-                    if len(row["statement"]) > len(have["statement"]):
-                        have["statement"] = row["statement"]
-                    break
-            else:
-                kept.append(row)
-        return pd.DataFrame(kept, columns=pdf.columns)
-
-    return rows.groupBy("category").applyInPandas(merge, rows.schema)
+    return greedy.merge(claims, threshold, [order] if isinstance(order, str) else order)
 
 
 def merged(claims: DataFrame, groups: DataFrame) -> DataFrame:
@@ -178,12 +115,11 @@ def known_project(name: Column, existing: Column) -> Column:
 
 def known_lines(lines: DataFrame, existing: DataFrame, key: str, threshold: float = THRESHOLD) -> DataFrame:
     """lines (key, line) with duplicate: equal or similar to a line of the key's existing text."""
-    new = lines.withColumn("_n", text.norm_key(F.col("line")))
-    old = existing.select(key, F.explode(F.split("existing", "\n")).alias("_o")).withColumn("_o", text.norm_key(F.col("_o"))).where("_o <> ''").distinct()
-    pairs = new.select(key, "_n").distinct().where("_n <> ''").join(old, key)
-    near = may_resemble(F.col("_n"), F.col("_o"), letter_counts(F.col("_n")), letter_counts(F.col("_o")), threshold)
-    hit = pairs.where((F.col("_n") == F.col("_o")) | (near & (similarity(threshold)("_n", "_o") >= threshold))).select(key, "_n").distinct().withColumn("duplicate", F.lit(True))
-    return new.join(hit, [key, "_n"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("_n")
+    named = F.coalesce(F.col(key).cast("string"), F.lit("\x00"))
+    new = lines.withColumns({"_key": named, "_line": text.norm_key(F.col("line"))})
+    old = existing.select(named.alias("_key"), F.explode(F.split("existing", "\n")).alias("_line")).withColumn("_line", text.norm_key(F.col("_line"))).where("_line <> ''")
+    hit = resemblance.resembling(new.where("_line <> ''"), old, "_key", "_line", threshold).withColumn("duplicate", F.lit(True))
+    return new.join(hit, ["_key", "_line"], "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False))).drop("_key", "_line")
 
 
 def routed(hints: DataFrame) -> DataFrame:

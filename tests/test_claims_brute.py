@@ -5,10 +5,11 @@ from __future__ import annotations
 import random
 from difflib import SequenceMatcher
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.operators import claims
+from quarrykit.operators import claims, resemblance
 from quarrykit.plans import catalog
 
 T = claims.THRESHOLD
@@ -85,9 +86,98 @@ def test_the_merge_equals_brute_force(spark, sf):
     assert got == want
 
 
-def test_letters_never_rule_out_a_resembling_pair(spark):
-    rows = [r for r in near_copies(9) if r[2] is not None][:60]
-    df = spark.createDataFrame(rows, "id long, category string, s string")
-    a, b = df.select("id", "s", claims.letter_counts(F.col("s")).alias("l")), df.select(F.col("id").alias("id2"), F.col("s").alias("s2"), claims.letter_counts(F.col("s")).alias("l2"))
-    out = a.join(b, F.col("id") < F.col("id2")).select("s", "s2", claims.may_resemble(F.col("s"), F.col("s2"), F.col("l"), F.col("l2"), T).alias("may")).collect()
-    assert all(r["may"] for r in out if ratio(r["s"], r["s2"]) >= T) and not all(r["may"] for r in out)
+def texts_of(seed: int, n: int = 70) -> list[str]:
+    """Short and long texts, edited in place, cut, doubled and with parts moved; long ones have rare characters."""
+    r = random.Random(seed)
+    base = ["".join(r.choice("eeeeeaaaaiiionnrstlu dh") for _ in range(k)) for k in (5, 30, 120, 199, 200, 260, 700)]
+    out = ["", "x", "e" * 300]
+    for _ in range(n):
+        s = list(r.choice(base))
+        for _ in range(r.choice([0, 1, 3, len(s) // 14, len(s) // 8])):
+            k = r.randrange(len(s) + 1)
+            s[k : k + r.choice([0, 0, 1, 2])] = r.choice(["", "Q", "e", "z!", "an"])
+        if r.random() < 0.2:
+            k = r.randrange(len(s) + 1)
+            s = s[k:] + s[:k]
+        out.append("".join(s))
+    return sorted(set(out))
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_bounds_never_rule_out_a_resembling_pair(seed):
+    texts = texts_of(seed)
+    of = resemblance.Texts(texts)
+    alike = ruled = 0
+    for i, a in enumerate(texts):
+        for t in (T, 0.6):
+            near = set(resemblance.possible(of, i, of, np.arange(len(texts)), t).tolist())
+            for j, b in enumerate(texts):
+                if max(ratio(a, b), ratio(b, a)) >= t:
+                    alike += 1
+                    assert j in near and resemblance.alike(a, b, t), (a, b)
+                else:
+                    ruled += j not in near or not resemblance.alike(a, b, t)
+    assert alike > len(texts) and ruled > alike
+
+
+def test_common_subsequence():
+    r = random.Random(4)
+    for _ in range(40):
+        a, b = ("".join(r.choice("abc") for _ in range(r.randrange(90))) for _ in range(2))
+        row = [0] * (len(b) + 1)
+        for x in a:
+            before, row = row, [0]
+            for j, y in enumerate(b):
+                row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+        assert resemblance.common_subsequence(a, b) == row[-1]
+
+
+def greedy(rows: list[tuple]) -> list[tuple]:
+    kept: dict[str, list[dict]] = {}
+    for id_, c, s, tag in sorted(rows):
+        have = kept.setdefault(c, [])
+        for k in have:
+            if ratio(k["s"], s) >= T:
+                k["n"], k["tags"] = k["n"] + 1, list(dict.fromkeys([*k["tags"], tag]))
+                k["s"] = s if len(s) > len(k["s"]) else k["s"]
+                break
+        else:
+            have.append({"id": id_, "s": s, "n": 1, "tags": [tag]})
+    return sorted((c, k["id"], k["s"], k["n"], tuple(k["tags"])) for c, v in kept.items() for k in v)
+
+
+@pytest.mark.parametrize("seed, rows_of_a_chunk", [(1, 4096), (2, 7), (3, 4096)])
+def test_growing_representatives_equal_brute_force(spark, monkeypatch, seed, rows_of_a_chunk):
+    """Chains of ever longer statements, met again and again, so that later claims do otherwise than earlier ones."""
+    monkeypatch.setattr(resemblance, "ROWS", rows_of_a_chunk)
+    r = random.Random(seed)
+    base = "".join(r.choice("abcdefgh ") for _ in range(60))
+    family = [base[:k] for k in range(8, 60, 3)] + [base[k:] for k in range(0, 50, 4)] + texts_of(seed, 20)
+    rows = [(i, r.choice("AAB"), r.choice(family), f"t{r.randrange(9)}") for i in range(400)]
+    df = spark.createDataFrame([(i, c, s, [t]) for i, c, s, t in rows], "id long, category string, statement string, tags array<string>")
+    got = claims.greedy_merge(df.repartition(3)).collect()
+    assert sorted((r["category"], r["id"], r["statement"], r["recurrence"], tuple(r["tags"])) for r in got) == greedy(rows)
+
+
+def test_tags_by_kind_and_null_statements(spark):
+    tags = lambda d, a: ([d], a, None)
+    rows = [(1, "k", "abcdefghij", tags("x", ["p", "p"])), (2, "k", "abcdefghijk", tags("y", ["q"])), (3, None, None, tags("z", None)), (4, None, "", tags("w", ["p"]))]
+    df = spark.createDataFrame(rows, "id int, category string, statement string, tags struct<domain: array<string>, audience: array<string>, method: array<string>>")
+    got = sorted((r["id"], r["statement"], r["recurrence"], tuple(map(tuple, r["tags"]))) for r in claims.greedy_merge(df).collect())
+    assert got == [(1, "abcdefghijk", 2, (("x", "y"), ("p", "q"), ())), (3, "", 2, (("z", "w"), ("p",), ()))]
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_lines_equal_brute_force(spark, seed):
+    r = random.Random(seed)
+    texts = [t for t in texts_of(seed, 60) if "\n" not in t]
+    new = [(r.choice([1, 2, None]), t) for t in texts]
+    old = {k: "\n".join(r.sample(texts, 12)) for k in (1, 2)}
+    key = lambda s: "".join(c for c in s.lower() if c not in " ,.·_()[]-\t\n")
+    want = []
+    for k, t in new:
+        lines = [key(x) for x in old.get(k, "").split("\n")]
+        want.append((str(k), t, key(t) != "" and any(o and (key(t) == o or ratio(key(t), o) >= T) for o in lines)))
+    lines = spark.createDataFrame(new, "k int, line string")
+    got = claims.known_lines(lines, spark.createDataFrame(list(old.items()), "k int, existing string"), "k").collect()
+    assert sorted((str(r["k"]), r["line"], r["duplicate"]) for r in got) == sorted(want)
