@@ -38,7 +38,7 @@ class _Fold:
     """One component: representatives in order, and whom each statement joined last."""
 
     def __init__(self, texts: list[str], threshold: float):
-        self.of, self.threshold = R.Texts(texts), threshold
+        self.of, self.threshold = R.Texts(texts, fine=False), threshold
         self.reps: list[int] = []  # place of the statement that each has now
         self.joined: dict[int, int | None] = {}
         self.known: dict[tuple[int, int], bool] = {}

@@ -5,7 +5,9 @@ all.  Three bounds rule pairs out, cheapest first:
 
 * lengths: the shorter text holds M at most, so lengths differ by (2 - t) / t at most
   and are in the same or neighbouring *steps*;
-* letters: M is at most what the two texts have in common of each character;
+* letters: M is at most what the two texts have in common of each character, and, as
+  blocks keep their order, at most what the first half of one has in common with some
+  start of the other and the second half with the rest;
 * grams: blocks are at most one more than there are unmatched characters; in a second
   text of 200 characters or more difflib starts blocks only from characters that are
   rare in it (and one block at the start), which bounds them much better.  All but
@@ -31,7 +33,7 @@ from pyspark.sql import functions as F
 
 ROWS, CHARACTERS = 4096, 4_000_000  # of a chunk
 TILE = ("s", "c", "u", "d")  # step and chunk of the first and of the second side
-_LETTERS, _GRAMS, _JUNKED, _LONG = 64, 256, 200, 20_000
+_LETTERS, _GRAMS, _FINE, _CELLS, _JUNKED, _LONG = 64, 256, 2048, 16, 200, 20_000
 
 
 def ratio(a: str, b: str) -> float:
@@ -54,7 +56,7 @@ def common_subsequence(a: str, b: str) -> int:
 class Texts:
     """What the bounds need of some texts, row by row."""
 
-    def __init__(self, texts: list[str]):
+    def __init__(self, texts: list[str], fine: bool = True):
         self.texts = texts
         self.size = np.array([len(t) for t in texts], np.int64)
         code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -65,6 +67,12 @@ class Texts:
         self.pairs = self._counts(two, owner[:-1], _GRAMS, n, owner[:-1] == owner[1:])
         four = two[:-2] * np.uint64(0x9E3779B97F4A7C15) + two[2:]
         self.fours = self._counts(four, owner[:-3], _GRAMS, n, owner[:-3] == owner[3:])
+        self.fine = self._counts(four, owner[:-3], _FINE, n, owner[:-3] == owner[3:]) if fine else None
+        # Letters before each of the cells' edges.
+        start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        cell = (np.arange(len(code)) - start[owner]) * _CELLS // np.maximum(self.size, 1)[owner]
+        upto = self._counts(code, owner * _CELLS + cell, _LETTERS, n * _CELLS).reshape(n, _CELLS, _LETTERS)
+        self.upto = np.concatenate([np.zeros((n, 1, _LETTERS), np.float32), np.cumsum(upto, axis=1)], axis=1)
         self.starts = np.array([_starts(t) for t in texts], np.int64)
 
     @staticmethod
@@ -73,10 +81,27 @@ class Texts:
         key = owner * bins + at.astype(np.int64)
         return np.bincount(key if where is None else key[where], minlength=n * bins).reshape(n, bins).astype(np.float32)
 
+    def ordered(self, i: int, other: Texts, at: np.ndarray) -> np.ndarray:
+        """Most that row i can have in common with rows of other, the halves of either in order."""
+        mine = self.upto[i]
+        out = np.zeros(len(at), np.float32)
+        for k in range(0, len(at), 512):
+            upto = other.upto[at[k : k + 512]]
+            out[k : k + 512] = np.minimum(_halved(upto, mine[_CELLS // 2], mine[_CELLS]), _halved(mine[None], upto[:, _CELLS // 2, None], upto[:, _CELLS, None]))
+        return out
+
     def __len__(self) -> int:
         return len(self.texts)
 
 
+def _halved(edges: np.ndarray, half: np.ndarray, whole: np.ndarray) -> np.ndarray:
+    """Best over all cells that the end of the first half may fall in; edges: letters before each edge of the other text's cells."""
+    ones = np.ones(_LETTERS, np.float32)
+    before = np.minimum(edges[:, 1:], half) @ ones
+    after = np.minimum(edges[:, -1:] - edges[:, :-1], whole - half) @ ones
+    return (before + after).max(axis=1)
+
+
 def _starts(text: str) -> int:
     """Most blocks that difflib can find in a second text by where it starts them; -1 where that is not limited."""
     if len(text) < _JUNKED:
@@ -101,7 +126,14 @@ def possible(x: Texts, i: int, y: Texts, at: np.ndarray, threshold: float) -> np
     most = np.maximum(blocks(np.full(len(at), x.starts[i])), blocks(y.starts[at]))
     ones = np.ones(_GRAMS, np.float32)
     keep = (np.minimum(y.pairs[at], x.pairs[i]) @ ones >= need - most) & (np.minimum(y.fours[at], x.fours[i]) @ ones >= need - 3 * most)
-    return at[keep]
+    at, need, most = at[keep], need[keep], most[keep]
+    keep = (x.ordered(i, y, at) >= need) if len(at) else np.zeros(0, bool)
+    at, need, most = at[keep], need[keep], most[keep]
+    if x.fine is None or not len(at):
+        return at
+    limited = np.flatnonzero(need > 3 * most)
+    few = np.minimum(y.fine[at[limited]], x.fine[i]) @ np.ones(_FINE, np.float32) < (need - 3 * most)[limited]
+    return np.delete(at, limited[few])
 
 
 def alike(a: str, b: str, threshold: float) -> bool:
