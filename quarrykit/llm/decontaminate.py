@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm import textnp as T
-from quarrykit.llm.minhash_odd import saved
+from quarrykit.storage import saved
 
 THRESHOLD, OVERLAP, SLACK, BLOCK = 0.6, 0.6, 0.25, 16
 K1, B = 1.2, 0.75

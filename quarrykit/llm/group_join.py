@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm import exchange as X
 from quarrykit.llm import textnp as T
-from quarrykit.llm.minhash_odd import components, confirmed, discard, open_links, saved, shingle_sets
+from quarrykit.llm.minhash_odd import confirmed, open_links, shingle_sets
+from quarrykit.operators.graph import components
+from quarrykit.storage import discard, saved
 
 PERCENT, SHINGLE = 80, 5
 _EXACT = 200  # frequencies up to it are told apart one by one

@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quarrykit.llm import textnp as T
-from quarrykit.llm.minhash_odd import saved
+from quarrykit.storage import saved
 
 BUCKETS, LONGEST, PERCENT, LEAST_WORDS, SEED = 10_000, 3, 5, 20, 42
 BLOCK_BYTES, SLICE_BYTES, LEAST_SLICES = 4 << 20, 64 << 20, 64

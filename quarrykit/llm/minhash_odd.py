@@ -24,15 +24,16 @@ repeat an id are one node; an id with several texts links through each.
 
 from __future__ import annotations
 
-import uuid
 from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarrykit.llm import textnp as T
+from quarrykit.operators.graph import components
+from quarrykit.storage import discard, saved
 
 SHINGLE, PERCENT, SAMPLES, BANDS, SKETCH_WORDS, MOST_BITS, TILE, TILE_SHINGLES = 5, 75, 128, 32, 4, 84, 4096, 1_500_000
 _ROWS = SAMPLES // BANDS
@@ -42,29 +43,6 @@ _SIG_DDL = "id long, n_shingles long, set_a long, set_b long, bands array<long>,
 _SIG = pa.schema([("id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64())), ("sketch", pa.list_(pa.int64()))])
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that all executors share: spark.checkpoint.dir or, where unset, below the warehouse."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/intermediate"
-    return f"{root}/{name}-{uuid.uuid4().hex}"
-
-
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """df written to the shared folder and read again: later stages don't recompute it."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", "zstd").parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
-    out.saved_at = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Deletes saved tables that no later result reads."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df.saved_at)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def shingle_sets(data: np.ndarray, offs: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """Distinct shingle codes, sorted in each document, and n+1 offsets."""
     data = T.lower_ascii(data)
@@ -176,32 +154,6 @@ def _common(x: np.ndarray, y: np.ndarray) -> int:
     return int((y[at] == x).sum())
 
 
-def components(links: DataFrame) -> DataFrame:
-    """id and component (least id reachable) of every id in links (a, b) that is not its own component.
-
-    Alternating large-star and small-star rounds; a hub's links are aggregated
-    and joined, never gathered in a group.
-    """
-    edges = saved(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), "links")
-    while not _stars(edges):
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u")
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
-        before, edges = edges, saved(small.where("u <> v").distinct(), "links")
-        discard(before)
-    return edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
-
-
-def _stars(edges: DataFrame) -> bool:
-    """Each node has one smaller neighbour or is one, never both: components are read off."""
-    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
-    per = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
-    return per.agg(F.max(F.col("up") + F.when(F.col("up") > 0, F.col("down")).otherwise(0))).first()[0] in (None, 0, 1)
-
-
 def _sketches_near(x: str, y: str):
     bits = [F.bit_count(F.element_at(x, i + 1).bitwiseXOR(F.element_at(y, i + 1))) for i in range(SKETCH_WORDS)]
     return reduce(lambda p, q: p + q, bits) <= MOST_BITS
@@ -281,7 +233,7 @@ def open_links(bucket: DataFrame, component: DataFrame, sketch: DataFrame, texts
     return dealt.groupBy("cluster", "x", "y", "k").applyInArrow(lambda table: _tile_links(table, percent), "a long, b long").distinct()
 
 
-def _tile_links(table: pa.Table, percent: int) -> pa.Table:
+def _tile_links(table: pa.Table, percent: int = PERCENT) -> pa.Table:
     """Links that join components of a tile, confirmed on full sets."""
     table = table.sort_by("id")  # one result, however the rows came
     ids, comp, major, tile = (table.column(c).to_numpy(zero_copy_only=False) for c in ("id", "component", "major", "tile"))

@@ -136,124 +136,6 @@ def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules:
     return m.where(~reduce(Column.__or__, compiled(rules, "__m").values())).drop("__m")
 
 
-_WORDS = (
-    "the of and to in a is that it was for on are with as be at this by or from have not "
-    "der die das und ist von zu den mit sich des auf für als auch es an werden aus er hat dass sie nach wird bei ein eine nicht im dem "
-    "le la les de des et un une du que est dans pour qui sur pas plus par avec en au ce il elle ne se ou "
-    "el los las y en es por con para una no lo como más pero sus al se del su"
-).split()
-
-
-@dataclass(frozen=True)
-class Rule:
-    """left * scale > bound * right fails, if the text has from_words words."""
-
-    name: str
-    left: str
-    scale: int
-    bound: int
-    right: str
-    from_words: int = 0
-
-
-# A line that opens with a bullet; one that ends in an ellipsis.
-BULLET, CUT = r"^[ \t\x0B\f\r]*[-*\u2022]", r"(?:\.\.\.|\u2026)[ \t\x0B\f\r]*$"
-RULES = (
-    Rule("symbols", "n_symbols", 100, 20, "n_words"),
-    Rule("long_words", "word_chars", 1, 25, "n_words"),
-    Rule("short_words", "n_words", 2, 1, "word_chars"),
-    Rule("repeated_lines", "n_dup_lines", 100, 50, "n_lines", 10),
-    Rule("bullet_lines", "n_bullet_lines", 100, 90, "n_lines", 10),
-    Rule("cut_lines", "n_cut_lines", 100, 30, "n_lines", 10),
-    Rule("no_stop_words", "n_other_words", 1000, 995, "n_words", 200),
-)
-
-
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """body(value) with value computed once, also where lambdas use it."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
-def words_of(text: Column) -> Column:
-    """Maximal runs outside 0x20 and 0x09-0x0D."""
-    bare = F.btrim(text, F.lit(SPACE))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, "[ \t-\r]+"))
-
-
-def _n(array: Column) -> Column:
-    return F.size(array).cast("long")
-
-
-def repeat_words(words: Column, k: int = 5) -> Column:
-    """Words that lie in a window of k words found twice or more in the array."""
-    n = F.size(words)
-    codes = F.when(n >= k, F.transform(F.sequence(F.lit(0), F.greatest(n - k, F.lit(0))), lambda i: F.xxhash64(*[F.get(words, i + j) for j in range(k)]))).otherwise(F.array().cast("array<bigint>"))
-
-    def covered(h: Column) -> Column:
-        # Windows in order of their code: those beside an equal one repeat.
-        placed = F.array_sort(F.transform(h, lambda x, i: F.struct(x.alias("h"), i.alias("i"))))
-        beside = lambda p: F.filter(p, lambda x, i: F.coalesce(F.get(p, i + 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.when(i > 0, F.get(p, i - 1)["h"]) == x["h"], F.lit(False)))
-        starts = let(placed, lambda p: F.sort_array(F.transform(beside(p), lambda x: x["i"])))
-        reach = lambda s: F.transform(s, lambda x, i: F.least(F.lit(k), F.coalesce(F.get(s, i + 1) - x, F.lit(k))))
-        return let(starts, lambda s: F.aggregate(reach(s), F.lit(0).cast("long"), lambda a, x: a + x))
-
-    return let(codes, lambda h: F.when(F.size(F.array_distinct(h)) == F.size(h), F.lit(0).cast("long")).otherwise(covered(h)))
-
-
-def measures(text: Column) -> Column:
-    """One struct of all measures of a text."""
-    text = F.coalesce(text.cast("string"), F.lit(""))
-    bare = text
-    for c in SYMBOLS:
-        bare = F.replace(bare, F.lit(c), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACE)) != "")
-    like = lambda a, pattern: _n(F.filter(a, lambda x: x.rlike(pattern)))
-    line_counts = let(lines, lambda a: F.struct(_n(a).alias("n_lines"), (_n(a) - _n(F.array_distinct(a))).alias("n_dup_lines"), like(a, BULLET).alias("n_bullet_lines"), like(a, CUT).alias("n_cut_lines")))
-    stop = list(dict.fromkeys(STOP_WORDS))
-    others = lambda w: _n(F.filter(w, lambda x: ~F.lower(x).isin(stop)))
-    by_words = let(words_of(text), lambda w: F.struct(_n(w).alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), repeat_words(w).alias("n_repeat_words"), others(w).alias("n_other_words")))
-    return let(
-        F.struct(by_words.alias("w"), line_counts.alias("l")),
-        lambda m: F.struct(
-            m["w"]["n_words"].alias("n_words"),
-            m["w"]["word_chars"].alias("word_chars"),
-            (F.length(text) - F.length(bare)).cast("long").alias("n_symbols"),
-            m["l"]["n_dup_lines"].alias("n_dup_lines"),
-            m["w"]["n_repeat_words"].alias("n_repeat_words"),
-            m["l"]["n_lines"].alias("n_lines"),
-            m["w"]["n_other_words"].alias("n_other_words"),
-            m["l"]["n_bullet_lines"].alias("n_bullet_lines"),
-            m["l"]["n_cut_lines"].alias("n_cut_lines"),
-        ),
-    )
-
-
-def compiled(rules: tuple[Rule, ...] = RULES) -> dict[str, Column]:
-    """The table as columns: which rule fails."""
-    return {f"fails_{r.name}": (F.col(r.left) * r.scale > F.col(r.right) * r.bound) & (F.col("n_words") >= r.from_words) for r in rules}
-
-
-def judge(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """Measures, base_failed and kept of every row."""
-    m = docs.select(F.col(id_col).alias("doc_id"), measures(F.col(text_col)).alias("m")).select("doc_id", "m.*")
-    fails = compiled(rules)
-    out = m.withColumns({**fails, "base_failed": (F.col("n_words") < 10) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 20)})
-    bad = F.col("base_failed")
-    for name in fails:
-        bad = bad | F.col(name)
-    return out.withColumn("kept", ~bad)
-
-
-def kept(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows that no rule rejects, all columns as they were."""
-    m = docs.select("*", measures(F.col(text_col)).alias("__m"))
-    fails = [(F.col(f"__m.{r.left}") * r.scale > F.col(f"__m.{r.right}") * r.bound) & (F.col("__m.n_words") >= r.from_words) for r in RULES]
-    bad = (F.col("__m.n_words") < 10) | (F.col("__m.n_repeat_words") * 100 > F.col("__m.n_words") * 20)
-    for f in fails:
-        bad = bad | f
-    return m.where(~bad).drop("__m")
-
-
 _WORDS = "list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _LINES = "list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: length(regexp_replace(x, '[\\x20\\x09-\\x0D]+', '', 'g')) > 0)"
 _STOP = ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,13 +14,23 @@ from quarrykit.llm.rlz_dedup import remove_repeated_phrases
 from quarrykit.llm.suffix_dedup import remove_repeated_bytes
 
 
+KEY = "spark.quarrykit.pseudonymKey"
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def pseudonym_key(spark: SparkSession) -> str:
-    """The secret in spark.quarrykit.pseudonymKey; the queries of the test tables, which hold no real persons, run without one."""
-    return spark.conf.get("spark.quarrykit.pseudonymKey", "made-up tables need no secret")
+    """The secret in spark.quarrykit.pseudonymKey; where it is unset a random one for the session, so that nobody can undo the output.
+
+    Pseudonyms of different sessions are linked only if the setting is the same.
+    """
+    key = spark.conf.get(KEY, None)
+    if not key:
+        key = secrets.token_hex(16)
+        spark.conf.set(KEY, key)
+    return key
 
 
 def op1_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

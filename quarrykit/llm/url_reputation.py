@@ -31,8 +31,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarrykit.llm.minhash_odd import saved
 from quarrykit.llm.quality_rules import let
+from quarrykit.storage import saved
 
 RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
 # Suffixes of two labels below which sites are registered.

@@ -194,20 +194,70 @@ def test_copies_are_no_template(spark):
 
 def test_template_of_pages_without_article():
     pages = [f"<body><div>Site name</div><div>body {i}</div><p>same</p></body>" for i in range(5)]
-    t = html_wrapper.folded([html_wrapper.outline(html_wrapper.parse(p)) for p in pages])
-    assert t[1] == 5
-    assert html_wrapper.extract("<body><p>lone</p></body>", t) == "lone"
+    w = html_wrapper.induce(pages)
+    assert html_wrapper.extract(pages[2], w) == "body 2"
+    assert html_wrapper.extract(pages[2], None) == "Site name\n\nbody 2\n\nsame"
+    assert html_wrapper.extract("<body><p>lone</p></body>", w) == "lone"
 
 
 def test_deep_nesting():
     assert html_wrapper.extract("<div>" * 5000 + "x" + "</div>" * 5000, None) == "x"
+    assert html_wrapper.extract("<div>" * 250 + "<nav>menu</nav><p>a</p><p>b", None) == "a\n\nb"
+    deep = "<div>" * 2000
+    w = html_wrapper.induce([f"{deep}<div>always</div><p>{i}</p>" for i in range(4)])
+    assert html_wrapper.extract(f"{deep}<div>always</div><p>7</p>", w) == "7"
+
+
+def test_quotes_without_a_partner():
+    for page in ("<p><a title=it's href=u>y</a> don't</p>", '<p><a title="x href=u>y</a> don\'t</p>', "<p><a =\"' b>y</a> don't</p>", "<p><a title='a > b'>y</a> don't"):
+        assert html_wrapper.extract(page, None) == "y don't"
+    assert html_wrapper.extract("<p " + "a" * 50_000 + " " + "b='" * 20_000 + "x", None).startswith("<p a")
+
+
+def test_furniture_by_whole_names():
+    for name in ("reader-responses", "main-nav", "cookie-banner", "x9 site-footer", "comments"):
+        assert html_wrapper.extract(f"<body><div class='{name}'>out</div><p>in</p>", None) == "in"
+    for tag in ("<p class='search-result-note'>", "<p id='social'>", "<section class='header-story'>", "<div class='story-share-price'>"):
+        assert html_wrapper.extract(f"<body>{tag}in</body>", None) == "in"
 
 
 def test_tree_matching_is_order_preserving():
-    n = lambda s, *c: [s, 1, "", list(c)]
+    n = lambda s, *c: [s, [""], list(c)]
     a, b = [n("x"), n("y", n("z")), n("w")], [n("y", n("z")), n("x"), n("w")]
     assert html_wrapper.matching(a, b) == [(1, 0), (2, 2)]
     assert html_wrapper.size(n("r", *a), n("r", *b)) == 4
+    same = [["d", ["1"], []], ["d", ["2"], []], ["d", ["3"], []]], [["d", ["2"], []], ["d", ["9"], []]]
+    assert html_wrapper.matching(*same) == [(1, 0), (2, 1)]  # equal texts attract
+
+
+def test_slots_that_shift_are_aligned(spark):
+    """A box of its own on some pages moves all that follow; furniture that varies goes by its element."""
+    lead = lambda i: f"<div class='lead'>lead {i}</div>" * (i % 3)
+    page = "<body><nav>menu {0}</nav><div>Daily news</div>{1}<div>text {0}</div><div>All rights</div></body>"
+    rows = [(i, "http://h/", page.format(i, lead(i))) for i in range(9)] + [(20 + i, "http://few/", page.format(i, "")) for i in range(2)]
+    got = _texts(spark.createDataFrame(rows, "page_id long, url string, html string"))
+    assert all(got[i] == "\n\n".join([f"lead {i}"] * (i % 3) + [f"text {i}"]) for i in range(9))
+    assert got[21] == "Daily news\n\ntext 1\n\nAll rights"  # two pages are no evidence
+
+
+def test_the_whole_result_equals_wrappers_of_each_host(spark, sf):
+    """All pages of the table: hosts one after another in plain Python, from the same pages of a host."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    few = {r["host"]: r["skeleton"] for r in html_wrapper.skeletons(pages).collect()}
+    host, _ = url_reputation.host_and_path(F.col("url"))
+    rows = pages.select("page_id", "html", host.alias("host")).collect()
+    want = {}
+    for h in {r["host"] for r in rows}:
+        mine = [r for r in rows if r["host"] == h]
+        w = html_wrapper.Wrapper(few[h])
+        seen = [w.facts(html_wrapper.parse(r["html"])) for r in mine]
+        for slot, sign, text in set().union(*seen):
+            pages_of_slot = sum(any(f[:2] == (slot, "") for f in x) for x in seen)
+            n = sum((slot, sign, text) in x for x in seen)
+            if text and n >= max(html_wrapper.ENOUGH, html_wrapper.SHARE * pages_of_slot):
+                w.constant |= {html_wrapper._fact(slot, sign, text)}
+        want |= {r["page_id"]: html_wrapper.extract(r["html"], w) for r in mine}
+    assert _texts(pages) == want
 
 
 def _texts(df):
