@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from quarrykit.llm import decontaminate, minhash_odd, pii_feistel, quality_rules, sentencepiece_ac
 from quarrykit.llm.queries import pseudonym_key
+from quarrykit.storage import saved
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -47,5 +48,5 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for name, stage in STAGES[:-1]:
-        docs = minhash_odd.saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = saved(stage(spark, docs, sf_dir), name.replace(" ", "-"))
     return STAGES[-1][1](spark, docs, sf_dir)
