@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 STATES = ("pending", "processing", "completed", "failed")
@@ -112,3 +112,38 @@ def page_plan(keywords: DataFrame, kinds: list[str], first: Column, last: Column
     starts = F.sequence(first, last, F.make_interval(days=F.lit(days)))
     end = F.least(F.date_add(F.col("start"), days - 1), last)
     return keywords.select("keyword").distinct().select(F.explode(F.array(*[F.lit(k) for k in kinds])).alias("kind"), "keyword", F.explode(starts).alias("start")).withColumn("end", end)
+
+
+# What a run may do after each state; a run begins as pending, or processing where nothing waits.
+NEXT = {"": ("pending", "processing"), "pending": ("processing", "failed"), "processing": ("processing", "completed", "failed"), "completed": (), "failed": ("pending", "processing")}
+
+
+def checked(events: DataFrame, key: str, order: str = "at", graph: dict[str, tuple[str, ...]] = NEXT) -> DataFrame:
+    """events with before (the run's state until then) and error (null, or what is wrong); a refused event changes nothing.
+
+    A run's events are its steps, so they fit an array; they are folded by built-ins.
+    """
+    allowed = F.create_map(*[x for s, after in graph.items() for x in (F.lit(s), F.array(*map(F.lit, after)).cast("array<string>"))])
+    rest = [c for c in events.columns if c not in (key, order, "state")]
+    listed = events.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("_at"), F.col("state").alias("_state"), F.struct(*rest, F.lit(0).alias("_")).alias("_rest")))).alias("_e"))
+    step = lambda acc, e: F.struct(
+        F.when(F.coalesce(F.array_contains(allowed[acc["now"]], e["_state"]), F.lit(False)), e["_state"]).otherwise(acc["now"]).alias("now"),
+        F.array_append(acc["before"], acc["now"]).alias("before"),
+    )
+    folded = F.aggregate("_e", F.struct(F.lit("").alias("now"), F.array().cast("array<string>").alias("before")), step, lambda acc: acc["before"])
+    rows = listed.select(key, F.explode(F.arrays_zip(F.col("_e").alias("e"), folded.alias("before"))).alias("x"))
+    state, before = F.col("x.e._state"), F.col("x.before")
+    fine = F.coalesce(F.array_contains(allowed[before], state), F.lit(False))
+    error = F.when(~fine, F.concat(F.coalesce(F.nullif(before, F.lit("")), F.lit("nothing")), F.lit(" to "), F.coalesce(state, F.lit("null"))))
+    return rows.select(key, F.col("x.e._at").alias(order), state.alias("state"), *[F.col(f"x.e._rest.{c}").alias(c) for c in rest], before.alias("before"), error.alias("error"))
+
+
+def observed(sources: dict[str, DataFrame], matched: Column | None = None) -> tuple[DataFrame, dict[str, Observation]]:
+    """All sources' rows with their source, and an observation of each: rows collected and matched, known once the rows were written, without a scan of their own."""
+    seen = {name: Observation(f"collected {name}") for name in sources}
+    count = F.count_if(F.coalesce(matched, F.lit(False))) if matched is not None else F.count(F.lit(1))
+    parts = [df.observe(seen[name], F.count(F.lit(1)).alias("collected"), count.alias("matched")).withColumn("source", F.lit(name)) for name, df in sources.items()]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out, seen

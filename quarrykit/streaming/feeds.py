@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quarrykit.operators import merge
+from quarrykit.tables import Table
 
 
 def distinct_within(rows: DataFrame, keys: list[str], at: str, late: str) -> DataFrame:
@@ -36,3 +39,16 @@ def upsert_stream(rows: DataFrame, path: str, keys: list[str], order: str, check
         merge.replace_table(changes, path)
 
     return rows.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def commit_stream(rows: DataFrame, path: str, keys: list[str], order: str, checkpoint: str, buckets: int = 64) -> StreamingQuery:
+    """As upsert_stream into a :class:`quarrykit.tables.Table`: a micro-batch rewrites the partitions that it touches.
+
+    A batch that runs again after a failure is known by its mark and commits nothing.
+    """
+    mark = hashlib.md5(checkpoint.encode()).hexdigest()
+
+    def merge_batch(batch: DataFrame, number: int) -> None:
+        Table(batch.sparkSession, path, keys, buckets).upsert(batch, f"{mark}-{number}", order)
+
+    return rows.writeStream.foreachBatch(merge_batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
