@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from quarrykit.operators import gate, runs
+from quarrykit.operators import gate, profiles, runs
 from quarrykit.plans.registry import Registry, table
 from quarrykit.storage import shared_path
 from quarrykit.tables import Table
@@ -57,3 +57,18 @@ def q_versioned_commits(spark, sf_dir):
     t.upsert(table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("k")).agg(F.max("o_totalprice").alias("p")))
     t.delete(customers.where("c_mktsegment = 'BUILDING'").select(F.col("c_custkey").alias("k")))
     return t.read()
+
+
+def profile_rows(spark, sf_dir):
+    """Profiles of the sources, and the documents' first lines as hints: projects in English, certificates in other languages."""
+    d = table(spark, sf_dir, "documents")
+    name = F.substring(F.substring_index("text", "\n", 1), 1, 40)
+    hints = d.select(F.col("source").alias("source_id"), F.col("doc_id").alias("id"), F.when(F.col("lang") == "en", "실적").otherwise("인증").alias("type"), name.alias("name"), F.when(F.col("doc_id") % 3 == 0, 2026).alias("year"), F.col("lang").alias("organization"))
+    first = hints.groupBy("source_id").agg(F.min("name").alias("a"), F.max("name").alias("b"))
+    item = F.struct(F.col("a").alias("name"), *[F.lit("").alias(c) for c in ("client", "amount", "period", "role")])
+    return first.select("source_id", F.array(item).alias("projects"), F.concat_ws("\n", "a", "b").alias("certificates")), hints
+
+
+@query()
+def q_profile_apply(spark, sf_dir):
+    return profiles.applied(*profile_rows(spark, sf_dir))

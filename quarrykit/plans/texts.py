@@ -105,6 +105,13 @@ def q_near_dup_pairs(spark, sf_dir):
     return claims.similar_pairs(_statements(spark, sf_dir), 0.85, 50)
 
 
+@query()
+def q_near_dup_distinct_pairs(spark, sf_dir):
+    """The most similar pairs of different statements: each statement of a category once, by its first id."""
+    rows = _statements(spark, sf_dir).groupBy("category", "statement").agg(F.min("id").alias("id"))
+    return claims.similar_pairs(rows, 0.85, 50)
+
+
 @query()
 def q_greedy_dedup(spark, sf_dir):
     d = table(spark, sf_dir, "documents").withColumns({"category": F.concat_ws("/", "source", "lang"), "statement": F.coalesce(F.substring_index("text", "\n", 1), F.lit(""))})

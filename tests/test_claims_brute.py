@@ -55,6 +55,14 @@ def test_the_query_equals_brute_force(spark, sf):
     assert [tuple(r) for r in catalog.QUERIES["q_near_dup_pairs"](spark, sf).collect()] == best_pairs([tuple(r) for r in docs], 50)
 
 
+def test_pairs_of_different_statements_equal_brute_force(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", F.concat_ws("/", "source", "lang"), F.substring_index("text", "\n", 1)).collect()
+    first: dict[tuple, int] = {}
+    for d, c, s in sorted(tuple(r) for r in docs):
+        first.setdefault((c, s), d)
+    assert [tuple(r) for r in catalog.QUERIES["q_near_dup_distinct_pairs"](spark, sf).collect()] == best_pairs([(d, c, s) for (c, s), d in first.items()], 50)
+
+
 def test_known_lines_equal_brute_force(spark, sf):
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     key = lambda s: "".join(c for c in s.lower() if c not in " ,.·_()[]-\t\n")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import re
+from difflib import SequenceMatcher
+
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.operators import gate, runs
+from quarrykit.operators import gate, profiles, runs
+from quarrykit.plans import catalog, state
 from quarrykit.streaming import feeds as streams
 from quarrykit.tables import CommitConflict, Table
 
@@ -100,3 +104,49 @@ def test_observations_equal_the_counters(spark, tmp_path):
     want = {r["source"]: (r["collected"], r["matched"]) for r in runs.counters(spark.read.parquet(str(tmp_path / "o")), F.col("id") % 2 == 0, spark.range(0), "id").collect()}
     got = {name: (o.get["collected"], o.get["matched"]) for name, o in seen.items()}
     assert got == want | {"none": (0, 0)} and got["a"] == (10, 5)
+
+
+def plainly(profile: dict, hints: list[dict], mode: str = "append_only") -> tuple:
+    """A profile after its hints, one after another, each compared with all before it."""
+    key = lambda x: re.sub(r"[\s,.·\-_()\[\]]+", "", x or "").lower()
+    names, old, new, n = [p["name"] for p in profile["projects"]], profile["certificates"], [], [0, 0, 0, 0]
+    for h in sorted(hints, key=lambda h: h["id"]):
+        name = (h["name"] or "").strip(" ")
+        if not name:
+            continue
+        if h["type"] == "실적":
+            k = key(name)
+            same = k and any(e and (e == k or (len(e) >= 6 and len(k) >= 6 and (e in k or k in e))) for e in map(key, names))
+            names += [] if same else [name]
+            n[1 if same else 0] += 1
+        elif h["type"] in ("인증", "특허"):
+            line = f"{name} ({h['year']})" if h["year"] else name
+            k, lines = key(line), [key(x) for x in [*old.split("\n"), *new]]
+            same = k and any(e and (e == k or SequenceMatcher(None, k, e).ratio() >= 0.85) for e in lines)
+            new += [] if same else [line]
+            n[3 if same else 2] += 1
+    text = old if not new else "\n".join(new) if mode == "fill_empty" and not old.strip() else old + ("\n" if old and not old.endswith("\n") else "") + "\n".join(new)
+    return names, text, *n
+
+
+def test_applied_profiles_equal_brute_force(spark, sf):
+    own, hints = (df.collect() for df in state.profile_rows(spark, sf))
+    want = {p["source_id"]: plainly(p.asDict(), [h.asDict() for h in hints if h["source_id"] == p["source_id"]]) for p in own}
+    got = {r["source_id"]: ([p["name"] for p in r["projects"]], r["certificates"], *list(r)[3:]) for r in catalog.QUERIES["q_profile_apply"](spark, sf).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("mode", profiles.MODES)
+def test_profiles_grow_in_order(spark, mode):
+    item = "array<struct<name: string, client: string, amount: string, period: string, role: string>>"
+    own = {1: {"projects": [{"name": "Harbour lights"}], "certificates": "ISO 9001 quality\n"}, 2: {"projects": [], "certificates": " "}, 3: {"projects": [], "certificates": ""}}
+    rows = [(1, 1, "실적", "harbour  lights of Busan", None, None), (1, 2, "실적", "New bridge", 2020, " City "), (1, 3, "실적", "new-bridge", 2021, None), (1, 4, "인증", "ISO 9001 qualitx", None, None), (1, 5, "특허", "Patent of pumps", 2019, None),
+            (1, 6, "인증", "Patent of pumps", 2018, None), (1, 7, "인증", "(", None, None), (1, 8, "인증", "(", None, None), (1, 9, "other", "x", None, None), (1, 10, "인증", "  ", None, None), (2, 1, "인증", "one", None, None), (2, 2, "인증", "one", None, None), (4, 1, "실적", "alone", None, None)]
+    df = spark.createDataFrame([(k, [(p["name"], "", "", "", "") for p in v["projects"]], v["certificates"]) for k, v in own.items()], f"source_id int, projects {item}, certificates string")
+    hints = spark.createDataFrame(rows, "source_id int, id int, type string, name string, year int, organization string")
+    got = {r["source_id"]: ([p["name"] for p in r["projects"]], r["certificates"], *list(r)[3:]) for r in profiles.applied(df, hints, mode=mode).collect()}
+    dicts = [dict(zip(("source_id", "id", "type", "name", "year", "organization"), r)) for r in rows]
+    want = {k: plainly(own.get(k, {"projects": [], "certificates": ""}), [h for h in dicts if h["source_id"] == k], mode) for k in (1, 2, 3, 4)}
+    assert got == want
+    marked = profiles.marked(hints.withColumn("user_action", F.lit("pending")), spark.createDataFrame([(1, 2), (9, 1)], "source_id int, id int"))
+    assert [r["id"] for r in marked.where("user_action = 'imported'").collect()] == [2] and marked.count() == len(rows)
