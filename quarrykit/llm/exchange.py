@@ -65,6 +65,7 @@ def sent(block: int, bucket: np.ndarray, columns: list[np.ndarray]) -> pa.Record
 
 def received(table: pa.Table, kinds: list[type]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
     """Columns of all rows of a bucket's requests, row of each entry, rows' blocks and offsets."""
+    pa.default_memory_pool().release_unused()  # what the group before this one held
     ns = table.column("n").to_numpy().astype(np.int64)
     bodies = table.column("body").to_pylist()
     out: list[list[np.ndarray]] = [[] for _ in kinds]

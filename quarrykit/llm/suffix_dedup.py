@@ -223,6 +223,7 @@ def _distinct_pairs(bucket: np.ndarray, a: np.ndarray, b: np.ndarray):
 
 def _parts(table: pa.Table):
     """Slices of a block, the same ones in every stage: rows may arrive in another order each time."""
+    pa.default_memory_pool().release_unused()  # what the block before this one held
     return T.slices(table.sort_by([("id", "ascending"), ("text", "ascending")]), "text")
 
 

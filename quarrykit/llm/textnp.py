@@ -16,7 +16,7 @@ import pyarrow as pa
 U64 = np.uint64
 _MULT = U64(0x9E3779B97F4A7C15)
 _SEED = 20240229
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = (1 << 20) - 1  # with one more power than bytes, the tables of powers stay at 2**20
 
 
 @lru_cache(maxsize=4)
