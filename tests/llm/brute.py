@@ -137,3 +137,47 @@ def drawn(docs: list[tuple[int, str | None]], target: list[str | None], percent:
     able = sorted((d for d, (n, _) in bags.items() if n >= 20), key=lambda d: (-out[d][2], d))
     rank = {d: i + 1 for i, d in enumerate(able[: percent * len(able) // 100])}
     return {d: (*v, rank.get(d)) for d, v in out.items()}
+
+
+_PLAIN = re.compile(r"[^\x09-\x0D\x20-\x2F\x3A-\x40\x5B-\x60\x7B-\x7E]+")
+_LATIN = {c: c + 32 for c in [*range(0x41, 0x5B), *range(0xC0, 0xDF)] if c != 0xD7}
+
+
+def _grams(words: list[str], k: int = 3) -> set[tuple]:
+    return {tuple(words[i : i + k]) for i in range(len(words) - k + 1)} if len(words) >= k else {tuple(words)} - {()}
+
+
+def leaks(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], least: float = 0.6) -> dict[tuple, tuple]:
+    """(score, overlaps) of the best passage, and all passages as good, by document and item: every item against every passage."""
+
+    def cut(t: str | None) -> list[str]:
+        return [w.translate(_LATIN) for w in _PLAIN.findall(t or "")]
+
+    bags = [(i, t.strip(), cut(t)) for i, t in items if cut(t)]
+    n, mean, df = len(bags), sum(len(w) for *_, w in bags) / len(bags), Counter(x for *_, w in bags for x in set(w))
+    widths, out = {}, {}
+    for *_, w in bags:
+        size = next(s for s in (256 * 4**c for c in range(20)) if len(w) <= s)
+        widths[size] = max(widths.get(size, 0), len(w))
+    for item, text, w in bags:
+        weight = {x: math.log(1 + (n - df[x] + 0.5) / (df[x] + 0.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / mean)) for x, tf in Counter(w).items()}
+        stop = re.search(r"\n|[.?!](?=\s)", text)
+        half = (len(text.split()) + 1) // 2
+        question, answer = (text[: stop.end()], text[stop.end() :]) if stop else (" ".join(text.split()[:half]), " ".join(text.split()[half:]) or text)
+        question, answer = _grams(cut(question)), _grams(cut(answer))
+        width = next(widths[s] for s in sorted(widths) if len(w) <= s)
+        for d, t in docs:
+            words = cut(t)
+            for passage, start in enumerate(range(0, len(words), width)):
+                part = words[start : start + 2 * width]
+                score = sum(weight[x] for x in weight.keys() & set(part)) / sum(weight.values())
+                if score < least:
+                    continue
+                have = _grams(part, 1) | _grams(part, 2) | _grams(part, 3)
+                shares = tuple(len(g & have) / len(g) if g else 0.0 for g in (question, answer))
+                key = tuple(round(x, 9) for x in (score, *shares))
+                if min(shares) >= least:
+                    best, passages = out.get((d, item), ((0.0,), []))
+                    if key >= best:
+                        out[d, item] = (key, [*passages, passage] if key == best else [passage])
+    return out

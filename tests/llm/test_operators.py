@@ -112,21 +112,60 @@ def test_repeated_items_and_a_very_long_one(spark):
         assert set(got) == {(1, 1), (2, 7)}
 
 
-def test_retrieval_equals_exhaustive_scores():
+@pytest.mark.parametrize("seed", range(6))
+def test_retrieval_equals_exhaustive_scores(seed):
+    rng = random.Random(seed)
     texts = [f"q{i} " + " ".join(f"t{(i * j) % 40}" for j in range(1, 30)) for i in range(60)]
-    index = decontaminate.Index(list(enumerate(texts)))
-    import numpy as np
-
-    codes = np.concatenate([decontaminate._coded(t) for t in texts])
+    texts += [" ".join(f"t{int(rng.paretovariate(0.6)) % 90}" for _ in range(rng.randint(1, 40))) for _ in range(70)]
+    (index,) = decontaminate.indexes(list(enumerate(texts)))
+    words = [decontaminate._coded(" ".join(rng.choice(texts) if rng.random() < 0.7 else f"t{rng.randint(0, 90)} x" for _ in range(rng.randint(1, 40)))) for _ in range(9)]
+    codes = np.concatenate(words)
+    counts = [-(-len(w) // index.segment) for w in words]
+    seg_doc = np.repeat(np.arange(len(words)), counts)
+    seg = np.concatenate([first + np.arange(len(w)) // index.segment for w, first in zip(words, np.cumsum([0, *counts]))])
     term = index.lookup(codes)
-    seg = np.arange(len(codes)) // index.segment
-    doc = np.zeros(int(seg[-1]) + 1, np.int64)
-    found = set(zip(*[x.tolist() for x in index.candidates(term, seg, doc)]))
-    for s in range(int(seg[-1]) + 1):
-        there = set(term[(seg == s) | (seg == s + 1)].tolist())
+    found = list(zip(*[x.tolist() for x in index.candidates(term, seg, seg_doc)]))
+    assert found == sorted(set(found))
+    wanted = 0
+    for s in range(len(seg_doc)):
+        there = set(term[(seg == s) | ((seg == s + 1) & (seg_doc[np.minimum(seg, len(seg_doc) - 1)] == seg_doc[s]))].tolist())
         for i in range(len(texts)):
-            score = sum(w for t, w in zip(index.item_terms[i], index.item_weights[i]) if t in there)
-            assert score < decontaminate.THRESHOLD or (s, i // decontaminate.BLOCK) in found
+            pairs = list(zip(index.item_terms[i].tolist(), index.item_weights[i]))
+            score = sum(w for t, w in pairs if t in there)
+            bound = sum(w for t, w in pairs if t in there or not index.essential[t])
+            assert ((s, i) in found) == (bound >= decontaminate.THRESHOLD - 1e-9) or abs(bound - decontaminate.THRESHOLD) < 1e-6
+            wanted += score >= decontaminate.THRESHOLD
+    assert wanted
+
+
+def test_query_equals_brute_force_leaks(spark, sf):
+    docs = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    _same_leaks(brute.leaks(docs, items), queries.QUERIES["op3_decontaminate"](spark, sf).collect())
+
+
+def test_leaks_of_items_of_all_lengths_equal_brute_force(spark):
+    rng = random.Random(4)
+    items = [(i, " ".join(f"w{rng.randint(0, 400)}" for _ in range(n)) + ("? " if i % 2 else " ") + f"end{i} of w{i}") for i, n in enumerate([1, 2, 9, 40, 250, 300, 900, 1200, 1200])]
+    docs = []
+    for d in range(14):
+        parts = [" ".join(f"w{rng.randint(0, 400)}" for _ in range(rng.randint(0, 700)))]
+        for _ in range(rng.randint(0, 3)):
+            words = rng.choice(items)[1].split()
+            cut = rng.randint(0, len(words) // 2)
+            parts += [" ".join(words[cut:] if rng.random() < 0.5 else words), f"w{rng.randint(0, 400)} filler " * rng.randint(0, 30)]
+        docs.append((d, " ".join(parts)))
+    rows = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"))
+    _same_leaks(brute.leaks(docs, items), rows.collect())
+    dealt = decontaminate.leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string"), index_bytes=4_000)
+    _same_leaks(brute.leaks(docs, items), dealt.collect())
+
+
+def _same_leaks(want, rows):
+    assert want and sorted((r["doc_id"], r["item_id"]) for r in rows) == sorted(want)
+    for r in rows:
+        best, passages = want[r["doc_id"], r["item_id"]]
+        assert (r["score"], r["question_overlap"], r["answer_overlap"]) == pytest.approx(best, abs=1e-8) and r["passage"] in passages
 
 
 # Quality rules
