@@ -1,10 +1,11 @@
-"""Queries of pages: selectors of configured sites, and pages as markdown."""
+"""Queries of pages: selectors of configured sites, files by layout, and pages as markdown."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from quarrykit.functions import markup, text
+from quarrykit.operators import attached
 from quarrykit.plans.registry import Registry, table
 from quarrykit.sources import sites
 
@@ -39,3 +40,23 @@ t AS (SELECT page_id, n, array_to_string(list_filter(list_transform(string_split
 SELECT page_id, md5(coalesce(string_agg(x, chr(10) || chr(10) ORDER BY n) FILTER (WHERE x <> ''), '')) AS digest FROM pages LEFT JOIN t USING (page_id) GROUP BY page_id""")
 def q_page_markdown(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.md5(markup.xhtml_to_markdown(F.col("html")).cast("binary")).alias("digest"))
+
+
+_NAV = attached.Layout("a[href]", (attached.Name("own"),), "body > nav li")
+
+
+@query(rf"""WITH p AS (SELECT page_id, url, regexp_extract(html, '<body><nav>(.*?)</nav>', 1) AS nav FROM pages), l AS (SELECT page_id, url, unnest(range(len(x))) AS n, unnest(x) AS li FROM (SELECT page_id, url, regexp_extract_all(nav, '<li>.*?</li>') AS x FROM p)),
+r AS (SELECT page_id, n, trim({_DECODE.format("regexp_extract(li, '<a href=\"[^\"]*\">(.*?)</a>', 1)")}) AS name, regexp_extract(url, '^[a-z]+://[^/?#]*') || {_DECODE.format("regexp_extract(li, '<a href=\"([^\"]*)\"', 1)")} AS link FROM l WHERE contains(li, '<a href="'))
+SELECT page_id, arg_min(name, n) AS name, link FROM r GROUP BY page_id, link""")
+def q_layout_links(spark, sf_dir):
+    """Links of all pages by a layout: one link in each entry of the navigation, named by its own text."""
+    return attached.by_layout(table(spark, sf_dir, "pages"), F.lit("nav"), {"nav": _NAV})
+
+
+@query("""WITH f AS (SELECT l_orderkey AS notice_id, l_suppkey % 3 AS n, l_linenumber AS line, l_returnflag <> 'A' AS inside, regexp_matches('part ' || l_partkey, 'part 1|part 7') AS pri FROM lineitem),
+w AS (SELECT *, bool_or(pri AND NOT inside) OVER k AS loose_pri, bool_or(NOT inside) OVER k AS loose, bool_or(pri) OVER (PARTITION BY notice_id, n, inside) AS any_pri, min(CASE WHEN inside THEN n END) OVER k AS first FROM f WINDOW k AS (PARTITION BY notice_id))
+SELECT notice_id, n, line FROM w WHERE CASE WHEN inside THEN pri OR (NOT any_pri AND NOT loose AND n = first) ELSE pri OR NOT loose_pri END""")
+def q_files_worth_reading(spark, sf_dir):
+    """Lines of orders as the files of notices, loose or in one of three archives."""
+    files = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("notice_id"), (F.col("l_suppkey") % 3).alias("n"), F.col("l_linenumber").alias("line"), (F.col("l_returnflag") != "A").alias("in_archive"), F.concat(F.lit("Part "), F.col("l_partkey").cast("string")).alias("name"))
+    return attached.worth_reading(files, attached.is_priority(F.col("name"), ["part 1", "part 7"])).select("notice_id", "n", "line")

@@ -4,27 +4,35 @@
 (items, total); it is named as ``module:function`` in the options, so that
 executors import it.  Failures are tried again with growing waits; a page that
 still fails ends its own loop with a row that holds the error, and what was read
-before it, like all other loops, stays.
+before it, like all other loops, stays.  A source that says which statuses are
+worth a wait (too many requests, 429) has other failures end the loop at once; a
+failure's status is its ``code`` or ``status``.  A source with several kinds of
+notices has a loop for each, and fetch takes the kind last.
 """
 
 from __future__ import annotations
 
-import importlib
 import json
 import time
 from datetime import date, timedelta
 
 from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, In, InputPartition
 
+from quarrykit.sources.collected import named
+
 
 class Request(InputPartition):
-    def __init__(self, keyword: str, lo: str, hi: str):
-        super().__init__((keyword, lo, hi))
-        self.keyword, self.lo, self.hi = keyword, lo, hi
+    def __init__(self, keyword: str, lo: str, hi: str, kind: str | None = None):
+        super().__init__((keyword, lo, hi, kind))
+        self.keyword, self.lo, self.hi, self.kind = keyword, lo, hi, kind
 
 
 class PagedSource(DataSource):
-    """Options: fetch, keywords (JSON list), start, end (yyyy-MM-dd), days (7), size (100), push (false).
+    """Options: fetch, keywords (JSON list), start, end (yyyy-MM-dd), days (7), size (100), wait (3, seconds), push (false).
+
+    And for a source's own rules: kinds (JSON list), statuses (JSON list of those to wait for; unset: any failure),
+    pause (seconds after a page), pages (most of a loop), stop (a callable as fetch; whether a page's items are the last
+    that are wanted).
 
     With push, filters on keyword decide what is asked for at all; Spark wants
     spark.sql.python.filterPushdown.enabled for that.
@@ -35,7 +43,8 @@ class PagedSource(DataSource):
         return "paged_api"
 
     def schema(self) -> str:
-        return "keyword string, page int, item string, error string"
+        kind = "kind string, " if "kinds" in self.options else ""
+        return f"{kind}keyword string, page int, item string, error string"
 
     def reader(self, schema) -> PagedReader:
         options = dict(self.options)
@@ -48,6 +57,8 @@ class PagedReader(DataSourceReader):
     def __init__(self, options: dict):
         self.options = options
         self.keywords = json.loads(options["keywords"])
+        self.kinds = json.loads(options["kinds"]) if "kinds" in options else [None]
+        self.statuses = json.loads(options["statuses"]) if "statuses" in options else None
 
     def partitions(self) -> list[Request]:
         lo, end = (date.fromisoformat(self.options[k]) for k in ("start", "end"))
@@ -56,30 +67,32 @@ class PagedReader(DataSourceReader):
         while lo <= end:
             spans.append((lo.isoformat(), min(lo + step - timedelta(days=1), end).isoformat()))
             lo += step
-        return [Request(k, a, b) for k in self.keywords for a, b in spans]
+        return [Request(k, a, b, kind) for kind in self.kinds for k in self.keywords for a, b in spans]
 
     def read(self, partition: Request):
-        module, _, name = self.options["fetch"].partition(":")
-        fetch = getattr(importlib.import_module(module), name)
-        size, page = int(self.options.get("size", 100)), 1
+        fetch, stop = named(self.options["fetch"]), named(self.options["stop"]) if "stop" in self.options else None
+        size, page, most = int(self.options.get("size", 100)), 1, int(self.options.get("pages", 0))
+        own = () if partition.kind is None else (partition.kind,)
         while True:
             try:
-                items, total = self._again(fetch, partition.keyword, partition.lo, partition.hi, page, size)
+                items, total = self._again(fetch, partition.keyword, partition.lo, partition.hi, page, size, *own)
             except OSError as error:
-                yield partition.keyword, page, None, f"{type(error).__name__}: {error}"[:500]
+                yield *own, partition.keyword, page, None, f"{type(error).__name__}: {error}"[:500]
                 return
             for item in items:
-                yield partition.keyword, page, json.dumps(item, ensure_ascii=False), None
-            if page * size >= total or not items:
+                yield *own, partition.keyword, page, json.dumps(item, ensure_ascii=False), None
+            if page * size >= total or not items or page == most or (stop is not None and stop(items)):
                 return
+            time.sleep(float(self.options.get("pause", 0)))
             page += 1
 
     def _again(self, fetch, *args):
         for attempt in range(self.TRIES):
             try:
                 return fetch(*args)
-            except OSError:
-                if attempt + 1 == self.TRIES:
+            except OSError as error:
+                status = getattr(error, "code", getattr(error, "status", None))
+                if attempt + 1 == self.TRIES or (self.statuses is not None and status not in self.statuses):
                     raise
                 time.sleep(float(self.options.get("wait", self.WAIT)) * (attempt + 1))
 
