@@ -15,6 +15,8 @@ all.  Three bounds rule pairs out, cheapest first:
 
 Counts are of hashed characters and grams, which can only raise what is in common.
 The longest common subsequence, from bits, is the last bound before difflib itself.
+Short texts are ruled out many pairs at a time: letters and pairs of letters as bits
+(one for each of a bin's first few), then common subsequences of hashed letters.
 
 Texts of a group are dealt into tiles: pairs of chunks of neighbouring steps with a
 bounded number of rows and characters.  A tile compares in numpy what passes the
@@ -25,6 +27,7 @@ from __future__ import annotations
 
 from collections import Counter
 from difflib import SequenceMatcher
+from functools import cached_property
 
 import numpy as np
 import pandas as pd
@@ -34,6 +37,7 @@ from pyspark.sql import functions as F
 ROWS, CHARACTERS = 4096, 4_000_000  # of a chunk
 TILE = ("s", "c", "u", "d")  # step and chunk of the first and of the second side
 _LETTERS, _GRAMS, _FINE, _CELLS, _JUNKED, _LONG = 64, 256, 2048, 16, 200, 20_000
+_SHORT, _WORDS, _ROWS, _PAIRS = 72, 2, 64, 4096  # length of a short text and words of bits of one it may resemble; rows and pairs that are compared at once
 
 
 def ratio(a: str, b: str) -> float:
@@ -74,11 +78,45 @@ class Texts:
         upto = self._counts(code, owner * _CELLS + cell, _LETTERS, n * _CELLS).reshape(n, _CELLS, _LETTERS)
         self.upto = np.concatenate([np.zeros((n, 1, _LETTERS), np.float32), np.cumsum(upto, axis=1)], axis=1)
         self.starts = np.array([_starts(t) for t in texts], np.int64)
+        self.code, self.owner, self.start = code, owner, start
+
+    @cached_property
+    def letter_bits(self) -> tuple[np.ndarray, np.ndarray]:
+        return _unary(self.letters, 4)
+
+    @cached_property
+    def pair_bits(self) -> tuple[np.ndarray, np.ndarray]:
+        return _unary(self.pairs, 2)
+
+    @cached_property
+    def by_size(self) -> np.ndarray:
+        return np.argsort(self.size, kind="stable")
+
+    @cached_property
+    def bins(self) -> np.ndarray:
+        """Bins of a short text's letters, place by place; a bin that no letter has after its end."""
+        some = self.size[self.owner] <= _SHORT
+        at = self.owner[some]
+        out = np.full((len(self), _SHORT), _LETTERS, np.int64)
+        out[at, np.flatnonzero(some) - self.start[at]] = self._bin(self.code[some], _LETTERS)
+        return out
+
+    @cached_property
+    def places(self) -> np.ndarray:
+        """Bits of the places where a text has letters of a bin, for texts that are no longer than all words of bits."""
+        some = self.size[self.owner] <= _WORDS * 64
+        at, place = self.owner[some], np.flatnonzero(some) - self.start[self.owner[some]]
+        out = np.zeros(len(self) * (_LETTERS + 1) * _WORDS, np.uint64)
+        np.add.at(out, (at * (_LETTERS + 1) + self._bin(self.code[some], _LETTERS)) * _WORDS + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
+        return out
+
+    @staticmethod
+    def _bin(code: np.ndarray, bins: int) -> np.ndarray:
+        return ((code * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
 
     @staticmethod
     def _counts(code, owner, bins: int, n: int, where=None) -> np.ndarray:
-        at = (code * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - bins.bit_length() + 1)
-        key = owner * bins + at.astype(np.int64)
+        key = owner * bins + Texts._bin(code, bins)
         return np.bincount(key if where is None else key[where], minlength=n * bins).reshape(n, bins).astype(np.float32)
 
     def ordered(self, i: int, other: Texts, at: np.ndarray) -> np.ndarray:
@@ -136,6 +174,77 @@ def possible(x: Texts, i: int, y: Texts, at: np.ndarray, threshold: float) -> np
     return np.delete(at, limited[few])
 
 
+def _unary(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bits, one for each up to most of a bin, word by word; and what is above, at most 255."""
+    held = counts[:, None, :] > np.arange(most, dtype=np.float32)[:, None]
+    words = np.packbits(held, axis=2).reshape(len(counts), -1).view(np.uint64).T.copy()
+    return words, np.minimum(np.maximum(counts - most, 0).sum(axis=1), 255).astype(np.uint8)
+
+
+def near(x: Texts, y: Texts, one: bool, threshold: float, wanted):
+    """Rows (i, j) of x and y, some at a time, of pairs that may resemble each other in either order; all others don't.
+
+    one: x is y, and each pair of two rows comes once.  wanted(i, j) says which pairs
+    are asked for, before they are compared.
+    """
+    whole = _WORDS * 64
+    short = x.by_size[: np.searchsorted(x.size[x.by_size], min(_SHORT, int(whole * threshold / (2 - threshold))), "right")]
+    sizes, need = y.size[y.by_size], np.ceil(threshold * np.arange(2 * whole + 1) / 2 - 1e-9)
+    held, over = y.letter_bits[0][:, y.by_size], y.letter_bits[1][y.by_size]
+    for k in range(0, len(short), _ROWS):
+        rows = short[k : k + _ROWS]
+        own = x.size[rows]
+        low = own[0] if one else int(own[0] * threshold / (2 - threshold))
+        window = slice(*np.searchsorted(sizes, [low, min(whole, int(own[-1] * (2 - threshold) / threshold) + 1) + 1]))
+        some = np.minimum(x.letter_bits[1][rows, None], over[None, window])
+        for mine, its in zip(x.letter_bits[0], held):
+            some += np.bitwise_count(mine[rows, None] & its[None, window])
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
+        for p, q in zip(cuts[:-1], cuts[1:]):
+            some[p:q] = some[p:q] >= need[own[p] + sizes[window]].astype(np.uint8)
+        i, j = np.nonzero(some)
+        i, j = rows[i], y.by_size[window][j]
+        keep = wanted(i, j)
+        if one:
+            keep &= (y.size[j] > x.size[i]) | ((y.size[j] == x.size[i]) & (j > i))
+        i, j = i[keep], j[keep]
+        for c in range(0, len(i), _PAIRS):
+            yield _nearer(x, i[c : c + _PAIRS], y, j[c : c + _PAIRS], need)
+    known = np.zeros(len(x), bool)
+    known[short] = True
+    for i in np.flatnonzero(~known):
+        rest = np.flatnonzero(~known[i + 1 :]) + i + 1 if one else np.arange(len(y))
+        rest = rest[wanted(np.full(len(rest), i), rest)]
+        at = possible(x, i, y, rest, threshold)
+        yield np.full(len(at), i), at
+
+
+def _nearer(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of short texts that pairs of letters and the common subsequence of hashed letters allow."""
+    total = x.size[i] + y.size[j]
+    least = need[total]
+    some = np.minimum(x.pair_bits[1][i], y.pair_bits[1][j]).astype(np.int64)
+    for mine, its in zip(x.pair_bits[0], y.pair_bits[0]):
+        some += np.bitwise_count(mine[i] & its[j])
+    keep = some >= least - (total - 2 * least + 1)
+    i, j, least = i[keep], j[keep], least[keep]
+    if not len(i):
+        return i, j
+    row = [np.full(len(i), 0xFFFFFFFFFFFFFFFF, np.uint64) for _ in range(-(-int(y.size[j].max()) // 64))]
+    bins, at = x.bins[i] * _WORDS, j * ((_LETTERS + 1) * _WORDS)
+    for k in range(int(x.size[i].max())):
+        place, carry = at + bins[:, k], np.zeros(len(i), bool)
+        for w, r in enumerate(row):
+            hit = r & y.places[place + w]
+            new = r + hit
+            up = new < r
+            new += carry
+            carry = up | (new < carry)
+            row[w] = new | (r ^ hit)
+    keep = sum((64 - np.bitwise_count(r).astype(np.int64) for r in row), np.zeros(len(i), np.int64)) >= least
+    return i[keep], j[keep]
+
+
 def alike(a: str, b: str, threshold: float) -> bool:
     """Whether the ratio in either order may reach the threshold; texts beyond bounds of work count as alike."""
     if max(len(a), len(b)) > _LONG:
@@ -212,10 +321,8 @@ def linked(rows: DataFrame, group: str, node: str, text: str, threshold: float)
         shift = 0 if one else len(left)
         root = np.arange(len(ids))
         out: list[tuple[int, int]] = []
-        for i in range(len(left)):
-            rest = np.arange(i + 1, len(left)) if one else np.arange(len(right))
-            rest = rest[root[rest + shift] != root[i]]
-            for j in possible(left, i, right, rest, threshold):
+        for some, others in near(left, right, one, threshold, lambda i, j: root[i] != root[j + shift]):
+            for i, j in zip(some.tolist(), others.tolist()):
                 p, q = root[i], root[j + shift]
                 if p != q and alike(left.texts[i], right.texts[j], threshold):
                     out.append((int(ids[i]), int(ids[j + shift])))
@@ -299,16 +406,44 @@ def resembling(new: DataFrame, old: DataFrame, group: str, text: str, threshold:
         out = []
         if x and y:
             left, right, known, match = Texts(x), Texts(y), set(y), SequenceMatcher(None)
-            for i, a in enumerate(x):
-                near = (y[j] for j in possible(left, i, right, np.arange(len(y)), threshold))
-                if a in known or any(alike(a, b, threshold) and _reaches(match, a, b, threshold) for b in near):
-                    out.append(a)
+            hit = np.array([a in known for a in x])
+            for some, others in near(left, right, False, threshold, lambda i, j: ~hit[i]):
+                for i, j in zip(some.tolist(), others.tolist()):
+                    if not hit[i] and alike(x[i], y[j], threshold):
+                        hit[i] = _reaches(match, x[i], y[j], threshold)
+            out = [a for a, h in zip(x, hit) if h]
         return pd.DataFrame({group: [key[0]] * len(out), text: out}, dtype=object)
 
     both = tiles_between(new.select(group, text).distinct(), old.select(group, text).distinct(), group, text, threshold, F.xxhash64(text))
     return both.groupBy(group, *TILE).applyInPandas(hits, f"{group} string, {text} string").distinct()
 
 
+def ordered_pairs(rows: DataFrame, group: str, at: str, text: str, threshold: float) -> DataFrame:
+    """Pairs (group, a, b) of places whose texts resemble each other: the one at b, the later place, compared with the one at a.
+
+    rows have distinct texts and distinct places (numbers) in a group.
+    """
+
+    def pairs(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        x, y, one = _sides(key, pdf, text)
+        out: list[tuple[int, int]] = []
+        if len(x) and len(y):
+            left = Texts(x[text].tolist())
+            right, match = left if one else Texts(y[text].tolist()), SequenceMatcher(None)
+            p, q = x[at].tolist(), y[at].tolist()
+            for some, others in near(left, right, one, threshold, lambda i, j: np.ones(len(i), bool)):
+                for i, j in zip(some.tolist(), others.tolist()):
+                    (a, first), (b, then) = sorted(((p[i], left.texts[i]), (q[j], right.texts[j])))
+                    if alike(then, first, threshold) and _reaches(match, then, first, threshold):
+                        out.append((a, b))
+        made = pd.DataFrame(out, columns=["a", "b"]).astype("int64")
+        made.insert(0, group, key[0])
+        return made
+
+    dealt = tiles_within(rows.select(group, at, text), group, text, threshold, F.xxhash64(text))
+    return dealt.groupBy(group, *TILE).applyInPandas(pairs, f"{group} string, a long, b long")
+
+
 def _reaches(match: SequenceMatcher, a: str, b: str, threshold: float) -> bool:
     match.set_seqs(a, b)
     return match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold and match.ratio() >= threshold

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import re
 from difflib import SequenceMatcher
 
@@ -150,3 +151,26 @@ def test_profiles_grow_in_order(spark, mode):
     assert got == want
     marked = profiles.marked(hints.withColumn("user_action", F.lit("pending")), spark.createDataFrame([(1, 2), (9, 1)], "source_id int, id int"))
     assert [r["id"] for r in marked.where("user_action = 'imported'").collect()] == [2] and marked.count() == len(rows)
+
+
+@pytest.mark.parametrize("few", [0, 3, 100])
+def test_profiles_in_blocks_and_rounds_equal_brute_force(spark, monkeypatch, few):
+    """Chains of lines and of names that hold each other, over many blocks and rounds of links."""
+    monkeypatch.setattr(profiles, "BLOCK", 4)
+    monkeypatch.setattr(profiles, "GROWTH", 2)
+    monkeypatch.setattr(profiles, "FEW", few)
+    r = random.Random(few)
+    base = ["".join(r.choice("abcdef") for _ in range(24)) for _ in range(4)]
+    item = "array<struct<name: string, client: string, amount: string, period: string, role: string>>"
+    own = {k: {"projects": [{"name": base[k][:9]}], "certificates": base[k][:20]} for k in range(2)}
+    rows = []
+    for i in range(160):
+        b = r.choice(base)
+        x = r.randrange(18)
+        name = b[x : x + r.randrange(3, 14)] if i % 2 else "".join(r.choice("xyz") if r.random() < 0.12 else c for c in b)
+        rows.append((i % 3, i, "실적" if i % 2 else "인증", name, None, None))
+    df = spark.createDataFrame([(k, [(p["name"], "", "", "", "") for p in v["projects"]], v["certificates"]) for k, v in own.items()], f"source_id int, projects {item}, certificates string")
+    hints = spark.createDataFrame(rows, "source_id int, id int, type string, name string, year int, organization string")
+    got = {x["source_id"]: ([p["name"] for p in x["projects"]], x["certificates"], *list(x)[3:]) for x in profiles.applied(df, hints).collect()}
+    dicts = [dict(zip(("source_id", "id", "type", "name", "year", "organization"), x)) for x in rows]
+    assert got == {k: plainly(own.get(k, {"projects": [], "certificates": ""}), [h for h in dicts if h["source_id"] == k]) for k in range(3)}
