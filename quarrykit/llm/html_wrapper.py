@@ -9,11 +9,16 @@ and the texts met in each of its slots are counted.  The counts are sums, so the
 the same however the pages are dealt; a host of any size costs a task its partial
 sums.  A text that is in a slot on ``ENOUGH`` pages or more and on ``SHARE`` of those
 that have the slot is constant; so is one that moves among a slot's children of one
-sign, by the pages that have that slot.
+sign, by the pages that have that slot.  The skeleton's few pages decide where slots
+are, not what is counted: a container that matches no slot, on whatever page, counts
+by the slot of the nearest node above it that matches one and the signs from there
+down (its *way*).  A text that ``ENOUGH`` different pages or more have at the end of a
+way, and ``SHARE`` of those that have the way, is constant too; copies of a page are
+one page there, so that they make no template of what only they have.
 
 *Extraction.*  A page is aligned once more.  Nodes in a slot with its constant text
 are template and go, whatever they are called; varying slots and nodes that match no
-slot are content.  Navigation, headers, footers, asides, forms, notices, adverts and
+slot and no constant way are content.  Navigation, headers, footers, asides, forms, notices, adverts and
 comments often vary from page to page, where no count can tell them from content:
 these go by their element, role or class.  A class name counts if all of its words
 are names of furniture or say where it stands ("main-nav", but not "header-story").
@@ -308,6 +313,15 @@ def _fact(slot: int, sign: str, text: str) -> str:
     return _print(f"{slot} {text} {sign}")
 
 
+ANY = "*"
+
+
+def _way(above: str, sign: str) -> str:
+    """A way one step down; long ones as a print, so that depth costs nothing."""
+    way = f"{above}/{sign}"
+    return way if len(way) < 200 else "/" + _print(way)
+
+
 class Wrapper:
     """Skeleton of a host, and the facts that are constant: a text in a slot, or in a slot's children of one sign."""
 
@@ -317,17 +331,35 @@ class Wrapper:
         self.constant = constant
 
     def slots(self, page: Node):
-        """(slot, sign, print of the text, node): nodes that match a slot (sign ''), and the children of such nodes."""
-        for x, y in aligned(self.skeleton, tree(page)):
+        """(slot, sign, print of the text, node): nodes that match a slot (sign ''), the children of such nodes, and containers that match none (sign: their way)."""
+        whole = tree(page)
+        todo = [(self.skeleton, whole)] if self.skeleton[0] == whole[0] else []
+        while todo:
+            x, y = todo.pop()
             slot = self.slot[id(x)]
             yield slot, "", y[1][0], y[3]
             for child in y[2]:
                 if child[1][0]:
                     yield slot, child[0], child[1][0], child[3]
+            pairs = matching(x[2], y[2])
+            todo += [(x[2][i], y[2][j]) for i, j in pairs]
+            met = {j for _, j in pairs}
+            rest = [(c, "") for j, c in enumerate(y[2]) if j not in met]
+            while rest:
+                c, way = rest.pop()
+                if c[3].tag not in PROSE:
+                    way = _way(way, c[0])
+                    yield slot, way, c[1][0], c[3]
+                    rest += [(k, way) for k in c[2]]
 
     def facts(self, page: Node) -> set[tuple[int, str, str]]:
-        """What a page counts for."""
-        return {fact[:3] for fact in self.slots(page)}
+        """What a page counts for at slots."""
+        return {fact[:3] for fact in self.slots(page) if not fact[1].startswith("/")}
+
+    def counted(self, page: Node) -> tuple[set[tuple[int, str, str]], set[tuple[int, str, str]]]:
+        """What a page counts for at slots, and off them: ways, each also with the text ANY."""
+        some = [fact[:3] for fact in self.slots(page)]
+        return {f for f in some if not f[1].startswith("/")}, {(*f[:2], t) for f in some if f[1].startswith("/") for t in (f[2], ANY)}
 
     def template(self, page: Node) -> set[int]:
         """Nodes (by identity) whose text is constant where they are."""
@@ -345,11 +377,14 @@ def induce(pages: list[str]) -> Wrapper:
     """The wrapper of some pages of one host, all at once."""
     roots = [parse(p) for p in pages]
     out = Wrapper(_flat(folded([tree(r) for r in roots[:REPS]])))
+    seen = {_print(plain(r)): out.counted(r) for r in roots}
     counts = Counter(fact for r in roots for fact in out.facts(r))
+    off = Counter(fact for _, ways in seen.values() for fact in ways)
     have: Counter = Counter()
     for (slot, sign, _), n in counts.items():
         have[slot] += 0 if sign else n
-    out.constant = frozenset(_fact(*f) for f, n in counts.items() if f[2] and n >= ENOUGH and n >= SHARE * have[f[0]])
+    known = {f: n for f, n in counts.items() if n >= SHARE * have[f[0]]} | {f: n for f, n in off.items() if f[2] != ANY and n >= SHARE * off[(*f[:2], ANY)]}
+    out.constant = frozenset(_fact(*f) for f, n in known.items() if f[2] and n >= ENOUGH)
     return out
 
 
@@ -441,16 +476,24 @@ def templates(pages: DataFrame, by_host: DataFrame | None = None) -> DataFrame:
         known: dict[str, Wrapper] = {}
         for pdf in parts:
             for host_, page, flat in zip(pdf["host"], pdf["html"], pdf["skeleton"]):
-                sums.update((host_, *fact) for fact in _wrapper(known, flat).facts(parse(page)))
+                root = parse(page)
+                facts, ways = _wrapper(known, flat).counted(root)
+                sums.update((host_, *fact, "") for fact in facts)
+                if ways:
+                    text = _print(plain(root))
+                    sums.update((host_, *way, text) for way in ways)
                 if len(sums) > SUMS:
                     yield _frame(sums)
                     sums.clear()
         yield _frame(sums)
 
-    counted = rows.select("host", "html", "skeleton").mapInPandas(per_task, "host string, slot int, sign string, text string, n long")
-    seen = saved(counted.groupBy("host", "slot", "sign", "text").agg(F.sum("n").alias("n")), "facts")
-    slots = seen.where("sign = ''").groupBy("host", "slot").agg(F.sum("n").alias("pages"))
-    constant = seen.where((F.col("text") != "") & (F.col("n") >= ENOUGH)).join(slots, ["host", "slot"]).where(F.col("n") >= SHARE * F.col("pages"))
+    counted = rows.select("host", "html", "skeleton").mapInPandas(per_task, "host string, slot int, sign string, text string, page string, n long")
+    # At a slot pages are counted, at the end of a way different ones.
+    each = counted.groupBy("host", "slot", "sign", "text", "page").agg(F.sum("n").alias("n"))
+    seen = saved(each.groupBy("host", "slot", "sign", "text").agg(F.sum(F.when(F.startswith("sign", F.lit("/")), 1).otherwise(F.col("n"))).alias("n")), "facts")
+    way = F.when(F.startswith("sign", F.lit("/")), F.col("sign")).otherwise("").alias("way")
+    had = seen.where((F.col("sign") == "") | F.startswith("sign", F.lit("/")) & (F.col("text") == ANY)).groupBy("host", "slot", way).agg(F.sum("n").alias("pages"))
+    constant = seen.where(~F.col("text").isin("", ANY) & (F.col("n") >= ENOUGH)).withColumn("way", way).join(had, ["host", "slot", "way"]).where(F.col("n") >= SHARE * F.col("pages"))
     fact = F.substring(F.md5(F.concat_ws(" ", F.col("slot").cast("string"), "text", "sign").cast("binary")), 1, 16)
     listed = constant.groupBy("host").agg(F.array_join(F.array_sort(F.collect_set(fact)), ",").alias("constant"))
     return by_host.join(listed, "host", "left")
@@ -467,7 +510,7 @@ def _wrapper(known: dict, flat: str, constant: str | None = None) -> Wrapper:
 
 
 def _frame(sums: Counter) -> pd.DataFrame:
-    return pd.DataFrame({name: [k[i] for k in sums] for i, name in enumerate(("host", "slot", "sign", "text"))} | {"n": list(sums.values())}, dtype=object).astype({"n": "int64", "slot": "int32"})
+    return pd.DataFrame({name: [k[i] for k in sums] for i, name in enumerate(("host", "slot", "sign", "text", "page"))} | {"n": list(sums.values())}, dtype=object).astype({"n": "int64", "slot": "int32"})
 
 
 def main_text(pages: DataFrame) -> DataFrame:

@@ -279,6 +279,22 @@ def test_slots_that_shift_are_aligned(spark):
     assert got[21] == "Daily news\n\ntext 1\n\nAll rights"  # two pages are no evidence
 
 
+def test_boxes_that_are_on_no_page_of_the_skeleton(spark):
+    """A box of some pages: constant there though the skeleton's pages are others; what copies of one page have is content."""
+    page = "<body><div class='top'>Site</div>{1}<div class='text'>text {0}</div></body>"
+    box = "<section class='alpha'><div class='in'>Rain tomorrow</div></section>"
+    rows = [(i, "http://h/", page.format(i, "")) for i in range(60)]
+    flat = html_wrapper.skeletons(spark.createDataFrame(rows, "page_id long, url string, html string")).first()["skeleton"]
+    some = [(100 + i, "http://h/", page.format(100 + i, box)) for i in range(5)] + [(200 + i, "http://h/", page.format(200, "<section class='beta'>own</section>")) for i in range(4)]
+    some += [(300 + i, "http://h/", page.format(300 + i, f"<section class='gamma'>varies {i}</section>")) for i in range(4)]
+    df = spark.createDataFrame(rows + some, "page_id long, url string, html string")
+    by_host = html_wrapper.templates(df, spark.createDataFrame([("h", flat)], "host string, skeleton string")).first()
+    w = html_wrapper.Wrapper(by_host["skeleton"], frozenset(by_host["constant"].split(",")))
+    got = {r[0]: html_wrapper.extract(r[2], w) for r in rows + some}
+    assert all(got[i] == f"text {i}" for i in [*range(60), *range(100, 105)])
+    assert all(got[200 + i] == "own\n\ntext 200" and got[300 + i] == f"varies {i}\n\ntext {300 + i}" for i in range(4))
+
+
 def test_the_whole_result_equals_wrappers_of_each_host(spark, sf):
     """All pages of the table: hosts one after another in plain Python, from the same pages of a host."""
     pages = spark.read.parquet(f"{sf}/pages.parquet")
