@@ -8,11 +8,13 @@ import zipfile
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, BooleanType, StringType, StructField, StructType
 
 from quarrykit.functions import text
+from quarrykit.functions.batches import pieces
 from quarrykit.operators import ordered
 
 # Heading, anchor and number patterns of the documents; section names to skip.
@@ -30,6 +32,10 @@ IMAGE_LINK = r"(?i)\.(?:jpg|jpeg|png|gif|bmp|svg|ico)(?:\?|$)"
 PARSEABLE = ("pdf", "hwpx", "docx", "hwp", "zip")
 
 
+def _parsed(kind: str):
+    return StructType.fromDDL(f"x {kind}")[0].dataType
+
+
 def lines(docs: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key, line number from 0, raw line, trimmed line."""
     return docs.select(key, F.posexplode(F.split(column, "\n")).alias("line", "raw")).withColumn("stripped", F.btrim("raw", F.lit(" \t\r\x0b\x0c")))
@@ -85,6 +91,7 @@ def line_classes(stripped: Column) -> Column:
 
 
 ENTRY = "struct<marker: string, title: string, page: int, level: int, position: int>"
+_ENTRIES = pa.list_(pa.struct([("marker", pa.string()), ("title", pa.string()), ("page", pa.int32()), ("level", pa.int32()), ("position", pa.int32())]))
 
 
 def _entries(region: str, strict_sub: bool) -> list[tuple]:
@@ -121,12 +128,14 @@ def contents(docs: DataFrame, key: str = "doc_id", column: str = "text", head: i
     start = F.regexp_instr(F.substring(column, 1, head), F.lit(ANCHOR))
     anchor = F.regexp_extract(F.substring(column, 1, head), ANCHOR, 0)
 
-    @F.pandas_udf(f"array<{ENTRY}>")
-    def parse(regions: pd.Series) -> pd.Series:
-        return regions.map(lambda r: [dict(zip(("marker", "title", "page", "level", "position"), e)) for e in _entries(r or "", strict_sub)])
+    def parse(batches):
+        for part in pieces(batches):
+            found = [[dict(zip(("marker", "title", "page", "level", "position"), e)) for e in _entries(r or "", strict_sub)] for r in part.column("_r").to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(key), part.column("anchor_line"), pa.array(found, _ENTRIES)], [key, "anchor_line", "entries"])
 
     region = F.substring(F.substring(column, 1, head), start + F.length(anchor), F.lit(span))
-    rows = docs.select(key, F.when(start > 0, text.line_of(F.col(column), start - 1)).alias("anchor_line"), F.when(start > 0, region).otherwise("").alias("_r")).withColumn("entries", parse("_r"))
+    rows = docs.select(key, F.when(start > 0, text.line_of(F.col(column), start - 1)).alias("anchor_line"), F.when(start > 0, region).otherwise("").alias("_r"))
+    rows = rows.mapInArrow(parse, StructType([*rows.drop("_r").schema, StructField("entries", _parsed(f"array<{ENTRY}>"))]))
     return rows.select(key, (F.size("entries") > 0).alias("found"), "anchor_line", (F.col("anchor_line") + 1).alias("body_start"), "entries")
 
 
@@ -172,12 +181,17 @@ def _aligned(body: list[str], entries, start: int) -> list[tuple]:
 def aligned(docs: DataFrame, found: DataFrame, key: str = "doc_id", column: str = "text") -> DataFrame:
     """key, position, level, start, end, mode of each entry; end is the next matched start."""
 
-    @F.pandas_udf(f"array<{MATCH}>")
-    def match(texts: pd.Series, entries: pd.Series, start: pd.Series) -> pd.Series:
-        return pd.Series([[dict(zip(("position", "level", "start", "mode"), m)) for m in _aligned((t or "").split("\n"), e, int(s))] for t, e, s in zip(texts, entries, start)])
+    kinds = [pa.int32(), pa.int32(), pa.int32(), pa.string()]
+
+    def match(batches):
+        for part in pieces(batches):
+            each = [_aligned((t or "").split("\n"), e, int(s)) for t, e, s in zip(*(part.column(c).to_pylist() for c in ("_text", "entries", "body_start")))]
+            of = pa.array([i for i, found in enumerate(each) for _ in found], pa.int32())
+            made = [pa.array([m[k] for found in each for m in found], kind) for k, kind in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([part.column(key).take(of), part.column("total").take(of), *made], [key, "total", "position", "level", "start", "mode"])
 
-    rows = docs.select(key, column).join(found.where("found").select(key, "entries", "body_start"), key)
-    out = rows.select(key, F.size(F.split(column, "\n")).alias("total"), F.explode(match(column, "entries", "body_start")).alias("m")).select(key, "total", "m.*")
+    rows = docs.select(key, F.col(column).alias("_text"), F.size(F.split(column, "\n")).alias("total")).join(found.where("found").select(key, "entries", "body_start"), key)
+    out = rows.mapInArrow(match, StructType([*rows.select(key, "total").schema, *_parsed(MATCH).fields]))
     out = ordered.next_present(out, [key], "position", "start")
     return out.select(key, "position", "level", "start", F.when(F.col("start").isNotNull(), F.coalesce("next", "total")).alias("end"), "mode")
 

@@ -1,9 +1,10 @@
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quarrykit.functions import cost, dates, jsonx, keys, text
+from quarrykit.functions import batches, cost, dates, jsonx, keys, text
 
 
 def one(spark, column, value=None, kind="string"):
@@ -65,3 +66,11 @@ def test_keys(spark):
     assert one(spark, keys.padded_id("src_", F.col("x"), 4), 12, "int") == "src_0012"
     assert one(spark, keys.composite_key(F.col("x"), F.lit("00"))) is None
     assert one(spark, keys.claim_id(F.lit("s"), F.col("x")), "t").startswith("cl_")
+
+
+def test_pieces_hold_few_rows_and_bytes():
+    """Every row once and in order; objects are made of a piece, never of a whole batch."""
+    rows = ["x" * (n % 7) for n in range(1000)] + ["y" * 300_000] * 9 + ["z" * 3_000_000]
+    got = list(batches.pieces([pa.record_batch({"t": rows[:5]}), pa.record_batch({"t": rows[5:]}), pa.record_batch({"t": rows[:0]})]))
+    assert [t for p in got for t in p.column("t").to_pylist()] == rows
+    assert all(p.num_rows == 1 or p.num_rows <= batches.ROWS and p.nbytes <= batches.BYTES for p in got)
