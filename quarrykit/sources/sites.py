@@ -10,11 +10,12 @@ from __future__ import annotations
 
 import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quarrykit.functions import dates, keys, markup, text
+from quarrykit.functions.batches import pieces
 
 SITE = """name string, source_key string, list_url string, list_selector string, title_selector string, date_selector string, link_attr string, link_base string,
 pagination string, encoding string, max_pages int, link_js_regex string, link_template string, post_data map<string,string>, page_param_key string, parser string,
@@ -89,18 +90,20 @@ def rows_of(pages: DataFrame, sites: DataFrame) -> DataFrame:
     needed = ["list_selector", "title_selector", "date_selector", "link_attr", "grid_selector", "link_js_regex", "link_template"]
     joined = pages.select("source_key", F.col("page").cast("long").alias("page"), "html").join(sites.select("source_key", *needed), "source_key")
 
-    def scrape(parts):
-        for pdf in parts:
+    kinds = pa.schema([("source_key", pa.string()), ("page", pa.int64()), ("n", pa.int32()), ("title", pa.string()), ("link", pa.string()), ("day", pa.string()), ("failure", pa.string())])
+
+    def scrape(batches):
+        for part in pieces(batches):
             out = []
-            for r in pdf.to_dict("records"):
+            for r in part.to_pylist():
                 try:
                     rows = _listed(r, r["html"] if isinstance(r["html"], str) else "")
                     out += [(r["source_key"], r["page"], n, *row, None) for n, row in enumerate(rows)] or [(r["source_key"], r["page"], -1, "", "", "", None)]
                 except (ValueError, re.error) as error:
                     out.append((r["source_key"], r["page"], -1, "", "", "", f"{type(error).__name__}: {error}"))
-            yield pd.DataFrame(out, columns=[c.split()[0] for c in _ROW.split(", ")], dtype=object)
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], kind.type) for i, kind in enumerate(kinds)], schema=kinds)
 
-    return joined.mapInPandas(scrape, _ROW)
+    return joined.mapInArrow(scrape, _ROW)
 
 
 def scraped(pages: DataFrame, sites: DataFrame, as_of: Column, days: int = 30) -> DataFrame:

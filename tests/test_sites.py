@@ -207,3 +207,13 @@ def test_workbooks(spark, tmp_path):
 
 def test_columns_of_references():
     assert [sheets.column_of(x) for x in ("A1", "Z9", "AA1", "AB7", "BA3")] == [0, 25, 26, 27, 52]
+
+
+def test_pages_are_parsed_a_piece_at_a_time(spark, monkeypatch):
+    """A task's Python objects are those of a piece of a batch: the rows are the same however small it is."""
+    monkeypatch.setattr(sites, "pieces", lambda found: (p.slice(k, 1) for p in found for k in range(p.num_rows)))
+    pages = spark.createDataFrame([("k", i, f"<ul><li><a href='/{i}'>t{i}</a></li></ul>" * (i % 3)) for i in range(40)] + [("k", 99, None)], "source_key string, page long, html string")
+    own = sites.with_defaults(spark.createDataFrame([("k", "k", "http://k/", "li", "a")], "source_key string, name string, list_url string, list_selector string, title_selector string"))
+    asked = [(r["page"], r["n"], r["title"], r["link"]) for r in sites.rows_of(pages, own).collect()]
+    want = [(i, n, f"t{i}", f"/{i}") for i in range(40) for n in range(i % 3)] + [(i, -1, "", "") for i in [*range(0, 40, 3), 99]]
+    assert sorted(asked) == sorted(want)
