@@ -51,7 +51,8 @@ class _Fold:
         key = rep, statement
         if key not in self.known:
             a, b = self.of.texts[rep], self.of.texts[statement]
-            self.known[key] = (max(len(a), len(b)) > R._LONG or R.alike(a, b, self.threshold)) and R._reaches(self.match, a, b, self.threshold)
+            # In a long second text difflib starts few blocks, so they are found sooner than a common subsequence.
+            self.known[key] = (len(b) >= R._JUNKED or R.alike(a, b, self.threshold)) and R._reaches(self.match, a, b, self.threshold)
         return self.known[key]
 
     def first(self, statement: int) -> int | None:

@@ -25,9 +25,11 @@ bounds and returns a spanning forest or its best few, never a list of all pairs.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter
 from difflib import SequenceMatcher
 from functools import cached_property
+from heapq import heappop, heappush
 
 import numpy as np
 import pandas as pd
@@ -444,6 +446,49 @@ def ordered_pairs(rows: DataFrame, group: str, at: str, text: str, threshold: fl
     return dealt.groupBy(group, *TILE).applyInPandas(pairs, f"{group} string, a long, b long")
 
 
+def _longest(a: str, b: str, hits: list[int], b2j: dict[str, list[int]], alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """difflib's longest match of two parts; hits: places of a whose character may start a block in b."""
+    besti, bestj, bestsize, before, ends = alo, blo, 0, -2, {}
+    for i in hits[bisect_left(hits, alo) : bisect_left(hits, ahi)]:
+        now = {}
+        if i != before + 1:
+            ends = now
+        for j in b2j[a[i]]:
+            if j < blo:
+                continue
+            if j >= bhi:
+                break
+            k = now[j] = (ends.get(j - 1, 0) if ends is not now else 0) + 1
+            if k > bestsize:
+                besti, bestj, bestsize = i - k + 1, j - k + 1, k
+        before, ends = i, now
+    while besti > alo and bestj > blo and a[besti - 1] == b[bestj - 1]:
+        besti, bestj, bestsize = besti - 1, bestj - 1, bestsize + 1
+    while besti + bestsize < ahi and bestj + bestsize < bhi and a[besti + bestsize] == b[bestj + bestsize]:
+        bestsize += 1
+    return besti, bestj, bestsize
+
+
 def _reaches(match: SequenceMatcher, a: str, b: str, threshold: float) -> bool:
+    """Whether difflib's ratio reaches the threshold: its blocks, until those found are enough or all that may be left is not."""
     match.set_seqs(a, b)
-    return match.real_quick_ratio() >= threshold and match.quick_ratio() >= threshold and match.ratio() >= threshold
+    total = len(a) + len(b)
+    if match.real_quick_ratio() < threshold or max(len(a), len(b)) > _LONG and match.quick_ratio() < threshold:
+        return False
+    if not total:
+        return True
+    hits, sure, most = [i for i, c in enumerate(a) if c in match.b2j], 0, min(len(a), len(b))
+    todo = [(-most, 0, len(a), 0, len(b))]  # parts with the most to win or lose first
+    while 2.0 * sure / total < threshold:
+        if not todo or 2.0 * most / total < threshold:
+            return False
+        room, alo, ahi, blo, bhi = heappop(todo)
+        i, j, k = _longest(a, b, hits, match.b2j, alo, ahi, blo, bhi)
+        most, sure = most + room, sure + k
+        if k:
+            most += k
+            for part in ((alo, i, blo, j), (i + k, ahi, j + k, bhi)):
+                if left := min(part[1] - part[0], part[3] - part[2]):
+                    most += left
+                    heappush(todo, (-left, *part))
+    return True

@@ -189,3 +189,16 @@ def test_lines_equal_brute_force(spark, seed):
     lines = spark.createDataFrame(new, "k int, line string")
     got = claims.known_lines(lines, spark.createDataFrame(list(old.items()), "k int, existing string"), "k").collect()
     assert sorted((str(r["k"]), r["line"], r["duplicate"]) for r in got) == sorted(want)
+
+
+def test_reaching_a_threshold_equals_the_ratio():
+    """Blocks are looked for only until the answer is clear, and from few places in long texts: same answer as difflib's."""
+    r, match = random.Random(5), SequenceMatcher(None)
+    for _ in range(400):
+        base = "".join(r.choice("abcdefghijklmnopqrstuvwxyz     eeettaaon") for _ in range(r.choice((0, 3, 30, 150, 199, 200, 260, 600))))
+        a, b = ("".join(r.choice("xyz eta") if r.random() < noise else c for c in base if r.random() > noise / 2) for noise in (r.choice((0, 0.02, 0.1, 0.2)), r.choice((0, 0.05, 0.3))))
+        for t in (0.3, 0.6, 0.85, 1.0, round(SequenceMatcher(None, a, b).ratio(), 3), SequenceMatcher(None, a, b).ratio()):
+            assert resemblance._reaches(match, a, b, t) == (SequenceMatcher(None, a, b).ratio() >= t), (a, b, t)
+        hits = list(range(len(a)))
+        match.set_seqs(a, b)
+        assert resemblance._longest(a, b, [i for i in hits if a[i] in match.b2j], match.b2j, 0, len(a), 0, len(b)) == tuple(match.find_longest_match(0, len(a), 0, len(b)))
