@@ -10,8 +10,8 @@ one; else it becomes a representative.  What Spark runs:
 2. A component is folded in order over the *first* claim of each statement.  Later
    claims of a statement do as the one before them did, unless a representative has
    changed between them in a way that matters to them; the fold says where.
-3. For those places the next claim of the statement is looked up and the fold runs
-   again with it, until it asks for nothing new (usually at once).
+3. For those places the next claim of the statement is looked up and the folds of those
+   components run again with it, until they ask for nothing new (usually at once).
 4. Every claim finds the last folded claim of its statement before it, takes over
    its representative, and the columns are aggregated by representative.
 
@@ -22,6 +22,7 @@ third of all rows is one row of the fold.
 from __future__ import annotations
 
 from difflib import SequenceMatcher
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -129,19 +130,27 @@ def merge(claims: DataFrame, threshold: float, order: list[str]) -> DataFrame:
 
     met = saved(together, "met")
     made_schema = StructType([*met.select("_component", *order, "_sid").schema, StructField("_rep", StringType()), StructField("_final", StringType()), StructField("_asked", BooleanType())])
+    spread, settled, used = 4 * base.sparkSession.sparkContext.defaultParallelism, [], [met]
     while True:
-        made = saved(met.groupBy("_component").applyInPandas(_fold(threshold, order), made_schema), "made")
+        # Components are few rows but much work each: dealt out by number, so that they are not put together by their bytes.
+        made = saved(met.repartition(spread, "_component").groupBy("_component").applyInPandas(_fold(threshold, order), made_schema), "made")
         asked = made.where("_asked").select("_sid", F.struct(*order).alias("_after")).distinct()
         claim = base.select("_sid", "_text", F.struct(*order).alias("_at"))
         found = asked.join(claim, "_sid").where("_at > _after").groupBy("_sid", "_after").agg(F.min("_at").alias("_at"), F.first("_text").alias("_text"))
         found = found.select("_sid", "_text", "_at.*").distinct().join(folded.select("_sid", "_component"), "_sid")
         new = found.select("_component", "_sid", "_text", *order, key.alias("_key")).join(met.select("_key"), "_key", "left_anti").select(*met.columns)
         new = saved(new, "found")
+        used += [made, new]
         if not new.count():
+            settled.append(made)
             break
-        before, met = met, saved(met.unionByName(new), "met")
-        discard(before, made, new)
+        # Only components with new claims are folded again.
+        again = new.select("_component").distinct()
+        settled.append(made.join(again, "_component", "left_anti"))
+        met = saved(met.join(again, "_component", "left_semi").unionByName(new), "met")
+        used.append(met)
 
+    made = reduce(DataFrame.unionByName, settled)
     # The last folded claim of a statement at or before each claim says where it goes.
     places = made.where("not _asked").select("_sid", F.struct(*order).alias("_from"), "_rep", "_final")
     places = places.unionByName(alone.select("_sid", F.struct(*order).alias("_from"), key.alias("_rep"), F.col("_text").alias("_final")))
@@ -149,7 +158,7 @@ def merge(claims: DataFrame, threshold: float, order: list[str]) -> DataFrame:
     now = base.withColumn("_at", at).join(places.select("_sid", "_from", "_until", "_rep"), "_sid").where((F.col("_at") >= F.col("_from")) & (F.col("_until").isNull() | (F.col("_at") < F.col("_until"))))
     out = _aggregated(saved(now.drop("_from", "_until"), "joined"), places.where("_final is not null").select("_rep", "_final"), schema, order)
     out = saved(out, "merged")
-    discard(base, statements, links, folded, met, made)
+    discard(base, statements, links, folded, *used)
     return out
 
 

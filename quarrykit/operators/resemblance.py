@@ -15,8 +15,9 @@ all.  Three bounds rule pairs out, cheapest first:
 
 Counts are of hashed characters and grams, which can only raise what is in common.
 The longest common subsequence, from bits, is the last bound before difflib itself.
-Short texts are ruled out many pairs at a time: letters and pairs of letters as bits
-(one for each of a bin's first few), then common subsequences of hashed letters.
+Pairs are ruled out many at a time, by ands of bits (one for each of a bin's first
+few): letters of short texts, letters of halves of longer ones, runs of four
+characters where difflib starts few blocks; then common subsequences of hashed letters.
 
 Texts of a group are dealt into tiles: pairs of chunks of neighbouring steps with a
 bounded number of rows and characters.  A tile compares in numpy what passes the
@@ -26,7 +27,6 @@ bounds and returns a spanning forest or its best few, never a list of all pairs.
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
 from difflib import SequenceMatcher
 from functools import cached_property
 from heapq import heappop, heappush
@@ -39,7 +39,9 @@ from pyspark.sql import functions as F
 ROWS, CHARACTERS = 4096, 4_000_000  # of a chunk
 TILE = ("s", "c", "u", "d")  # step and chunk of the first and of the second side
 _LETTERS, _GRAMS, _FINE, _CELLS, _JUNKED, _LONG = 64, 256, 2048, 16, 200, 20_000
-_SHORT, _WORDS, _ROWS, _PAIRS = 72, 2, 64, 4096  # length of a short text and words of bits of one it may resemble; rows and pairs that are compared at once
+_SHORT, _FINELY, _HALVED, _WORDS = 40, 150, 600, 5  # lengths of short texts, of those that are cut finely, of none that is compared by halves; words of bits of one whose subsequences are bits
+_HALF_BITS, _MOST_BITS = 128, 16_384  # of half a text's letters, of a text's grams
+_ROWS, _WINDOW, _PAIRS = 64, 1024, 8192  # rows and pairs that are compared at once
 
 
 def ratio(a: str, b: str) -> float:
@@ -63,24 +65,70 @@ class Texts:
     """What the bounds need of some texts, row by row."""
 
     def __init__(self, texts: list[str], fine: bool = True):
-        self.texts = texts
+        self.texts, self.finely = texts, fine
         self.size = np.array([len(t) for t in texts], np.int64)
-        code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        owner = np.repeat(np.arange(len(texts)), self.size)
-        n = len(texts)
-        self.letters = self._counts(code, owner, _LETTERS, n)
-        two = code[:-1] * np.uint64(0x10FFFF) + code[1:]
-        self.pairs = self._counts(two, owner[:-1], _GRAMS, n, owner[:-1] == owner[1:])
-        four = two[:-2] * np.uint64(0x9E3779B97F4A7C15) + two[2:]
-        self.fours = self._counts(four, owner[:-3], _GRAMS, n, owner[:-3] == owner[3:])
-        self.fine = self._counts(four, owner[:-3], _FINE, n, owner[:-3] == owner[3:]) if fine else None
-        # Letters before each of the cells' edges.
-        start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
-        cell = (np.arange(len(code)) - start[owner]) * _CELLS // np.maximum(self.size, 1)[owner]
-        upto = self._counts(code, owner * _CELLS + cell, _LETTERS, n * _CELLS).reshape(n, _CELLS, _LETTERS)
-        self.upto = np.concatenate([np.zeros((n, 1, _LETTERS), np.float32), np.cumsum(upto, axis=1)], axis=1)
-        self.starts = np.array([_starts(t) for t in texts], np.int64)
-        self.code, self.owner, self.start = code, owner, start
+        self.code = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        self.owner = np.repeat(np.arange(len(texts)), self.size)
+        self.start = np.concatenate([[0], np.cumsum(self.size)])[:-1]
+        self._made: dict = {}
+
+    @cached_property
+    def two(self) -> np.ndarray:
+        return self.code[:-1] * np.uint64(0x10FFFF) + self.code[1:]
+
+    @cached_property
+    def four(self) -> np.ndarray:
+        return self.two[:-2] * np.uint64(0x9E3779B97F4A7C15) + self.two[2:]
+
+    @cached_property
+    def letters(self) -> np.ndarray:
+        return self._counts(self.code, self.owner, _LETTERS, len(self))
+
+    @cached_property
+    def pairs(self) -> np.ndarray:
+        return self._counts(self.two, self.owner[:-1], _GRAMS, len(self), self.owner[:-1] == self.owner[1:])
+
+    @cached_property
+    def fours(self) -> np.ndarray:
+        return self._counts(self.four, self.owner[:-3], _GRAMS, len(self), self.owner[:-3] == self.owner[3:])
+
+    @cached_property
+    def fine(self) -> np.ndarray:
+        return self._counts(self.four, self.owner[:-3], _FINE, len(self), self.owner[:-3] == self.owner[3:])
+
+    @cached_property
+    def upto(self) -> np.ndarray:
+        """Letters before each of the cells' edges."""
+        cell = (np.arange(len(self.code)) - self.start[self.owner]) * _CELLS // np.maximum(self.size, 1)[self.owner]
+        upto = self._counts(self.code, self.owner * _CELLS + cell, _LETTERS, len(self) * _CELLS).reshape(len(self), _CELLS, _LETTERS)
+        return np.concatenate([np.zeros((len(self), 1, _LETTERS), np.float32), np.cumsum(upto, axis=1)], axis=1)
+
+    @cached_property
+    def starts(self) -> np.ndarray:
+        """Most blocks that difflib can find in a second text by where it starts them; -1 where that is not limited."""
+        out = np.full(len(self), -1, np.int64)
+        some = np.flatnonzero(self.size >= _JUNKED)
+        if not len(some):
+            return out
+        if len(self.code) < 100_000:
+            letters, letter = np.unique(self.code, return_inverse=True)
+        else:
+            held = np.zeros(0x110000, bool)
+            held[self.code.astype(np.int64)] = True
+            letters = np.flatnonzero(held)
+            letter = (np.cumsum(held, dtype=np.int32) - 1)[self.code.astype(np.int64)]
+        n = len(letters)
+        for rows in np.array_split(some, -(-len(some) * n // 4_000_000)):
+            of = np.concatenate([letter[self.start[r] : self.start[r] + self.size[r]] for r in rows])
+            counts = np.bincount(np.repeat(np.arange(len(rows)), self.size[rows]) * n + of, minlength=len(rows) * n).reshape(len(rows), n)
+            out[rows] = 1 + np.where(counts <= self.size[rows, None] // 100 + 1, counts, 0).sum(axis=1)
+        return out
+
+    def some(self, rows: np.ndarray) -> Texts:
+        """Those rows alone."""
+        out = Texts([self.texts[k] for k in rows])
+        out.starts = self.starts[rows]
+        return out
 
     @cached_property
     def letter_bits(self) -> tuple[np.ndarray, np.ndarray]:
@@ -96,22 +144,68 @@ class Texts:
 
     @cached_property
     def bins(self) -> np.ndarray:
-        """Bins of a short text's letters, place by place; a bin that no letter has after its end."""
-        some = self.size[self.owner] <= _SHORT
+        """Bins of a text's letters, place by place, where words of bits hold it; a bin that no letter has after its end."""
+        some = self.size[self.owner] <= _WORDS * 64
         at = self.owner[some]
-        out = np.full((len(self), _SHORT), _LETTERS, np.int64)
+        out = np.full((len(self), _WORDS * 64), _LETTERS, np.int64)
         out[at, np.flatnonzero(some) - self.start[at]] = self._bin(self.code[some], _LETTERS)
         return out
 
     @cached_property
     def places(self) -> np.ndarray:
-        """Bits of the places where a text has letters of a bin, for texts that are no longer than all words of bits."""
+        """Bits of the places where a text has letters of a bin, where words of bits hold it."""
         some = self.size[self.owner] <= _WORDS * 64
         at, place = self.owner[some], np.flatnonzero(some) - self.start[self.owner[some]]
         out = np.zeros(len(self) * (_LETTERS + 1) * _WORDS, np.uint64)
         np.add.at(out, (at * (_LETTERS + 1) + self._bin(self.code[some], _LETTERS)) * _WORDS + place // 64, np.uint64(1) << (place % 64).astype(np.uint64))
         return out
 
+    def four_bits(self, bins: int) -> tuple[np.ndarray, np.ndarray]:
+        """Runs of four characters as bits, word by word; and how many there are besides."""
+        if ("fours", bins) not in self._made:
+            whole = self.owner[:-3] == self.owner[3:]
+            key = self.owner[:-3][whole] * bins + self._bin(self.four[whole], bins)
+            held = np.zeros(len(self) * bins, bool)
+            held[key] = True
+            words = np.packbits(held).view(np.uint64).reshape(len(self), -1)
+            over = np.maximum(self.size - 3, 0) - np.bitwise_count(words).sum(axis=1)
+            self._made["fours", bins] = words.T.copy(), over.astype(np.uint16 if self.size.max(initial=0) < 40_000 else np.uint32)
+        return self._made["fours", bins]
+
+    def cells(self, n: int) -> np.ndarray:
+        """Letters before each of so many cells' edges, of texts that may be compared by halves; none of longer ones."""
+        if n not in self._made:
+            some = np.repeat(self.size < _HALVED, self.size)
+            owner = self.owner[some]
+            cell = (np.flatnonzero(some) - self.start[owner]) * n // self.size[owner]
+            each = self._counts(self.code[some], owner * n + cell, _LETTERS, len(self) * n).astype(np.int16).reshape(len(self), n, _LETTERS)
+            self._made[n] = np.concatenate([np.zeros((len(self), 1, _LETTERS), np.int16), np.cumsum(each, axis=1, dtype=np.int16)], axis=1)
+        return self._made[n]
+
+    @cached_property
+    def _levels(self) -> tuple[np.ndarray, np.ndarray]:
+        """The letters and counts in half a text that tell texts apart best."""
+        half = self.cells(_CELLS)[self.size < _HALVED, _CELLS // 2]
+        held = (half[:, None, :] > np.arange(32)[:, None]).mean(axis=0) if len(half) else np.zeros((32, _LETTERS))
+        level, letter = np.unravel_index(np.argsort(-(held * (1 - held)).ravel(), kind="stable")[:_HALF_BITS], held.shape)
+        return letter, level
+
+    def levels(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of letters as bits of those levels, word by word; and how many letters are not among them."""
+        letter, level = self._levels
+        held = np.ascontiguousarray(counts[:, letter] > level)
+        over = np.minimum(counts.sum(axis=1) - held.sum(axis=1), 255).astype(np.uint8)
+        return np.packbits(held, axis=1).view(np.uint64).T.copy(), over
+
+    def cut(self, n: int, cell: int | None, by: Texts) -> tuple:
+        """Bits of what is before a cut in a cell, and of what is behind it, or of both halves; by says which levels."""
+        key = n, cell, by is self
+        if key not in self._made:
+            upto = self.cells(n)
+            before, behind = (n // 2, n // 2) if cell is None else (cell + 1, cell)
+            self._made[key] = by.levels(upto[:, before]), by.levels(upto[:, n] - upto[:, behind])
+        return self._made[key]
+
     @staticmethod
     def _bin(code: np.ndarray, bins: int) -> np.ndarray:
         return ((code * np.uint64(0xD1342543DE82EF95)) >> np.uint64(64 - bins.bit_length() + 1)).astype(np.int64)
@@ -142,14 +236,6 @@ def _halved(edges: np.ndarray, half: np.ndarray, whole: np.ndarray) -> np.ndarra
     return (before + after).max(axis=1)
 
 
-def _starts(text: str) -> int:
-    """Most blocks that difflib can find in a second text by where it starts them; -1 where that is not limited."""
-    if len(text) < _JUNKED:
-        return -1
-    most = len(text) // 100 + 1
-    return 1 + sum(n for n in Counter(text).values() if n <= most)
-
-
 def possible(x: Texts, i: int, y: Texts, at: np.ndarray, threshold: float) -> np.ndarray:
     """Those rows of y that may resemble row i of x, in either order."""
     total = x.size[i] + y.size[at]
@@ -169,82 +255,222 @@ def possible(x: Texts, i: int, y: Texts, at: np.ndarray, threshold: float) -> np
     at, need, most = at[keep], need[keep], most[keep]
     keep = (x.ordered(i, y, at) >= need) if len(at) else np.zeros(0, bool)
     at, need, most = at[keep], need[keep], most[keep]
-    if x.fine is None or not len(at):
+    if not x.finely or not len(at):
         return at
     limited = np.flatnonzero(need > 3 * most)
     few = np.minimum(y.fine[at[limited]], x.fine[i]) @ np.ones(_FINE, np.float32) < (need - 3 * most)[limited]
     return np.delete(at, limited[few])
 
 
-def _unary(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Counts as bits, one for each up to most of a bin, word by word; and what is above, at most 255."""
-    held = counts[:, None, :] > np.arange(most, dtype=np.float32)[:, None]
-    words = np.packbits(held, axis=2).reshape(len(counts), -1).view(np.uint64).T.copy()
-    return words, np.minimum(np.maximum(counts - most, 0).sum(axis=1), 255).astype(np.uint8)
-
-
 def near(x: Texts, y: Texts, one: bool, threshold: float, wanted):
     """Rows (i, j) of x and y, some at a time, of pairs that may resemble each other in either order; all others don't.
 
     one: x is y, and each pair of two rows comes once.  wanted(i, j) says which pairs
-    are asked for, before they are compared.
+    are asked for, before they are compared.  Blocks of rows go against all rows of
+    fitting length: short ones by their letters, pairs of which difflib may start blocks
+    anywhere by the letters of halves, others by grams; what is left is compared closer.
     """
-    whole = _WORDS * 64
-    short = x.by_size[: np.searchsorted(x.size[x.by_size], min(_SHORT, int(whole * threshold / (2 - threshold))), "right")]
-    sizes, need = y.size[y.by_size], np.ceil(threshold * np.arange(2 * whole + 1) / 2 - 1e-9)
-    held, over = y.letter_bits[0][:, y.by_size], y.letter_bits[1][y.by_size]
-    for k in range(0, len(short), _ROWS):
-        rows = short[k : k + _ROWS]
-        own = x.size[rows]
-        low = own[0] if one else int(own[0] * threshold / (2 - threshold))
-        window = slice(*np.searchsorted(sizes, [low, min(whole, int(own[-1] * (2 - threshold) / threshold) + 1) + 1]))
-        some = np.minimum(x.letter_bits[1][rows, None], over[None, window])
-        for mine, its in zip(x.letter_bits[0], held):
-            some += np.bitwise_count(mine[rows, None] & its[None, window])
-        cuts = np.concatenate([[0], np.flatnonzero(np.diff(own)) + 1, [len(own)]])
-        for p, q in zip(cuts[:-1], cuts[1:]):
-            some[p:q] = some[p:q] >= need[own[p] + sizes[window]].astype(np.uint8)
-        i, j = np.nonzero(some)
-        i, j = rows[i], y.by_size[window][j]
-        keep = wanted(i, j)
-        if one:
-            keep &= (y.size[j] > x.size[i]) | ((y.size[j] == x.size[i]) & (j > i))
-        i, j = i[keep], j[keep]
-        for c in range(0, len(i), _PAIRS):
-            yield _nearer(x, i[c : c + _PAIRS], y, j[c : c + _PAIRS], need)
-    known = np.zeros(len(x), bool)
-    known[short] = True
-    for i in np.flatnonzero(~known):
-        rest = np.flatnonzero(~known[i + 1 :]) + i + 1 if one else np.arange(len(y))
-        rest = rest[wanted(np.full(len(rest), i), rest)]
-        at = possible(x, i, y, rest, threshold)
-        yield np.full(len(at), i), at
-
-
-def _nearer(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Those pairs of short texts that pairs of letters and the common subsequence of hashed letters allow."""
-    total = x.size[i] + y.size[j]
-    least = need[total]
+    sizes, shortest = y.size[y.by_size], threshold / (2 - threshold)
+    if _JUNKED / shortest + 2 > _HALVED:  # halves know only texts below that length
+        for i in range(len(x)):
+            rest = np.arange(i + 1, len(x)) if one else np.arange(len(y))
+            at = possible(x, i, y, rest[wanted(np.full(len(rest), i), rest)], threshold)
+            yield np.full(len(at), i), at
+        return
+    need = np.ceil(threshold * np.arange(int(x.size.max(initial=0) + y.size.max(initial=0)) + 1) / 2 - 1e-9).astype(np.int64)
+    left: dict = {_short: [], _halves: [], _grams: []}
+    closer = {_short: _pairs, _halves: _halves_back, _grams: _finer}
+    many = {_short: _PAIRS, _halves: _PAIRS, _grams: 8 * _PAIRS}
+
+    def compared(kind):
+        i, j = (np.concatenate(part) for part in zip(*left[kind]))
+        left[kind] = []
+        for c in range(0, len(i), many[kind]):
+            p, q = i[c : c + many[kind]], j[c : c + many[kind]]
+            some = wanted(p, q)
+            p, q = p[some], q[some]
+            if len(p):
+                yield closer[kind](x, p, y, q, need, threshold)
+
+    for k in range(0, len(x), _ROWS):
+        block = x.by_size[k : k + _ROWS]
+        own = x.size[block]
+        for low, high in ((0, _SHORT), (_SHORT + 1, _JUNKED - 1), (_JUNKED, int(own[-1]))):
+            rows = block[slice(*np.searchsorted(own, [low, high + 1]))]
+            if not len(rows):
+                continue
+            first, end = int(x.size[rows[0]]) if one else int(x.size[rows[0]] * shortest), int(x.size[rows[-1]] / shortest) + 2
+            if high == _SHORT or high == _JUNKED - 1:
+                parts = ((_short if high == _SHORT else _halves, first, end),)
+            else:
+                parts = ((_halves, first, min(end, _JUNKED)), (_grams, max(first, _JUNKED), end))
+            for kind, first, end in parts:
+                for at in range(*np.searchsorted(sizes, [first, max(first, end)]), _WINDOW):
+                    its = y.by_size[at : min(at + _WINDOW, int(np.searchsorted(sizes, end)))]
+                    i, j = np.nonzero(kind(x, rows, y, its, need, threshold))
+                    i, j = rows[i], its[j]
+                    keep = wanted(i, j)
+                    if one:
+                        keep &= (y.size[j] > x.size[i]) | ((y.size[j] == x.size[i]) & (j > i))
+                    left[kind].append((i[keep], j[keep]))
+                if sum(len(i) for i, _ in left[kind]) >= many[kind]:
+                    yield from compared(kind)
+    for kind, some in left.items():
+        if some:
+            yield from compared(kind)
+
+
+def _short(x: Texts, rows: np.ndarray, y: Texts, its: np.ndarray, need: np.ndarray, threshold: float) -> np.ndarray:
+    """Letters, as bits."""
+    some = np.minimum(x.letter_bits[1][rows, None], y.letter_bits[1][None, its])
+    _common(some, x.letter_bits[0][:, rows], y.letter_bits[0][:, its])
+    return some >= need[x.size[rows][:, None] + y.size[its]]
+
+
+def _pairs(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, need: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    least = need[x.size[i] + y.size[j]]
     some = np.minimum(x.pair_bits[1][i], y.pair_bits[1][j]).astype(np.int64)
     for mine, its in zip(x.pair_bits[0], y.pair_bits[0]):
         some += np.bitwise_count(mine[i] & its[j])
-    keep = some >= least - (total - 2 * least + 1)
-    i, j, least = i[keep], j[keep], least[keep]
-    if not len(i):
-        return i, j
-    row = [np.full(len(i), 0xFFFFFFFFFFFFFFFF, np.uint64) for _ in range(-(-int(y.size[j].max()) // 64))]
-    bins, at = x.bins[i] * _WORDS, j * ((_LETTERS + 1) * _WORDS)
-    for k in range(int(x.size[i].max())):
-        place, carry = at + bins[:, k], np.zeros(len(i), bool)
-        for w, r in enumerate(row):
+    keep = some >= least - (x.size[i] + y.size[j] - 2 * least + 1)
+    return _nearer(x, i[keep], y, j[keep], need)
+
+
+def _cuts(n: int, shortest: int, threshold: float) -> range:
+    """Cells of so many in which a text may be cut where the other one has its half: both lose few characters on either side."""
+    lost = (1 - threshold) / 2 * (2 - threshold) / threshold
+    return range(max(0, int(n * (threshold / 2 - lost))), min(n - 1, int(n * (1 - threshold / 2 + lost + 1 / max(1, shortest)))) + 1)
+
+
+def _halves(x: Texts, rows: np.ndarray, y: Texts, its: np.ndarray, need: np.ndarray, threshold: float) -> np.ndarray:
+    """Letters of a row's first half with some start of the other text, those of its second half with the rest."""
+    n = _CELLS if x.size[rows[0]] < _FINELY else 2 * _CELLS
+    best = np.zeros((len(rows), len(its)), np.uint8)
+    for cell in _cuts(n, int(y.size[its[0]]), threshold):
+        both = np.zeros_like(best)
+        for (bits, over), (held, above) in zip(x.cut(n, None, y), y.cut(n, cell, y)):
+            both += np.minimum(over[rows, None], above[None, its])
+            _common(both, bits[:, rows], held[:, its])
+        np.maximum(best, both, out=best)
+    return best >= need[x.size[rows][:, None] + y.size[its]]
+
+
+def _halves_back(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, need: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The other text's halves with starts and rests of the row."""
+    n = 2 * _CELLS
+    best = np.zeros(len(i), np.uint8)
+    for cell in _cuts(n, int(x.size[i].min()), threshold):
+        both = np.zeros_like(best)
+        for (bits, over), (held, above) in zip(y.cut(n, None, y), x.cut(n, cell, y)):
+            both += np.minimum(over[j], above[i])
+            for mine, its in zip(held, bits):
+                both += np.bitwise_count(mine[i] & its[j])
+        np.maximum(best, both, out=best)
+    keep = best >= need[x.size[i] + y.size[j]]
+    return _nearer(x, i[keep], y, j[keep], need)
+
+
+def _few(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, need: np.ndarray) -> np.ndarray:
+    """Least number of runs of four characters that pairs of long texts have in common."""
+    total = x.size[i] + y.size[j]
+    return need[total] - 3 * np.minimum(total - 2 * need[total] + 1, np.maximum(x.starts[i], y.starts[j]))
+
+
+def _grams(x: Texts, rows: np.ndarray, y: Texts, its: np.ndarray, need: np.ndarray, threshold: float) -> np.ndarray:
+    """Runs of four characters of two texts of which difflib starts few blocks."""
+    bins = _bins_of(3 * int(x.size[rows[-1]]))
+    (mine, over), (held, above) = x.four_bits(bins), y.four_bits(bins)
+    some = np.minimum(over[rows, None], above[None, its])
+    _common(some, mine[:, rows], held[:, its])
+    return some >= _few(x, rows[:, None], y, its[None], need)
+
+
+def _bins_of(n: int) -> int:
+    return min(_MOST_BITS, max(1024, 1 << (n - 1).bit_length()))
+
+
+def _finer(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, need: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """The same in more bins, then all bounds, of those texts alone."""
+    of_x, i = np.unique(i, return_inverse=True)
+    of_y, j = np.unique(j, return_inverse=True)
+    x, y = x.some(of_x), y.some(of_y)
+    bins = _bins_of(12 * int(x.size.max()))
+    (mine, over), (held, above) = x.four_bits(bins), y.four_bits(bins)
+    some = np.minimum(over[i], above[j]).astype(np.int64)
+    for m, h in zip(mine, held):
+        some += np.bitwise_count(m[i] & h[j])
+    keep = some >= _few(x, i, y, j, need)
+    i, j = i[keep], j[keep]
+    order = np.argsort(i, kind="stable")
+    i, j = i[order], j[order]
+    out = [(i[:0], j[:0])]
+    for c in np.split(np.arange(len(i)), np.flatnonzero(np.diff(i)) + 1) if len(i) else ():
+        at = possible(x, i[c[0]], y, j[c], threshold)
+        out.append((np.full(len(at), i[c[0]]), at))
+    i, j = (np.concatenate(part) for part in zip(*out))
+    return of_x[i], of_y[j]
+
+
+def _common(some: np.ndarray, mine: np.ndarray, its: np.ndarray) -> None:
+    """Adds the bits that rows of mine and of its have in common, word by word."""
+    both, count = np.empty(some.shape, np.uint64), np.empty(some.shape, np.uint8)
+    for m, h in zip(mine, its):
+        np.bitwise_and(m[:, None], h[None], out=both)
+        np.bitwise_count(both, out=count)
+        np.add(some, count, out=some)
+
+
+def _unary(counts: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Counts as bits, one for each up to most of a bin, word by word; and what is above."""
+    held = counts[:, None, :] > np.arange(most, dtype=np.float32)[:, None]
+    words = np.packbits(held, axis=2).reshape(len(counts), -1).view(np.uint64).T.copy()
+    return words, np.minimum(np.maximum(counts - most, 0).sum(axis=1), 30_000).astype(np.uint16)
+
+
+def _nearer(x: Texts, i: np.ndarray, y: Texts, j: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those pairs of texts that the common subsequence of hashed letters allows.
+
+    It is worked out row by row, in the words of bits that its places may be in; a pair
+    is left as soon as a start of the first text has lost more than it may lose.
+    """
+    order = np.argsort(x.size[i], kind="stable")
+    i, j = i[order], j[order]
+    least = need[x.size[i] + y.size[j]]
+    known = (y.size[j] > _WORDS * 64) | (x.size[i] > _WORDS * 64)
+    out = [(i[known], j[known])]
+    i, j, least = i[~known], j[~known], least[~known]
+    lost, more = x.size[i] - least, y.size[j] - least  # characters that either text may lose
+    row = np.full((-(-int(y.size[j].max(initial=1)) // 64), len(i)), 0xFFFFFFFFFFFFFFFF, np.uint64)
+    bins, at = x.bins, j * ((_LETTERS + 1) * _WORDS)
+    for k in range(int(x.size[i].max(initial=0))):
+        if not len(i):
+            break
+        first, last = max(0, k - int(lost.max())) // 64, min(len(row) - 1, (k + int(more.max())) // 64)
+        place, carry = at + bins[i, k] * _WORDS, np.zeros(len(i), bool)
+        for w in range(first, last + 1):
+            r = row[w]
             hit = r & y.places[place + w]
             new = r + hit
             up = new < r
             new += carry
             carry = up | (new < carry)
             row[w] = new | (r ^ hit)
-    keep = sum((64 - np.bitwise_count(r).astype(np.int64) for r in row), np.zeros(len(i), np.int64)) >= least
-    return i[keep], j[keep]
+        if k % 8 == 7:
+            keep = _held(row, k + 1 + more) >= np.minimum(k + 1, x.size[i]) - lost
+            if not keep.all():
+                i, j, least, lost, more, at, row = i[keep], j[keep], least[keep], lost[keep], more[keep], at[keep], row[:, keep]
+    keep = _held(row, y.size[j]) >= least
+    return np.concatenate([out[0][0], i[keep]]), np.concatenate([out[0][1], j[keep]])
+
+
+def _held(row: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Zeros among so many first places of each column of words."""
+    out = np.zeros(row.shape[1], np.int64)
+    for w, r in enumerate(row):
+        n = np.clip(places - 64 * w, 0, 64)
+        mask = np.where(n >= 64, np.uint64(0xFFFFFFFFFFFFFFFF), (np.uint64(1) << (n % 64).astype(np.uint64)) - np.uint64(1))
+        out += np.bitwise_count(~r & mask)
+    return out
 
 
 def alike(a: str, b: str, threshold: float) -> bool:
@@ -332,7 +558,8 @@ def linked(rows: DataFrame, group: str, node: str, text: str, threshold: float)
         return pd.DataFrame(out, columns=["a", "b"]).astype("int64")
 
     dealt = tiles_within(rows.select(group, node, text), group, text, threshold, F.xxhash64(node))
-    return dealt.groupBy(group, *TILE).applyInPandas(forest, "a long, b long")
+    # Tiles are few bytes but much work each: dealt out by number, so that they are not put together by their bytes.
+    return dealt.repartition(16 * rows.sparkSession.sparkContext.defaultParallelism, group, *TILE).groupBy(group, *TILE).applyInPandas(forest, "a long, b long")
 
 
 class _Best:

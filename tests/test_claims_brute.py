@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import random
+import uuid
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -10,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quarrykit.operators import claims, resemblance
+from quarrykit.operators import greedy as greedy_module
 from quarrykit.plans import catalog
 
 T = claims.THRESHOLD
@@ -202,3 +205,69 @@ def test_reaching_a_threshold_equals_the_ratio():
         hits = list(range(len(a)))
         match.set_seqs(a, b)
         assert resemblance._longest(a, b, [i for i in hits if a[i] in match.b2j], match.b2j, 0, len(a), 0, len(b)) == tuple(match.find_longest_match(0, len(a), 0, len(b)))
+
+
+def syllables(r: random.Random, length: int) -> str:
+    return "".join(r.choice(("th", "er", "on", "an", "tion", "he", "in", "re", "ed", "nd", " ", " ", "of ", ". ")) for _ in range(length))[:length]
+
+
+@pytest.mark.parametrize("t", [T, 0.6])
+def test_pairs_near_each_other_around_the_limits_of_lengths(t):
+    """Every pair whose ratio reaches the threshold, each once, whichever bounds its lengths call for; of one table and of two."""
+    r = random.Random(7)
+    texts = {""}
+    for n in (1, 8, 39, 40, 41, 72, 100, 149, 150, 175, 198, 199, 200, 201, 230, 270, 271, 272, 321, 400, 700):
+        base = syllables(r, n)
+        for noise in (0, 0.02, 0.03, 0.05, 0.08, 0.12):
+            texts.add("".join(r.choice(("", "e", "xy", "Q")) if r.random() < noise else c for c in base))
+    texts = sorted(texts)
+    r.shuffle(texts)
+    of = resemblance.Texts(texts)
+    everything = lambda i, j: np.ones(len(i), bool)
+    some = [(int(a), int(b)) for i, j in resemblance.near(of, of, True, t, everything) for a, b in zip(i, j)]
+    got = {frozenset(p) for p in some}
+    assert len(got) == len(some)
+    x, y = resemblance.Texts(texts[::2]), resemblance.Texts(texts[1::2])
+    between = {(int(a), int(b)) for i, j in resemblance.near(x, y, False, t, everything) for a, b in zip(i, j)}
+    linked = 0
+    for i, a in enumerate(texts):
+        for j in range(i):
+            if max(ratio(a, texts[j]), ratio(texts[j], a)) >= t:
+                linked += 1
+                assert {i, j} in got, (a, texts[j])
+                if i % 2 != j % 2:
+                    even, odd = sorted((i, j), key=lambda k: k % 2)
+                    assert (even // 2, odd // 2) in between, (a, texts[j])
+    assert linked > len(texts) / 2
+
+
+def test_different_texts_of_any_length_are_ruled_out_together():
+    """Of unlike texts of 80 to 260 letters no more than one pair in a thousand is left to be compared one by one."""
+    r = random.Random(3)
+    of = resemblance.Texts([syllables(r, r.randint(80, 260)) for _ in range(300)])
+    left = sum(len(i) for i, _ in resemblance.near(of, of, True, T, lambda i, j: np.ones(len(i), bool)))
+    assert left < 45
+
+
+def test_only_components_with_new_claims_are_folded_again(spark, monkeypatch, tmp_path):
+    """A representative that grows away from a statement has its component folded again, and no other."""
+    plain, folder = greedy_module._fold, str(tmp_path)
+
+    def fold(threshold, order):
+        inner = plain(threshold, order)
+
+        def noted(pdf):
+            with open(os.path.join(folder, uuid.uuid4().hex), "w") as f:
+                f.write(pdf["_text"].min()[0])
+            return inner(pdf)
+
+        return noted
+
+    monkeypatch.setattr(greedy_module, "_fold", fold)
+    rows = [(0, "k", "abcdefghij", "t"), (1, "k", "abcdefghijklm", "t"), (2, "k", "abcdefghij", "t"), (3, "k", "abcdefghijklmnop", "t"), (4, "k", "abcdefghij", "t"), (5, "k", "abcdefghijklm", "t")]
+    rows += [(10, "k", "0123456789", "t"), (11, "k", "01234567899", "t")]
+    df = spark.createDataFrame([(i, c, s, [t]) for i, c, s, t in rows], "id long, category string, statement string, tags array<string>")
+    got = claims.greedy_merge(df).collect()
+    assert sorted((r["category"], r["id"], r["statement"], r["recurrence"], tuple(r["tags"])) for r in got) == greedy(rows)
+    times = [open(os.path.join(folder, f)).read() for f in os.listdir(folder)]
+    assert times.count("a") > 1 and times.count("0") == 1
